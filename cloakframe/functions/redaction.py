@@ -39,12 +39,19 @@ def with_spans(
 
     Each step is its own projection, so Spark evaluates every regex pass once.
     """
-    return (
-        df.withColumn("gates", gate_flags(F.col(text), detectors))
-        .withColumn("raw_spans", all_spans(F.col(text), F.col("gates"), detectors, ranked))
-        .withColumn("spans", resolve_overlaps(F.col("raw_spans")))
-        .drop("gates", "raw_spans")
+    found = df.withColumn("gates", gate_flags(text, detectors)).withColumn(
+        "raw_spans", all_spans(text, "gates", detectors, ranked)
     )
+    return settled(found, resolve_overlaps("raw_spans"), "spans").drop("gates", "raw_spans")
+
+
+def settled(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a costly column so that later filters read it instead of repeating its expression.
+
+    Spark pushes a filter through a projection by copying the projected expression into
+    the filter; it does not do so through a generator.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(value.alias(name)))))
 
 
 def with_redaction(df: DataFrame, text: str = "text", detectors: Sequence[Detector] = DETECTORS) -> DataFrame:

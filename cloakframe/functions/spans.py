@@ -14,110 +14,92 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cloakframe.catalogue import DETECTORS, GATES, IBAN_COUNTRIES, NOT_PERSONS, TIER_RANK, Detector, java_pattern
-from cloakframe.functions.text import digits_of, trim_space
+from cloakframe.functions.text import EVERY_SPACE
 
 SPANS = "array<struct<start:int,rank_key:int,len_key:int,det:int,value:string>>"
 
 
-def no_spans() -> Column:
-    return F.array().cast(SPANS)
+NO_SPANS = f"CAST(array() AS {SPANS})"
 
 
-def is_valid(detector: Detector, value: Column) -> Column:
-    """The detector's own test on a matched value."""
+def _raw(pattern: str) -> str:
+    """A pattern as a raw SQL string literal."""
+    if '"' in pattern:
+        raise ValueError("patterns must not hold a double quote")
+    return f'r"{pattern}"'
+
+
+def valid_expr(detector: Detector, value: str) -> str:
+    """The detector's own test on a matched value, as SQL."""
     if detector.check == "luhn":
-        digits = F.regexp_replace(value, "[ -]", "")
-        return (F.length(digits) >= 13) & F.call_function("luhn_check", digits)
+        digits = f"regexp_replace({value}, '[ -]', '')"
+        return f"(length({digits}) >= 13 AND luhn_check({digits}))"
     if detector.check == "iban_country":
-        return F.substring(value, 1, 2).isin(*IBAN_COUNTRIES)
+        return f"left({value}, 2) IN {IBAN_COUNTRIES}"
     if detector.check == "seven_digits":
-        return F.length(digits_of(value)) >= 7
+        return f"length(regexp_replace({value}, '[^0-9]', '')) >= 7"
     if detector.check == "octets":
-        return ~F.exists(F.split(value, "[.]"), lambda part: part.cast("int") > 255)
+        return f"NOT exists(split({value}, '[.]'), p -> CAST(p AS INT) > 255)"
     if detector.check == "not_ui_phrase":
-        return ~F.lower(value).isin(*NOT_PERSONS)
-    return F.lit(True)
+        return f"lower({value}) NOT IN {NOT_PERSONS}"
+    return "TRUE"
 
 
-def gate_flags(text: Column, detectors: Sequence[Detector] = DETECTORS) -> Column:
+def gate_flags(text: str, detectors: Sequence[Detector] = DETECTORS) -> Column:
     """One boolean per gate the detectors use."""
     names = list(dict.fromkeys(d.gate for d in detectors if d.gate))
-    tests = [text.rlike(java_pattern(GATES[n])) if len(GATES[n]) > 1 else F.contains(text, F.lit(GATES[n])) for n in names]
-    return F.struct(*[test.alias(n) for n, test in zip(names, tests)])
 
+    def test(pattern: str) -> str:
+        return f"contains({text}, '{pattern}')" if len(pattern) == 1 else f"rlike({text}, {_raw(java_pattern(pattern))})"
 
-def may_match(text: Column, gates: Column, detector: Detector) -> Column:
-    found = text.rlike(java_pattern(detector.pattern, detector.ignore_case))
-    return gates[detector.gate] & found if detector.gate else found
+    return F.expr("named_struct(" + ", ".join(f"'{n}', {test(GATES[n])}" for n in names) + ")")
 
 
-def detector_spans(
-    text: Column, gates: Column, detectors: Sequence[Detector], det: int, ranked: bool = True
-) -> Column:
-    """All valid matches of one detector, in text order.
+def detector_expr(text: str, gates: str, detectors: Sequence[Detector], det: int, ranked: bool = True) -> str:
+    """All valid matches of one detector in text order, as SQL.
 
     Offsets come from the gaps between matches: match i starts after gaps 0..i and
-    matches 0..i-1.
+    matches 0..i-1.  A text without a match costs its gate, or one search.
     """
     detector = detectors[det]
-    pattern = java_pattern(detector.pattern, detector.ignore_case)
-    parts = [F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))]
+    pattern = _raw(java_pattern(detector.pattern, detector.ignore_case))
+    parts = f"split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0)"
+    picked = "m.`1`"
     if detector.value_group:
-        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(detector.value_group)))
+        parts += f", regexp_extract_all({text}, {pattern}, {detector.value_group})"
+        picked = "if(m.`2` = '', m.`1`, m.`2`)"
+    value = f"trim(BOTH '{EVERY_SPACE}' FROM {picked})"
+    start = f"acc.pos + length(m.`0`) + position({value}, m.`1`) - 1"
     rank_key = -TIER_RANK[detector.sensitivity] if ranked else 0
-
-    def add_match(acc: Column, row: Column) -> Column:
-        gap, whole = row["0"], row["1"]
-        at = acc["pos"] + F.length(gap)
-        raw = F.when(row["2"] == "", whole).otherwise(row["2"]) if detector.value_group else whole
-        value = trim_space(raw)
-        span = F.struct(
-            (at + F.position(value, whole) - 1).alias("start"),
-            F.lit(rank_key).alias("rank_key"),
-            (-F.length(value) if ranked else F.lit(0)).alias("len_key"),
-            F.lit(det).alias("det"),
-            value.alias("value"),
-        )
-        keep = whole.isNotNull() & (value != "") & is_valid(detector, value)
-        return F.struct(
-            (at + F.coalesce(F.length(whole), F.lit(0))).alias("pos"),
-            F.when(keep, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"),
-        )
-
-    folded = F.aggregate(
-        F.arrays_zip(*parts),
-        F.struct(F.lit(0).alias("pos"), no_spans().alias("found")),
-        add_match,
-        lambda acc: acc["found"],
-    )
-    return F.when(may_match(text, gates, detector), folded).otherwise(no_spans())
-
-
-def all_spans(
-    text: Column, gates: Column, detectors: Sequence[Detector] = DETECTORS, ranked: bool = True
-) -> Column:
+    len_key = f"-length({value})" if ranked else "0"
+    span = f"struct({start} AS start, {rank_key} AS rank_key, {len_key} AS len_key, {det} AS det, {value} AS value)"
+    keep = f"m.`1` IS NOT NULL AND {value} <> '' AND {valid_expr(detector, value)}"
+    search = f"rlike({text}, {pattern})"
+    return f"""CASE WHEN {f"{gates}.{detector.gate} AND {search}" if detector.gate else search} THEN aggregate(
+        arrays_zip({parts}),
+        struct(0 AS pos, {NO_SPANS} AS found),
+        (acc, m) -> struct(acc.pos + length(m.`0`) + coalesce(length(m.`1`), 0) AS pos,
+                           if({keep}, array_append(acc.found, {span}), acc.found) AS found),
+        acc -> acc.found) ELSE {NO_SPANS} END"""
+
+
+def all_spans(text: str, gates: str, detectors: Sequence[Detector] = DETECTORS, ranked: bool = True) -> Column:
     """The union of every detector's matches."""
-    return F.concat(*[detector_spans(text, gates, detectors, i, ranked) for i in range(len(detectors))])
+    found = [detector_expr(text, gates, detectors, i, ranked) for i in range(len(detectors))]
+    return F.expr(f"concat({', '.join(found)})")
 
 
-def resolve_overlaps(spans: Column) -> Column:
+def resolve_overlaps(spans: str) -> Column:
     """In sort order, keep a span when it starts at or after the end of the last kept one."""
-
-    def step(acc: Column, span: Column) -> Column:
-        return F.when(
-            span["start"] >= acc["end"],
-            F.struct(
-                (span["start"] + F.length(span["value"])).alias("end"),
-                F.array_append(acc["kept"], span).alias("kept"),
-            ),
-        ).otherwise(acc)
-
-    kept = F.aggregate(
-        F.sort_array(spans), F.struct(F.lit(0).alias("end"), no_spans().alias("kept")), step, lambda acc: acc["kept"]
-    )
-    return F.when(F.size(spans) <= 1, spans).otherwise(kept)
+    return F.expr(f"""if(size({spans}) <= 1, {spans}, aggregate(
+        sort_array({spans}),
+        struct(0 AS last_end, {NO_SPANS} AS kept),
+        (acc, s) -> if(s.start >= acc.last_end,
+                       struct(s.start + length(s.value) AS last_end, array_append(acc.kept, s) AS kept), acc),
+        acc -> acc.kept))""")
 
 
 def catalogue_field(det: Column, detectors: Sequence[Detector], field: str) -> Column:
     """Look up a catalogue attribute of a span by its detector index."""
-    return F.element_at(F.array(*[F.lit(getattr(d, field)) for d in detectors]), det + 1)
+    values = ", ".join(f"'{getattr(d, field)}'" for d in detectors)
+    return F.element_at(F.expr(f"array({values})"), det + 1)

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from cloakframe.catalogue import SPACE, SPACE_CHARS
 
 
-def trim_space(text: Column) -> Column:
-    """Trim every Unicode space, not only the ASCII blank."""
-    return F.trim(text, F.lit(_expanded_spaces()))
+# --- fixed values: every space character, for trimming
+EVERY_SPACE = SPACE_CHARS.replace("\u2000-\u200a", "".join(chr(c) for c in range(0x2000, 0x200B)))
 
 
-def _expanded_spaces() -> str:
-    singles = SPACE_CHARS.replace(" - ", "")
-    return singles + "".join(chr(c) for c in range(0x2000, 0x200B))
+def trim_space(text: Column) -> Column:
+    """Trim every Unicode space, not only the ASCII blank."""
+    return F.trim(text, F.lit(EVERY_SPACE))
 
 
 def collapse_space(text: Column) -> Column:
