@@ -241,3 +241,108 @@ def types_of(detectors: tuple[Detector, ...]) -> list[str]:
 
 def ranks_of(detectors: tuple[Detector, ...]) -> list[int]:
     return [TIER_RANK[d.sensitivity] for d in detectors]
+
+
+# --- fixed values: policy reasons --------------------------------------------
+REASON_BLOCKED_CLASS = ('Data class "', '" may never leave the perimeter — blocked before any model call.')
+REASON_APPROVAL = " data is leaving the perimeter to an external model — a human approver is required."
+REASON_NOT_PERMITTED = " data is not permitted at this destination."
+REASON_SOVEREIGN = "Sovereign destination — request stays in-country and proceeds with redaction."
+REASON_PERMITTED = " data permitted to external model in redacted form."
+
+# --- fixed values: offline responder, gateway wording ------------------------
+OFFLINE_PROVIDER = "sovereign-echo"
+OFFLINE_MODEL = "local-demo"
+GATEWAY_INTENTS = {
+    "dispute": r"dispute|chargeback|fraud|unauthor",
+    "summary": r"summar|explain|what[^\n\r]*say|review",
+    "eligibility": r"eligib|approve|loan|credit|apply|application",
+}
+GATEWAY_REPLIES = {
+    "dispute": "Draft response — transaction dispute:\n"
+               "Dear {who}, thank you for flagging this. I have opened a dispute case for the transaction you referenced{card}.\n"
+               "Our fraud team will review and respond within 2 business days. No further action is needed from you at this time.",
+    "summary": "Summary of the request:\n"
+               "The message concerns {who}{others}. The core intent appears to be a service or account inquiry.\n"
+               "Recommended next step: confirm identity through an approved channel before sharing any account detail.",
+    "eligibility": "Assessment draft:\n"
+                   "Based on the information provided for {who}, the application can proceed to standard verification. "
+                   "Confirm income documents and run the usual checks before a decision.",
+    "other": "Acknowledged. I have read the request regarding {who}.\n"
+             "{fields}\n"
+             "Tell me what you'd like drafted or checked next and I'll continue.",
+}
+GATEWAY_OTHERS = (" and references ", " other sensitive field(s)")
+GATEWAY_FIELDS = ("It references the following protected fields, which remain redacted end-to-end: ", ".")
+GATEWAY_NO_FIELDS = "No sensitive fields were detected."
+GATEWAY_NOBODY = "the customer"
+
+# --- fixed values: offline responder, chat wording ---------------------------
+CHAT_INTENTS = {
+    "dispute": r"dispute|chargeback|fraud|unauthor",
+    "summary": r"summar|explain|review|what[^\n\r]*mean",
+    "draft": r"draft|write|email|reply|letter|message",
+    "eligibility": r"eligib|loan|credit|approve|apply|assess",
+}
+CHAT_REPLIES = {
+    "dispute": "Hi {who}, I've drafted a response for the disputed transaction{card}. "
+               "A case has been opened and the fraud team will follow up within 2 business days.",
+    "summary": "Here's a short summary: the message concerns {who}{others}. Tell me what angle you'd like and I'll go deeper.",
+    "draft": "Draft for {who}:\n\n"
+             "Thank you for getting in touch. We've received your request and will get back to you shortly with the next steps.",
+    "eligibility": "Based on the details for {who}, the request can proceed to standard verification. "
+                   "Confirm the supporting documents and run the usual checks before deciding.",
+    "other": "Got it{regarding}. {fields}How would you like me to help?",
+}
+CHAT_OTHERS = (" and ", " other protected field(s)")
+CHAT_FIELDS = ("I can see ", " protected field(s) (", ") which stay redacted end-to-end. ")
+CHAT_NOBODY = "there"
+
+# --- fixed values: letter templates ------------------------------------------
+LETTER_EN = (
+    "Dear {id},\n\nThis is a courteous reminder that your account currently shows an outstanding balance of QAR {amount}{late}. "
+    "Kindly arrange payment at your earliest convenience, or contact us so we can discuss suitable options. "
+    "Thank you for banking with us."
+)
+LETTER_EN_LATE = ", now {days} days past due"
+LETTER_AR = (
+    "عزيزي {id}،\n\nنذكّركم بلطف بوجود رصيد مستحق على حسابكم بقيمة {amount} ريال قطري{late}. "
+    "نرجو منكم ترتيب السداد في أقرب وقت ممكن، أو التواصل معنا لمناقشة الخيارات المناسبة. شكراً لتعاملكم معنا."
+)
+LETTER_AR_LATE = "، ومتأخر الآن {days} يوماً"
+NO_NAME = "Customer"
+REMINDER_WORDS = r"remind|overdue|collect|due"
+MAX_LETTERS = 500
+PREVIEW_ROWS = 12
+
+# --- fixed values: prompt texts around the redacted rows ---------------------
+GROUPING_HEAD = (
+    "You are a bank analyst assistant. Below is a customer table where IDENTITY\n"
+    "values have been replaced with placeholders like [NAME_1], [QID_1], [IBAN_1].\n"
+    "The financial figures are real. Do NOT guess or reconstruct any placeholder —\n"
+    "keep them VERBATIM in your output so they can be restored locally.\n"
+    "\n"
+    "TABLE (CSV):\n"
+)
+GROUPING_TASK = (
+    "Group these customers into Low / Medium / High credit-risk tiers based on days past due, outstanding loan "
+    "and income. Summarise each tier."
+)
+GROUPING_TAIL = (
+    "\n\nRespond with ONLY valid JSON, no prose, in this exact shape:\n"
+    '{ "headline": "one sentence", "groups": [ { "tier": "High risk", "rule": "why these belong here", '
+    '"members": ["[NAME_1]", "[NAME_4]"], "summary": "1-2 sentence summary" } ] }'
+)
+DRAFT_HEAD = (
+    "You are a bank customer-communications assistant. Below are customers whose\n"
+    "identities are redacted as placeholders like [NAME_1], [IBAN_1], [QID_1].\n"
+    "Keep every placeholder VERBATIM — never guess, translate, or expand them.\n"
+    "\n"
+    "CUSTOMERS (CSV):\n"
+)
+DRAFT_TASK = "Draft a short, polite payment-reminder message for each customer."
+DRAFT_TAIL = (
+    "\nWrite each message in BOTH English and Modern Standard Arabic. Keep it concise,\n"
+    "professional and compliant; greet the customer using their [NAME_x] placeholder.\n\n"
+    'Respond with ONLY valid JSON: { "drafts": [ { "id": "[NAME_1]", "en": "…", "ar": "…" } ] }'
+)

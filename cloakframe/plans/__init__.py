@@ -6,7 +6,7 @@ import importlib
 
 from cloakframe.plans.registry import CHECKS, PLANS
 
-MODULES = ("detection",)
+MODULES = ("detection", "governance", "portfolio")
 
 __all__ = ["CHECKS", "PLANS", "load_all"]
 

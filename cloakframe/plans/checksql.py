@@ -146,3 +146,19 @@ def with_views(views: list[str], *ctes: str) -> str:
 
 def spaced(views: list[str], ctes: list[str], body: str) -> str:
     return with_views(views, *ctes) + "\n" + body
+
+
+def fill_sql(template: str, parts: dict[str, str]) -> str:
+    """A reply template as a SQL concatenation."""
+    pieces = []
+    for i, chunk in enumerate(template.replace("}", "{").split("{")):
+        if i % 2:
+            pieces.append(parts[chunk])
+        elif chunk:
+            pieces.append(lit(chunk))
+    return f"concat({', '.join(pieces)})"
+
+
+def reply_sql(lower: str, intents: dict[str, str], replies: dict[str, str], parts: dict[str, str]) -> str:
+    whens = " ".join(f"WHEN regexp_matches({lower}, {lit(p)}) THEN {fill_sql(replies[i], parts)}" for i, p in intents.items())
+    return f"CASE {whens} ELSE {fill_sql(replies['other'], parts)} END"

@@ -71,8 +71,12 @@ SELECT c_custkey AS reply_id,
          ELSE '{"groups": [broken}' END AS text
 FROM @customer""",
     "headers": """
-SELECT * FROM (VALUES (0, 'Customer Name'), (1, 'QID'), (2, 'IBAN'), (3, 'Mobile'), (4, 'Product'), (5, 'Company'), (6, 'Account Name'),
-  (7, 'c_acctbal'), (8, 'Days Past Due'), (9, 'Outstanding Loan (QAR)'), (10, 'Monthly Salary (QAR)'), (11, ' E-Mail '), (12, 'Birth date')) AS t(ord, header)""",
+SELECT CAST(floor(c_custkey / 13) AS BIGINT) AS file_id, c_custkey % 13 AS ord,
+       concat(CASE CAST(c_custkey % 13 AS INT) WHEN 0 THEN 'Customer Name' WHEN 1 THEN 'QID' WHEN 2 THEN 'IBAN' WHEN 3 THEN 'Mobile' WHEN 4 THEN 'Product'
+              WHEN 5 THEN 'Company' WHEN 6 THEN 'Account Name' WHEN 7 THEN 'c_acctbal' WHEN 8 THEN 'Days Past Due' WHEN 9 THEN 'Outstanding Loan (QAR)'
+              WHEN 10 THEN 'Monthly Salary (QAR)' WHEN 11 THEN ' E-Mail ' ELSE 'Birth date' END,
+              CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat(' ', lower(c_mktsegment)) END) AS header
+FROM @customer""",
     "settings": """
 SELECT concat('k', CAST(user_id % 10 AS STRING)) AS key, event_type AS value, event_id AS seq FROM @events""",
 }
