@@ -1,6 +1,6 @@
-"""Dense numbering and carried values over data that is too large for one window task.
+"""Dense numbering, running totals and carried values over data too large for one window task.
 
-Both operators range-partition on the order, keep the partition number in a reliable
+The operators range-partition on the order, keep the partition number in a reliable
 checkpoint, work inside each range, and correct the ranges with a table that has one row
 per range (and group that crosses it).  No task sees more than one range.
 """
@@ -19,20 +19,46 @@ def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
     return materialise(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Add ``name``: 1, 2, ... within ``keys`` by ``order``, as one window would number them."""
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], maxima: dict[str, str]) -> DataFrame:
+    """Add running sums and maxima within ``keys`` by ``order``, the current row included.
+
+    ``sums`` and ``maxima`` map a new column to the column it accumulates.
+    """
     ranged = _ranged(df, keys + order)
-    counts = ranged.groupBy(PART, *keys).agg(F.count("*").alias("n"))
+    totals = ranged.groupBy(PART, *keys).agg(
+        *[F.sum(col).alias(name) for name, col in sums.items()],
+        *[F.max(col).alias(name) for name, col in maxima.items()],
+    )
     earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    # Only a group that began in an earlier range has an offset: at most one row per range.
-    offsets = counts.withColumn("skip", F.sum("n").over(earlier)).where("skip > 0").drop("n")
-    here = Window.partitionBy(PART, *keys).orderBy(*order)
-    local = ranged.withColumn(name, F.row_number().over(here).cast("long"))
-    return (
-        local.join(F.broadcast(offsets), [PART, *keys], "left")
-        .withColumn(name, F.col(name) + F.coalesce("skip", F.lit(0)))
-        .drop(PART, "skip")
+    # Only a group that began in an earlier range has something to add: one row per range at most.
+    offsets = (
+        totals.select(
+            PART,
+            *keys,
+            F.lag(PART).over(Window.partitionBy(*keys).orderBy(PART)).alias("prior"),
+            *[F.sum(name).over(earlier).alias(f"before_{name}") for name in sums],
+            *[F.max(name).over(earlier).alias(f"before_{name}") for name in maxima],
+        )
+        .where("prior IS NOT NULL")
+        .drop("prior")
     )
+    here = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select(
+        "*",
+        *[F.sum(col).over(here).alias(name) for name, col in sums.items()],
+        *[F.max(col).over(here).alias(name) for name, col in maxima.items()],
+    )
+    joined = local.join(F.broadcast(offsets), [PART, *keys], "left")
+    for name in sums:
+        joined = joined.withColumn(name, F.col(name) + F.coalesce(f"before_{name}", F.lit(0)))
+    for name in maxima:
+        joined = joined.withColumn(name, F.greatest(name, f"before_{name}"))
+    return joined.drop(PART, *[f"before_{name}" for name in [*sums, *maxima]])
+
+
+def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Add ``name``: 1, 2, ... within ``keys`` by ``order``, as one window would number them."""
+    return running(df.withColumn("one", F.lit(1)), keys, order, {name: "one"}, {}).drop("one")
 
 
 def carry_last(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
