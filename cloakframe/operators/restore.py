@@ -39,7 +39,7 @@ def _nested_reach(vault: DataFrame, scope: list[str]) -> DataFrame | None:
 
 def restore_text(
     texts: DataFrame,
-    row_key: str,
+    row_key: list[str],
     scope: list[str],
     text: str,
     vault: DataFrame,
@@ -55,7 +55,7 @@ def restore_text(
     ``nested`` also fetches what they lead to.
     """
     wanted = texts.select(
-        *dict.fromkeys([row_key, *scope]),
+        *dict.fromkeys([*row_key, *scope]),
         F.explode(F.array_distinct(placeholders_in(F.col(text)))).alias("placeholder"),
     )
     reach = _nested_reach(vault, scope) if nested else None
@@ -64,7 +64,7 @@ def restore_text(
         wanted = wanted.unionByName(more).distinct()
     entries = (
         wanted.join(vault.select(*scope, "placeholder", "ord", "value"), [*scope, "placeholder"])
-        .groupBy(row_key)
+        .groupBy(*row_key)
         .agg(F.array_sort(F.collect_list(F.struct("ord", "placeholder", "value"))).alias("entries"))
     )
     joined = texts.join(entries, row_key, "left")

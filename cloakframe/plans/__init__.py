@@ -6,7 +6,7 @@ import importlib
 
 from cloakframe.plans.registry import CHECKS, PLANS
 
-MODULES = ("detection", "governance", "portfolio", "operations")
+MODULES = ("detection", "governance", "portfolio", "operations", "conversations")
 
 __all__ = ["CHECKS", "PLANS", "load_all"]
 

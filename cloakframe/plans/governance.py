@@ -15,6 +15,7 @@ from cloakframe.functions.redaction import (
 from cloakframe.operators import ledger as L
 from cloakframe.operators.numbering import carry_last
 from cloakframe.operators.policy import decide
+from cloakframe.operators.restore import restore_text
 from cloakframe.operators.responders import (
     chat_provider,
     distinct_placeholders,
@@ -277,16 +278,14 @@ def prev_hash_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 p.text AS prompt_clear FROM ledger l JOIN prompts p ON p.prompt_id = l.id"""),
 )
 def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cloakframe.operators.restore import restore_text
-
-    rows = full_ledger(spark, sf_dir)
+    rows = L.materialise(full_ledger(spark, sf_dir))
     vault = (
         with_redaction(load(spark, sf_dir, "prompts"))
         .select(F.col("prompt_id").alias("id"), F.posexplode_outer("entities").alias("ord", "e"))
         .where("e IS NOT NULL")
         .select("id", "ord", F.col("e.placeholder").alias("placeholder"), F.col("e.value").alias("value"))
     )
-    clear = restore_text(rows, "id", ["id"], "prompt_redacted", vault, "prompt_clear")
+    clear = restore_text(rows, ["id"], ["id"], "prompt_redacted", vault, "prompt_clear")
     return L.public_view(clear).select(
         "id",
         "decision",

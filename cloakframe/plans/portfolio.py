@@ -137,7 +137,7 @@ def restore_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row_ord", F.format_string("Dear %s, your account %s (%s) is due.", "customer_name", "iban", "qid").alias("text")
     )
     entries = vault.select(F.struct("first_row", "first_col").alias("ord"), "placeholder", "value")
-    return restore_text(texts, "row_ord", [], "text", entries, "restored", nested=True).select("row_ord", "restored")
+    return restore_text(texts, ["row_ord"], [], "text", entries, "restored", nested=True).select("row_ord", "restored")
 
 
 @plan("render_csv_lines", spaced(PORTFOLIO, [VAULT], f"SELECT row_ord, {LINE} AS line FROM redacted"))
@@ -290,7 +290,7 @@ def draft_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One pass restores all three texts: they share the row key and travel as one field.
     mark = "\x1e"
     packed = drafted.select("row_ord", F.concat_ws(mark, "customer_name", "en", "ar").alias("packed"))
-    restored = restore_text(packed, "row_ord", [], "packed", entries, "clear", nested=True)
+    restored = restore_text(packed, ["row_ord"], [], "packed", entries, "clear", nested=True)
     parts = F.split("clear", mark, -1)
     return restored.select(
         "row_ord",

@@ -62,6 +62,11 @@ SELECT conv_id, turn, role,
        CASE WHEN role = 'user' THEN concat(text, ' Customer Omar Khan, mail u', CAST(conv_id % 9 AS STRING), '@x.qa',
             CASE WHEN turn > 0 THEN ', and Omar Khan again.' ELSE '.' END) ELSE text END AS text
 FROM @conversations""",
+    "known_values": """
+SELECT conv_id, '[NAME_1]' AS placeholder, 'Omar Khan' AS value, 1 AS ord FROM @messages WHERE role = 'user' GROUP BY conv_id
+UNION ALL SELECT conv_id, '[EMAIL_1]' AS placeholder, concat('u', CAST(conv_id % 9 AS STRING), '@x.qa') AS value, 2 AS ord
+FROM @messages WHERE role = 'user' GROUP BY conv_id
+UNION ALL SELECT conv_id, '[NAME_2]' AS placeholder, 'Omar' AS value, 3 AS ord FROM @messages WHERE role = 'user' GROUP BY conv_id""",
     "replies": """
 SELECT c_custkey AS reply_id,
        CASE CAST(c_custkey % 4 AS INT)
