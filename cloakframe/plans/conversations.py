@@ -276,7 +276,7 @@ CHAT_REPLY = reply_sql(
 
 @plan("respond_chat", spaced(KNOWN, [REPLACED, CHAT_FACTS], f"SELECT conv_id, {CHAT_REPLY} AS reply FROM chats"))
 def respond_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chat_replies(_known_applied(spark, sf_dir))
+    return C.chat_replies(materialise(_known_applied(spark, sf_dir)))
 
 
 FINDINGS = """findings AS MATERIALIZED (SELECT kind, id, type, start, value, row_number() OVER (PARTITION BY kind, id ORDER BY start) AS nth,
