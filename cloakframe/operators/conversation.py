@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,19 +38,27 @@ def user_turns(messages: DataFrame) -> DataFrame:
     return messages.where("role = 'user'").withColumn("text", clean_text(F.col("text"))).where("text <> ''")
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    talk = Conversation()
-    rows = group.sort_values("turn")
-    done = [talk.redact(text) for text in rows["text"]]
-    return pd.DataFrame(
-        {
-            "conv_id": rows["conv_id"].to_numpy(),
-            "turn": rows["turn"].to_numpy(),
-            "redacted": [d[0] for d in done],
-            "protected_count": [d[1] for d in done],
-            "entries": [d[2] for d in done],
-        }
-    )
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fold turns sorted by (conv_id, turn); only the vault of the current conversation is held."""
+    current, talk = None, Conversation()
+    for batch in batches:
+        done = []
+        for conv_id, text in zip(batch["conv_id"], batch["text"]):
+            if conv_id != current:
+                current, talk = conv_id, Conversation()
+            done.append(talk.redact(text))
+        out = batch[["conv_id", "turn"]].copy()
+        out["redacted"] = [d[0] for d in done]
+        out["protected_count"] = [d[1] for d in done]
+        out["entries"] = [d[2] for d in done]
+        yield out
+
+
+def _fold_turns(turns: DataFrame) -> DataFrame:
+    # The number of tasks is fixed: sizing them by bytes would leave the folds to a few cores.
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = turns.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "turn")
+    return ordered.mapInPandas(_fold, REDACTED)
 
 
 REDACTED = f"conv_id long, turn long, redacted string, protected_count long, entries {ENTRY}"
@@ -58,15 +68,15 @@ def redact_conversations(messages: DataFrame, hot_turns: int = HOT_TURNS, hot_ch
     """(conv_id, turn, redacted, protected_count, entries) for every user turn.
 
     The same value keeps its placeholder through a conversation.  Conversations of bounded
-    size are folded turn by turn, one group each; larger ones are never gathered in one task
-    but solved by ``redact_long``.  Both give the same result.
+    size are folded turn by turn, streaming through sorted partitions; larger ones are not left
+    to one task but solved by ``redact_long``.  Both give the same result.
     """
     turns = user_turns(messages).select("conv_id", "turn", "text")
     sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     hot = materialise(sizes.where((F.col("n") > hot_turns) | (F.col("chars") > hot_chars)).select("conv_id"))
     if hot.isEmpty():
-        return turns.groupBy("conv_id").applyInPandas(_fold, REDACTED)
-    bounded = turns.join(hot, "conv_id", "left_anti").groupBy("conv_id").applyInPandas(_fold, REDACTED)
+        return _fold_turns(turns)
+    bounded = _fold_turns(turns.join(hot, "conv_id", "left_anti"))
     return bounded.unionByName(redact_long(turns.join(hot, "conv_id", "left_semi")))
 
 

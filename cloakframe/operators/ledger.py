@@ -138,18 +138,24 @@ def _linker(start: str):
     def link(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("seq")
         prevs, hashes = _hash_run(block["head"], start)
-        return pd.DataFrame({"seq": block["seq"], "block": block["block"], "prev_hash": prevs, "hash": hashes})
+        return block.drop(columns="head").assign(prev_hash=prevs, hash=hashes)
 
     return link
 
 
-LINKS = "seq long, block long, prev_hash string, hash string"
+def _final(ledger: DataFrame) -> DataFrame:
+    return ledger.where(F.col("status") != "pending").withColumn("head", canonical_head())
 
 
-def _blocks(ledger: DataFrame, order: list[str], block_rows: int) -> DataFrame:
-    final = ledger.where(F.col("status") != "pending").withColumn("head", canonical_head())
-    numbered = number_rows(final, [], order, "seq")
-    return materialise(numbered.withColumn("block", F.floor((F.col("seq") - 1) / block_rows)))
+def _blocks(final: DataFrame, order: list[str], block_rows: int) -> DataFrame:
+    """Order, canonical text, dense number and block of each record; nothing else is shuffled."""
+    numbered = number_rows(final.select(*order, "head"), [], order, "seq")
+    return numbered.withColumn("block", F.floor((F.col("seq") - 1) / block_rows))
+
+
+def _links_schema(blocks: DataFrame) -> str:
+    fields = [f"`{name}` {kind}" for name, kind in blocks.dtypes if name != "head"]
+    return ", ".join([*fields, "prev_hash string", "hash string"])
 
 
 def build_chain(ledger: DataFrame, order: list[str], block_rows: int = 200_000) -> DataFrame:
@@ -160,44 +166,49 @@ def build_chain(ledger: DataFrame, order: list[str], block_rows: int = 200_000)
     one bounded task, and only the last hash moves from block to block.  Use
     ``build_chain_blocks`` where independent blocks are enough.
     """
-    rows = _blocks(ledger, order, block_rows)
     spark = ledger.sparkSession
+    final = _final(ledger)
+    blocks = _blocks(final, order, block_rows)
     path = scratch_path(spark, "chain")
-    rows.select("seq", "block", "head").repartition("block").write.partitionBy("block").parquet(f"{path}/heads")
-    heads = spark.read.schema("seq long, head string, block long").parquet(f"{path}/heads")
-    last_block = rows.agg(F.max("block")).first()[0]
-    if last_block is None:
-        return rows.drop("block").withColumn("prev_hash", F.lit(None).cast("string")).withColumn("hash", F.col("prev_hash"))
+    blocks.repartition("block").write.partitionBy("block").parquet(f"{path}/heads")
+    heads = spark.read.schema(blocks.schema).parquet(f"{path}/heads")
+    schema = _links_schema(blocks)
+    last_block = heads.agg(F.max("block")).first()[0]
     prev = GENESIS
-    for block in range(last_block + 1):
-        part = heads.where(F.col("block") == block).groupBy("block").applyInPandas(_linker(prev), LINKS)
+    for block in range(0 if last_block is None else last_block + 1):
+        part = heads.where(F.col("block") == block).groupBy("block").applyInPandas(_linker(prev), schema)
         target = f"{path}/links/part={block}"
         part.write.mode("overwrite").parquet(target)
-        prev = spark.read.parquet(target).agg(F.max_by("hash", "seq")).first()[0]
-    links = spark.read.option("recursiveFileLookup", "true").schema(LINKS).parquet(f"{path}/links")
-    return rows.drop("block").join(links.drop("block"), "seq")
+        prev = spark.read.schema(schema).parquet(target).agg(F.max_by("hash", "seq")).first()[0]
+    if last_block is None:
+        links = spark.createDataFrame([], schema)
+    else:
+        links = spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(f"{path}/links")
+    return final.join(links.drop("block"), order)
 
 
 def build_chain_blocks(ledger: DataFrame, order: list[str], block_rows: int = 200_000) -> DataFrame:
     """Independent chains, one per block of ``block_rows`` records, all linked in parallel."""
-    rows = _blocks(ledger, order, block_rows)
-    links = rows.select("seq", "block", "head").groupBy("block").applyInPandas(_linker(GENESIS), LINKS)
-    return rows.drop("block").join(links, "seq")
+    final = _final(ledger)
+    blocks = _blocks(final, order, block_rows)
+    links = blocks.groupBy("block").applyInPandas(_linker(GENESIS), _links_schema(blocks))
+    return final.join(links.drop("block"), order)
 
 
 def verify_chain(chained: DataFrame, order: list[str]) -> DataFrame:
     """One row: ``ok``, ``total``, ``broken_at``, ``message``.
 
-    Every record is checked against the stored hash of its predecessor, so all ranges are
-    checked in parallel.
+    A record is sound when its hash follows from its fields and its own previous hash, which
+    needs no other row, and that previous hash is the one its predecessor stores.  Only keys
+    and hashes are shuffled, and all ranges are checked in parallel.
     """
-    rows = chained.where(F.col("hash").isNotNull()).withColumn("head", canonical_head())
-    slim = rows.select("id", *[c for c in order if c != "id"], "head", "hash", "prev_hash")
+    prev = F.coalesce("prev_hash", F.lit(GENESIS))
+    own = linked_hash(canonical_head(), prev) == F.col("hash")
+    rows = chained.where(F.col("hash").isNotNull())
+    slim = rows.select(*dict.fromkeys(["id", *order]), "hash", prev.alias("prev"), own.alias("own"))
     stored = carry_last(slim, order, "hash", "stored_prev")
-    prev = F.coalesce("stored_prev", F.lit(GENESIS))
-    bad = (linked_hash(F.col("head"), prev) != F.col("hash")) | (F.coalesce("prev_hash", F.lit(GENESIS)) != prev)
-    place = F.struct(*order)
-    found = stored.agg(F.count("*").alias("total"), F.min_by("id", F.when(bad, place)).alias("broken_at"))
+    bad = ~F.col("own") | (F.col("prev") != F.coalesce("stored_prev", F.lit(GENESIS)))
+    found = stored.agg(F.count("*").alias("total"), F.min_by("id", F.when(bad, F.struct(*order))).alias("broken_at"))
     message = (
         F.when(
             F.col("broken_at").isNotNull(),

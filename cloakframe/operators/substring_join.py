@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.session import materialise
+
 GRAM = 5
 BITS = 1 << 27  # 16 MiB of bitmap, whatever the number of values
 BUCKET = 32768  # bits per row of Spark's bitmap aggregate
@@ -98,8 +100,8 @@ def occurrences(texts: DataFrame, text_key: str, text: str, scope: list[str], va
         .agg(F.min(F.struct("freq", "gram"))["gram"].alias("gram"))
     )
     rest = [c for c in values.columns if c not in scope]
-    anchored = anchors.join(values, [*scope, value]).select(*scope, "gram", F.struct(*rest).alias("known"))
-    bitmap = _bitmap(anchors)
+    anchored = materialise(anchors.join(values, [*scope, value]).select(*scope, "gram", F.struct(*rest).alias("known")))
+    bitmap = _bitmap(anchored)
     spark = texts.sparkSession
     shared_bits = spark.sparkContext.broadcast(bitmap)
 

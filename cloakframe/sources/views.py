@@ -101,14 +101,28 @@ def spark_sql_of(view: str, sf_dir: str) -> str:
     return _NAME.sub(resolve, VIEWS[view])
 
 
+# Views whose texts are searched: the work per byte is high, so idle cores are worth a shuffle.
+TEXT_VIEWS = ("corpus", "prompts", "messages")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a derived view."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if name in VIEWS:
-        return spark.sql(spark_sql_of(name, sf_dir))
+        rows = spark.sql(spark_sql_of(name, sf_dir))
+        return spread(rows) if name in TEXT_VIEWS else rows
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the files give fewer splits than there are cores.
+
+    Large inputs give more splits than cores and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def check_sql(*views: str) -> str:
     """The views as common table expressions, in dependency order, for the check engine."""
     ordered: list[str] = []
