@@ -27,6 +27,27 @@ class Detector:
     value_group: int = 0
     check: str | None = None
     gate: str | None = None  # a shared necessary condition, see GATES
+    # The same matches for Java where the pattern repeats a group without limit: Java
+    # recurses per repetition, possessive repetition does not.
+    java: str | None = None
+    # The same matches in linear time where the pattern may start anywhere in a long run:
+    # start only where a run starts (``lead``) or where the last match ended, then ``body``.
+    lead: str | None = None
+    body: str | None = None
+
+    @property
+    def group(self) -> int:
+        return 1 if self.lead else self.value_group
+
+    def java_regex(self) -> str:
+        if self.lead:
+            return java_pattern(rf"(?:\G(?!\A)|{self.lead})({self.body})")
+        return java_pattern(self.java or self.pattern, self.ignore_case)
+
+
+# An address starts at the first word character of a run of local-part characters.
+EMAIL_LEAD = r"(?<![A-Za-z0-9._%+-])[.%+-]*+(?=\w)"
+EMAIL_BODY = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 
 
 # --- fixed values: detector patterns (ASCII \b \w \d, whitespace as in ECMAScript) ---
@@ -58,6 +79,7 @@ DETECTORS: tuple[Detector, ...] = (
     Detector(
         "EMAIL", "contact", "confidential", "Email address",
         r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", gate="at",
+        lead=EMAIL_LEAD, body=EMAIL_BODY,
     ),
     Detector(
         "PHONE", "contact", "confidential", "Phone number",
@@ -110,6 +132,7 @@ SCREENING: tuple[Detector, ...] = (
     Detector(
         "EMAIL", "", "confidential", "Email",
         r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", ignore_case=True, gate="at",
+        lead=EMAIL_LEAD, body=EMAIL_BODY,
     ),
     Detector("SSN", "", "restricted", "SSN", r"\b\d{3}-\d{2}-\d{4}\b", gate="digits"),
     Detector("CARD", "", "restricted", "Card", r"\b(?:\d[ -]*?){13,16}\b"),
@@ -123,6 +146,7 @@ SCREENING: tuple[Detector, ...] = (
     Detector(
         "PERSON", "", "confidential", "Person",
         r"\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)+\b", check="not_ui_phrase",
+        java=r"\b[A-Z][a-z]+(?:\s[A-Z][a-z]++(?!\w))++",
     ),
 )
 # Stop phrases of two words; a PERSON value always has two words, so one-word

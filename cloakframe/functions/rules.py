@@ -56,6 +56,12 @@ def finance_names(headers: dict[str, str]) -> dict[str, str | None]:
     }
 
 
+def figure_clashes(headers: dict[str, str]) -> list[str]:
+    """Columns that count both as an identity and as a figure; figures are read before redaction."""
+    figures = set(finance_names(headers).values())
+    return [column for column in classify_names(headers) if column in figures]
+
+
 def to_number(cell: Column) -> Column:
     """Keep digits, dot and minus; anything that is then not a finite number counts as 0."""
     kept = F.regexp_replace(F.coalesce(cell.cast("string"), F.lit("")), "[^0-9.-]", "")
@@ -117,8 +123,8 @@ def csv_cell(cell: Column) -> Column:
 def reply_json(reply: Column) -> Column:
     """The JSON object inside a model reply as text, or null: fences off, first ``{`` to last ``}``."""
     text = trim_space(F.coalesce(reply, F.lit("")))
-    open_fence = rf"(?i)\A```(?:json)?{c.SPACE}*"
-    bare = F.regexp_replace(F.regexp_replace(text, open_fence, ""), rf"{c.SPACE}*```\z", "")
+    open_fence = rf"(?i)\A```(?:json)?{c.SPACE}*+"
+    bare = F.regexp_replace(F.regexp_replace(text, open_fence, ""), rf"(?<!{c.SPACE}){c.SPACE}*+```\z", "")
     first = F.position(F.lit("{"), bare)
     from_end = F.position(F.lit("}"), F.reverse(bare))
     last = F.length(bare) - from_end + 1

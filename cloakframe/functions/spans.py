@@ -62,11 +62,11 @@ def detector_expr(text: str, gates: str, detectors: Sequence[Detector], det: int
     matches 0..i-1.  A text without a match costs its gate, or one search.
     """
     detector = detectors[det]
-    pattern = _raw(java_pattern(detector.pattern, detector.ignore_case))
+    pattern = _raw(detector.java_regex())
     parts = f"split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0)"
     picked = "m.`1`"
-    if detector.value_group:
-        parts += f", regexp_extract_all({text}, {pattern}, {detector.value_group})"
+    if detector.group:
+        parts += f", regexp_extract_all({text}, {pattern}, {detector.group})"
         picked = "if(m.`2` = '', m.`1`, m.`2`)"
     value = f"trim(BOTH '{EVERY_SPACE}' FROM {picked})"
     start = f"acc.pos + length(m.`0`) + position({value}, m.`1`) - 1"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakframe import catalogue as c
+from cloakframe.operators.numbering import carry_last
 
 
 def role_table(spark: SparkSession) -> DataFrame:
@@ -78,12 +79,17 @@ def list_sessions(sessions: DataFrame, now: Column, limit: int = 100) -> DataFra
 
 
 def revoke_by_prefix(sessions: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each (prefix, at) request the live session it ends, or null.
+    """For each ``prefix`` request the live session it ends, or null.
 
-    Prefixes are the 8 characters shown in listings, so the match is an equi-join on them.
+    Tokens are cut to the few prefix lengths that were asked for (listings show 8
+    characters), so the match is an equi-join.  Of several matches the first token counts.
     """
-    live = sessions.where(F.col("revoked_at").isNull()).select(F.left("token", F.lit(8)).alias("prefix"), "token")
-    one = live.groupBy("prefix").agg(F.min("token").alias("token"))
+    lengths = [r[0] for r in requests.select(F.length("prefix")).distinct().collect() if r[0]]
+    live = sessions.where(F.col("revoked_at").isNull()).select(
+        "token", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")
+    )
+    cut = live.where(F.length("token") >= F.col("n")).select(F.left("token", F.col("n")).alias("prefix"), "token")
+    one = cut.groupBy("prefix").agg(F.min("token").alias("token"))
     joined = requests.join(one, "prefix", "left")
     error = F.when(F.col("token").isNull(), "Session not found or already revoked")
     return joined.withColumn("ok", F.col("token").isNotNull()).withColumn("error", error)
@@ -123,8 +129,6 @@ def next_change(sessions: DataFrame, changes: DataFrame) -> DataFrame:
     Sessions and changes are merged on one time line, range-partitioned by time; the next
     change is carried backwards over range borders.
     """
-    from cloakframe.operators.numbering import carry_last
-
     # Reversed time turns "next change" into "last change seen so far".
     marks = changes.select(F.col("changed_at"), (-_micros(F.col("changed_at"))).alias("key"), F.lit(0).alias("kind"))
     rows = sessions.select(F.col("token").alias("tok"), (-_micros(F.col("created_at"))).alias("key"), F.lit(1).alias("kind"))

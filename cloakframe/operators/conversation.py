@@ -16,6 +16,7 @@ from cloakframe.functions.redaction import (
     placeholders_in,
     settled,
     splice,
+    tier_name,
     tier_rank,
     with_spans,
 )
@@ -30,7 +31,6 @@ from cloakframe.session import materialise
 ENTRY = "array<struct<placeholder:string,type:string,cls:string,sensitivity:string,label:string,masked:string,value:string>>"
 DEFAULT_TITLE = "New chat"
 HOT_TURNS = 20_000
-HOT_CHARS = 64_000_000
 
 
 def user_turns(messages: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def _fold_turns(turns: DataFrame) -> DataFrame:
 REDACTED = f"conv_id long, turn long, redacted string, protected_count long, entries {ENTRY}"
 
 
-def redact_conversations(messages: DataFrame, hot_turns: int = HOT_TURNS, hot_chars: int = HOT_CHARS) -> DataFrame:
+def redact_conversations(messages: DataFrame, hot_turns: int = HOT_TURNS) -> DataFrame:
     """(conv_id, turn, redacted, protected_count, entries) for every user turn.
 
     The same value keeps its placeholder through a conversation.  Conversations of bounded
@@ -72,8 +72,9 @@ def redact_conversations(messages: DataFrame, hot_turns: int = HOT_TURNS, hot_ch
     to one task but solved by ``redact_long``.  Both give the same result.
     """
     turns = user_turns(messages).select("conv_id", "turn", "text")
-    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    hot = materialise(sizes.where((F.col("n") > hot_turns) | (F.col("chars") > hot_chars)).select("conv_id"))
+    # Counting reads no text, only the two key columns.
+    sizes = messages.where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("n"))
+    hot = materialise(sizes.where(F.col("n") > hot_turns).select("conv_id"))
     if hot.isEmpty():
         return _fold_turns(turns)
     bounded = _fold_turns(turns.join(hot, "conv_id", "left_anti"))
@@ -217,8 +218,6 @@ def stored_messages(messages: DataFrame, redacted: DataFrame) -> DataFrame:
 
 def audit_metrics(redacted: DataFrame) -> DataFrame:
     """Per user turn: values newly protected, values protected so far, highest tier so far."""
-    from cloakframe.functions.redaction import tier_name
-
     facts = redacted.select(
         "conv_id",
         "turn",
@@ -276,12 +275,13 @@ def chat_replies(history: DataFrame) -> DataFrame:
 def list_conversations(conversations: DataFrame, messages: DataFrame, vault: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest conversations with their message and vault counts; 100 by default, within 1..500.
 
-    Both sides are counted before they are joined.
+    Only the page's own messages and vault entries are counted, before they are joined.
     """
     size = min(max(limit or 100, 1), 500)
     top = conversations.orderBy(F.col("updated_at").desc(), F.col("conv_id").desc()).limit(size)
-    n_messages = messages.groupBy("conv_id").agg(F.count("*").alias("message_count"))
-    n_vault = vault.groupBy("conv_id").agg(F.count("*").alias("protected_count"))
+    listed = F.broadcast(top.select("conv_id"))  # one page of at most 500 ids
+    n_messages = messages.join(listed, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("message_count"))
+    n_vault = vault.join(listed, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("protected_count"))
     joined = top.join(n_messages, "conv_id", "left").join(n_vault, "conv_id", "left")
     counted = joined.withColumn("message_count", F.coalesce("message_count", F.lit(0))).withColumn(
         "protected_count", F.coalesce("protected_count", F.lit(0))

@@ -94,22 +94,22 @@ def mask_sql(kind: str = "type", value: str = "value") -> str:
      ELSE concat('••••', right(regexp_replace({value}, {lit(SPACE)}, '', 'g'), 3)) END"""
 
 
-def spans_ctes(source: str, key: str = "kind, id", detectors=DETECTORS, ranked: bool = True) -> str:
-    """CTEs ``spans`` (all matches, ordered by rn) and ``kept`` (after overlap resolution)."""
+def spans_ctes(source: str, key: str = "kind, id", detectors=DETECTORS, ranked: bool = True, tag: str = "") -> str:
+    """CTEs ``spans`` (all matches, ordered by rn) and ``kept`` (after overlap resolution), names ending in ``tag``."""
     every = "\nUNION ALL ".join(matches_sql(d, i, source, key, ranked) for i, d in enumerate(detectors))
     cols = [c.strip() for c in key.split(",")]
     same = " AND ".join(f"o.{c} = w.{c}" for c in cols)
     order = "start, rank DESC, length(value) DESC, det" if ranked else "start, det"
     o_cols = ", ".join(f"o.{c}" for c in cols)
-    return f"""spans AS MATERIALIZED (
+    return f"""spans{tag} AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM ({every})),
-walk AS (
-  SELECT {key}, rn, det, type, start, value, TRUE AS taken, start + length(value) AS last_end FROM spans WHERE rn = 1
+walk{tag} AS (
+  SELECT {key}, rn, det, type, start, value, TRUE AS taken, start + length(value) AS last_end FROM spans{tag} WHERE rn = 1
   UNION ALL
   SELECT {o_cols}, o.rn, o.det, o.type, o.start, o.value, o.start >= w.last_end,
          CASE WHEN o.start >= w.last_end THEN o.start + length(o.value) ELSE w.last_end END
-  FROM walk w JOIN spans o ON {same} AND o.rn = w.rn + 1),
-kept AS MATERIALIZED (SELECT {key}, det, type, start, value FROM walk WHERE taken)"""
+  FROM walk{tag} w JOIN spans{tag} o ON {same} AND o.rn = w.rn + 1),
+kept{tag} AS MATERIALIZED (SELECT {key}, det, type, start, value FROM walk{tag} WHERE taken)"""
 
 
 def redacted_ctes(source: str, key: str = "kind, id") -> str:
@@ -162,3 +162,46 @@ def fill_sql(template: str, parts: dict[str, str]) -> str:
 def reply_sql(lower: str, intents: dict[str, str], replies: dict[str, str], parts: dict[str, str]) -> str:
     whens = " ".join(f"WHEN regexp_matches({lower}, {lit(p)}) THEN {fill_sql(replies[i], parts)}" for i, p in intents.items())
     return f"CASE {whens} ELSE {fill_sql(replies['other'], parts)} END"
+
+
+def chat_round_ctes(rounds: int = 3) -> list[str]:
+    """Conversation redaction over ``users`` by rounds: detect, replace earlier values, detect again.
+
+    Each round settles at least one more dependent turn, so for shallow data a few rounds
+    reach the turn-by-turn result: ``chat`` (conv_id, turn, redacted, protected_count, n_new)
+    and ``chat_vault``.
+    """
+    key = "conv_id, turn"
+    ctes = ["residue0 AS MATERIALIZED (SELECT conv_id, turn, text, 0 AS n_known FROM users)", spans_ctes("residue0", key, tag="0")]
+    for k in range(1, rounds + 1):
+        ctes += [
+            f"""vault{k} AS MATERIALIZED (
+  SELECT *, concat('[', type, '_', row_number() OVER (PARTITION BY conv_id, type ORDER BY first), ']') AS mark
+  FROM (SELECT conv_id, det, type, value, min({{'t': turn, 's': start}}) AS first FROM kept{k - 1} GROUP BY ALL))""",
+            f"""hits{k} AS MATERIALIZED (
+  SELECT u.conv_id, u.turn, v.value, v.mark, row_number() OVER (PARTITION BY u.conv_id, u.turn ORDER BY length(v.value) DESC, v.first) AS nth
+  FROM users u JOIN vault{k} v ON v.conv_id = u.conv_id AND v.first.t < u.turn AND contains(u.text, v.value))""",
+            f"""steps{k} AS (
+  SELECT conv_id, turn, 0 AS nth, text AS work, 0 AS n FROM users
+  UNION ALL
+  SELECT s.conv_id, s.turn, s.nth + 1, replace(s.work, h.value, h.mark), s.n + CAST(contains(s.work, h.value) AS INT)
+  FROM steps{k} s JOIN hits{k} h ON h.conv_id = s.conv_id AND h.turn = s.turn AND h.nth = s.nth + 1)""",
+            f"residue{k} AS MATERIALIZED (SELECT conv_id, turn, arg_max(work, nth) AS text, arg_max(n, nth) AS n_known FROM steps{k} GROUP BY conv_id, turn)",
+            spans_ctes(f"residue{k}", key, tag=str(k)),
+        ]
+    last = rounds
+    ctes += [
+        f"""marked AS (
+  SELECT k.*, v.mark, coalesce(lag(k.start + length(k.value)) OVER (PARTITION BY k.conv_id, k.turn ORDER BY k.start), 0) AS prev_end
+  FROM kept{last} k JOIN vault{last} v ON v.conv_id = k.conv_id AND v.det = k.det AND v.value = k.value)""",
+        f"""bodies AS (
+  SELECT m.conv_id, m.turn, count(DISTINCT m.mark) AS n_new, max(m.start + length(m.value)) AS last_end,
+         string_agg(concat(substring(r.text, m.prev_end + 1, m.start - m.prev_end), m.mark), '' ORDER BY m.start) AS body
+  FROM marked m JOIN residue{last} r ON r.conv_id = m.conv_id AND r.turn = m.turn GROUP BY m.conv_id, m.turn)""",
+        f"""chat AS MATERIALIZED (
+  SELECT r.conv_id, r.turn, concat(coalesce(b.body, ''), substring(r.text, coalesce(b.last_end, 0) + 1)) AS redacted,
+         r.n_known + coalesce(b.n_new, 0) AS protected_count, coalesce(b.n_new, 0) AS n_new
+  FROM residue{last} r LEFT JOIN bodies b ON b.conv_id = r.conv_id AND b.turn = r.turn)""",
+        f"chat_vault AS (SELECT conv_id, det, type, value, first, mark FROM vault{last})",
+    ]
+    return ctes

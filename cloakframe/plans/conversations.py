@@ -13,7 +13,7 @@ from cloakframe.operators import screening as S
 from cloakframe.operators import vault as V
 from cloakframe.operators.restore import restore_text
 from cloakframe.operators.substring_join import occurrences
-from cloakframe.plans.checksql import lit, mask_sql, re2, redacted_ctes, reply_sql, spaced, spans_ctes, trim_sql
+from cloakframe.plans.checksql import chat_round_ctes, lit, mask_sql, re2, redacted_ctes, reply_sql, spaced, spans_ctes, trim_sql
 from cloakframe.plans.registry import plan
 from cloakframe.session import materialise
 from cloakframe.sources.views import load
@@ -34,29 +34,49 @@ def _redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.redact_conversations(messages(spark, sf_dir))
 
 
-@plan("chat_redact_fold")
+CHAT = [USERS, *chat_round_ctes()]
+CHAT_ROWS = spaced(MESSAGES, CHAT, "SELECT conv_id, turn, redacted, protected_count, n_new FROM chat")
+CLASS_OF = ", ".join(f"({i}, {lit(d.sensitivity)}, {lit(d.label)}, {c.TIER_RANK[d.sensitivity]})" for i, d in enumerate(c.DETECTORS))
+
+
+@plan("chat_redact_fold", CHAT_ROWS)
 def chat_redact_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _redacted(spark, sf_dir)
     return done.select("conv_id", "turn", "redacted", "protected_count", F.size("entries").cast("long").alias("n_new"))
 
 
-@plan("chat_redact_long")
+@plan("chat_redact_long", CHAT_ROWS)
 def chat_redact_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = C.redact_long(C.user_turns(messages(spark, sf_dir)).select("conv_id", "turn", "text"))
     return done.select("conv_id", "turn", "redacted", "protected_count", F.size("entries").cast("long").alias("n_new"))
 
 
-@plan("chat_messages_redacted")
+@plan(
+    "chat_messages_redacted",
+    spaced(MESSAGES, CHAT, f"""SELECT conv_id, turn, 'user' AS role, redacted AS content, protected_count FROM chat UNION ALL
+SELECT conv_id, turn, role, text, len(list_distinct(regexp_extract_all(text, {re2(chr(92) + '[[A-Z]+_[0-9]+' + chr(92) + ']')}))) FROM messages WHERE role <> 'user'"""),
+)
 def chat_messages_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.stored_messages(messages(spark, sf_dir), _redacted(spark, sf_dir))
 
 
-@plan("chat_audit_metrics")
+@plan(
+    "chat_audit_metrics",
+    spaced(MESSAGES, CHAT, f"""SELECT conv_id, turn, protected_new, CAST(protected_total AS BIGINT) AS protected_total,
+CASE top WHEN 3 THEN 'restricted' WHEN 2 THEN 'confidential' WHEN 1 THEN 'internal' END AS sensitivity FROM (
+SELECT c.conv_id, c.turn, c.n_new AS protected_new, sum(c.n_new) OVER w AS protected_total, max(r.rank) OVER w AS top
+FROM chat c LEFT JOIN (SELECT conv_id, first.t AS turn, max(k.rank) AS rank FROM chat_vault v JOIN (VALUES {CLASS_OF}) AS k(det, sensitivity, label, rank) ON k.det = v.det GROUP BY ALL) r
+ON r.conv_id = c.conv_id AND r.turn = c.turn WINDOW w AS (PARTITION BY c.conv_id ORDER BY c.turn))"""),
+)
 def chat_audit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.audit_metrics(_redacted(spark, sf_dir))
 
 
-@plan("protected_fields")
+@plan(
+    "protected_fields",
+    spaced(MESSAGES, CHAT, f"""SELECT conv_id, mark AS placeholder, label, sensitivity, {mask_sql()} AS masked
+FROM chat_vault v JOIN (VALUES {CLASS_OF}) AS k(det, sensitivity, label, rank) ON k.det = v.det"""),
+)
 def protected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.conversation_vault(_redacted(spark, sf_dir)).select("conv_id", "placeholder", "label", "sensitivity", "masked")
 

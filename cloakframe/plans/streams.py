@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.plans.checksql import redacted_ctes, spans_ctes
+from cloakframe.plans.checksql import redacted_ctes, spaced, spans_ctes
+from cloakframe.plans.conversations import CHAT, MESSAGES
 from cloakframe.plans.registry import plan
 from cloakframe.streaming import jobs as J
 
@@ -41,7 +42,7 @@ def stream_screen_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.run_available(J.screen_requests(requests), "screened").select("id", "prompt_redacted")
 
 
-@plan("stream_redact_chat")
+@plan("stream_redact_chat", spaced(MESSAGES, CHAT, "SELECT conv_id, turn, redacted, protected_count, n_new, FALSE AS late FROM chat"))
 def stream_redact_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     utc(spark)
     raw = J.read_stream(spark, sf_dir, "conversations")
