@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloakframe.catalogue import DETECTORS, GATES, IBAN_COUNTRIES, NOT_PERSONS, TIER_RANK, Detector, java_pattern
+from cloakframe.catalogue import DETECTORS, GATES, IBAN_COUNTRIES, NOT_PERSONS, TIER_RANK, Detector, Gate, java_pattern
 from cloakframe.functions.text import EVERY_SPACE
 
 SPANS = "array<struct<start:int,rank_key:int,len_key:int,det:int,value:string>>"
@@ -45,14 +45,16 @@ def valid_expr(detector: Detector, value: str) -> str:
     return "TRUE"
 
 
+def gate_expr(text: str, gate: Gate) -> str:
+    literals = " OR ".join(f"contains({text}, '{literal}')" for literal in gate.literals)
+    patterns = [f"rlike({text}, {_raw(java_pattern(p))})" for p in gate.patterns]
+    return " AND ".join([f"({literals})"] * bool(literals) + patterns)
+
+
 def gate_flags(text: str, detectors: Sequence[Detector] = DETECTORS) -> Column:
     """One boolean per gate the detectors use."""
     names = list(dict.fromkeys(d.gate for d in detectors if d.gate))
-
-    def test(pattern: str) -> str:
-        return f"contains({text}, '{pattern}')" if len(pattern) == 1 else f"rlike({text}, {_raw(java_pattern(pattern))})"
-
-    return F.expr("named_struct(" + ", ".join(f"'{n}', {test(GATES[n])}" for n in names) + ")")
+    return F.expr("named_struct(" + ", ".join(f"'{n}', {gate_expr(text, GATES[n])}" for n in names) + ")")
 
 
 def detector_expr(text: str, gates: str, detectors: Sequence[Detector], det: int, ranked: bool = True) -> str:

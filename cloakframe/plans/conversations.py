@@ -320,7 +320,7 @@ def screen_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT s.kind, s.id, s.nth + 1, CASE WHEN strpos(s.text, f.value) = 0 THEN s.text ELSE
     concat(left(s.text, strpos(s.text, f.value) - 1), f.placeholder, substring(s.text, strpos(s.text, f.value) + length(f.value))) END
   FROM steps s JOIN findings f ON f.kind = s.kind AND f.id = s.id AND f.nth = s.nth + 1)"""],
-           "SELECT kind, id, max(nth) AS protected_count, arg_max(text, nth) AS redacted FROM steps GROUP BY kind, id"),
+           "SELECT kind, id, CAST(max(nth) AS BIGINT) AS protected_count, arg_max(text, nth) AS redacted FROM steps GROUP BY kind, id"),
 )
 def screen_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = S.with_findings(load(spark, sf_dir, "corpus"))

@@ -349,7 +349,7 @@ parsed AS MATERIALIZED (SELECT reply_id, CASE WHEN json_valid(body) THEN body EN
 @plan(
     "parse_model_json",
     spaced(["replies"], [REPLY_JSON], """SELECT reply_id, body AS json, json_extract_string(body, '$.headline') AS headline,
-json_array_length(body, '$.groups') AS n_groups FROM parsed"""),
+CAST(json_array_length(body, '$.groups') AS BIGINT) AS n_groups FROM parsed"""),
 )
 def parse_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = T.parse_replies(load(spark, sf_dir, "replies"))

@@ -48,7 +48,8 @@ def test_gates_are_necessary_conditions():
         for d in c.DETECTORS:
             if d.gate and _compiled(d.pattern, d.ignore_case).search(text):
                 gate = c.GATES[d.gate]
-                assert _compiled(gate, False).search(text), (d.type, text)
+                assert not gate.literals or any(literal in text for literal in gate.literals), (d.type, text)
+                assert all(_compiled(p, False).search(text) for p in gate.patterns), (d.type, text)
 
 
 def test_long_texts_finish(spark):
