@@ -1,7 +1,7 @@
 """Dense numbering, running totals and carried values over data too large for one window task.
 
-The operators range-partition on the order, keep the partition number in a reliable
-checkpoint, work inside each range, and correct the ranges with a table that has one row
+The operators range-partition on the order, keep the partition number in a stored table,
+work inside each range, and correct the ranges with a table that has one row
 per range (and group that crosses it).  No task sees more than one range.
 """
 

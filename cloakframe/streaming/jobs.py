@@ -31,19 +31,29 @@ def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: i
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything available into a table in the shared folder and read it back."""
+def run_available(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
+    """Process everything available into a table in the shared folder and read it back.
+
+    State is kept in ``state_partitions`` parts, by default one per core: the number stays
+    fixed for the life of a checkpoint, and every part is a store that each batch must open.
+    """
     spark = stream.sparkSession
     target = scratch_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("checkpointLocation", f"{target}-checkpoint")
-        .option("path", target)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", f"{target}-checkpoint")
+            .option("path", target)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(target)
 
 
