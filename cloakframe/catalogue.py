@@ -285,14 +285,6 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
-def types_of(detectors: tuple[Detector, ...]) -> list[str]:
-    return [d.type for d in detectors]
-
-
-def ranks_of(detectors: tuple[Detector, ...]) -> list[int]:
-    return [TIER_RANK[d.sensitivity] for d in detectors]
-
-
 # --- fixed values: policy reasons --------------------------------------------
 REASON_BLOCKED_CLASS = ('Data class "', '" may never leave the perimeter — blocked before any model call.')
 REASON_APPROVAL = " data is leaving the perimeter to an external model — a human approver is required."

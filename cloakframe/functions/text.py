@@ -29,10 +29,6 @@ def capitalise(word: Column) -> Column:
     return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 30))
 
 
-def digits_of(text: Column) -> Column:
-    return F.regexp_replace(text, "[^0-9]", "")
-
-
 def has_any(text: Column, pattern: str) -> Column:
     """Case-insensitive search under ASCII folding."""
     return text.rlike("(?i)" + pattern)

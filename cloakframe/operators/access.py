@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe import catalogue as c
 from cloakframe.operators.numbering import carry_last
 
 
-def role_table(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{name}', {rank})" for name, rank in c.ROLE_RANK.items())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(role, rank)")
-
-
 def rank_of(role: Column) -> Column:
     """Rank of a role; a missing role is a viewer, an unknown one has rank 0."""
     chain = F.when(F.coalesce(role, F.lit("")) == "", c.ROLE_RANK["viewer"])

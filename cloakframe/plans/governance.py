@@ -6,24 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe import catalogue as c
-from cloakframe.functions.redaction import (
-    distinct_classes,
-    entity_summary,
-    top_sensitivity,
-    with_redaction,
-)
+from cloakframe.functions.redaction import entity_summary, with_redaction
 from cloakframe.operators import ledger as L
 from cloakframe.operators.numbering import carry_last
-from cloakframe.operators.policy import decide
+from cloakframe.operators.responders import chat_provider, distinct_placeholders, gateway_provider, gateway_reply
 from cloakframe.operators.restore import restore_text
-from cloakframe.operators.responders import (
-    chat_provider,
-    distinct_placeholders,
-    gateway_provider,
-    gateway_reply,
-)
 from cloakframe.plans.checksql import lit, redacted_ctes, reply_sql, spaced, spans_ctes
 from cloakframe.plans.registry import plan
+from cloakframe.session import materialise
 from cloakframe.sources.views import load
 
 PROMPTS = ["prompts"]
@@ -151,7 +141,7 @@ def full_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settled_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.materialise(full_ledger(spark, sf_dir))
+    rows = materialise(full_ledger(spark, sf_dir))
     return L.settle(rows, L.apply_approvals(rows, decisions(spark, sf_dir)))
 
 
@@ -278,7 +268,7 @@ def prev_hash_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 p.text AS prompt_clear FROM ledger l JOIN prompts p ON p.prompt_id = l.id"""),
 )
 def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.materialise(full_ledger(spark, sf_dir))
+    rows = materialise(full_ledger(spark, sf_dir))
     vault = (
         with_redaction(load(spark, sf_dir, "prompts"))
         .select(F.col("prompt_id").alias("id"), F.posexplode_outer("entities").alias("ord", "e"))
