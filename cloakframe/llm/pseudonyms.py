@@ -61,7 +61,7 @@ class Permutation:
             s -> {finish})"""
 
     def number(self, kind: str, value: str, xs: int, ys: int) -> str:
-        return self.rounds(kind, f"{value} DIV {ys}", f"{value} % {ys}", str(xs), str(ys), f"s.x * {ys} + s.y")
+        return self.rounds(kind, f"({value}) DIV {ys}", f"({value}) % {ys}", str(xs), str(ys), f"s.x * {ys} + s.y")
 
     def walk(self, kind: str, value: str, xs: int, ys: int, fits: str) -> str:
         """Permute until the result ``v`` fits; the values that fit are permuted among themselves."""
