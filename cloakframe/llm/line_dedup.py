@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cloakframe.llm.cuckoo import CuckooFilter
 from cloakframe.llm.keyed_stream import leaders_first, salt_of, streamed
@@ -156,7 +157,7 @@ def drop_repeated_lines(documents: DataFrame, min_chars: int = 20, min_docs: int
     plain = documents.select(*[F.col(c).cast("string") if c == "text" else F.col(c) for c in columns])
     drops = lines_to_drop(plain, min_chars, min_docs)
     joined = plain.join(drops.withColumnRenamed("doc_id", "drop_doc"), F.col("doc_id").cast("long") == F.col("drop_doc"), "left").drop("drop_doc")
-    out = plain.schema.add("n_lines", "long").add("n_dropped", "long")
+    out = StructType(list(plain.schema)).add("n_lines", "long").add("n_dropped", "long")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

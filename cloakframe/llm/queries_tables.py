@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cloakframe.llm import compression_classifier
 from cloakframe.llm.line_dedup import drop_repeated_lines
 from cloakframe.llm.mixing import mix
 from cloakframe.llm.pseudonyms import pseudonymise
@@ -75,3 +76,13 @@ FROM j GROUP BY doc_id"""
 def line_dedup(spark, sf_dir):
     cleaned = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op5_compression_classifier")
+def quality_scores(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compression_classifier.fit(documents, table(spark, sf_dir, "labels"))
+    scored = compression_classifier.score(documents, model)
+    return scored.select(
+        "doc_id", compression_classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "good_bytes", "bad_bytes", "n_bytes")
