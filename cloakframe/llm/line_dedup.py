@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cloakframe.llm.arrow_parts import slices
 from cloakframe.llm.cuckoo import CuckooFilter
 from cloakframe.llm.keyed_stream import leaders_first, salt_of, streamed
 from cloakframe.session import materialise
@@ -52,16 +53,6 @@ def halves(key: str) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``most`` bytes of text, so that work on long texts stays in bounds."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // most
-    starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for start, end in zip(starts, starts[1:]):
-        if end > start:
-            yield batch.slice(start, end - start)
-
-
 def line_references(documents: DataFrame, min_chars: int = 20) -> DataFrame:
     """One row per document and distinct line key: doc_id, hi, lo."""
 

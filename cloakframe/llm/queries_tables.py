@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from cloakframe.llm import compression_classifier
 from cloakframe.llm.line_dedup import drop_repeated_lines
 from cloakframe.llm.mixing import mix
+from cloakframe.llm.packing import pack, pieces
 from cloakframe.llm.pseudonyms import pseudonymise
 from cloakframe.llm.registry import query, table
 
 LEVELS = ("domain", "lang", "source")
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}}
 SHARE, SEED, EPOCHS = 0.9, 17, 3
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def with_domain(documents):
@@ -86,3 +89,8 @@ def quality_scores(spark, sf_dir):
     return scored.select(
         "doc_id", compression_classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
         "good_bytes", "bad_bytes", "n_bytes")
+
+
+@query("op7_packing")
+def packing(spark, sf_dir):
+    return pack(pieces(table(spark, sf_dir, "documents"), VOCABULARY))
