@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cloakframe.llm import compression_classifier
 from cloakframe.llm.line_dedup import drop_repeated_lines
 from cloakframe.llm.mixing import mix
+from cloakframe.llm.neighbours import nearest
 from cloakframe.llm.packing import pack, pieces
 from cloakframe.llm.pseudonyms import pseudonymise
 from cloakframe.llm.registry import query, table
@@ -94,3 +95,9 @@ def quality_scores(spark, sf_dir):
 @query("op7_packing")
 def packing(spark, sf_dir):
     return pack(pieces(table(spark, sf_dir, "documents"), VOCABULARY))
+
+
+@query("op8_neighbours")
+def neighbours(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(rows, F.col("id") % 100 == 0)
