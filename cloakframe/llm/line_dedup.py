@@ -35,7 +35,7 @@ from cloakframe.llm.keyed_stream import leaders_first, salt_of, streamed
 from cloakframe.session import materialise
 
 REFS = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
-PART_ROWS, KEYS_PER_SHARD = 500_000, 200_000
+PART_ROWS, KEYS_PER_SHARD = 50_000, 200_000
 
 
 def lines_of(texts: pa.Array) -> tuple[list[int], pa.Array]:

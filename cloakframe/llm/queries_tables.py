@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cloakframe.llm import compression_classifier
 from cloakframe.llm.line_dedup import drop_repeated_lines
 from cloakframe.llm.mixing import mix
+from cloakframe.llm.near_dedup import near_duplicates
 from cloakframe.llm.neighbours import nearest
 from cloakframe.llm.packing import pack, pieces
 from cloakframe.llm.pseudonyms import pseudonymise
@@ -101,3 +102,22 @@ def packing(spark, sf_dir):
 def neighbours(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return nearest(rows, F.col("id") % 100 == 0)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT r.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
+
+
+@query("op6_near_dedup", OP6_SQL)
+def near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
