@@ -4,8 +4,8 @@
 ``pack`` puts pieces into bins: each goes where the squares of the numbers of open bins per residual gap sum up to least
 afterwards (ties: the smaller gap, an open bin before a new one).  The rule reads counts per gap only, so a step costs the
 capacity and not the number of bins.  It runs on hash groups of ``GROUP`` pieces, many at once; what lies in
-bins that stayed under ``CLOSED`` of the capacity is packed again in fewer groups, at last in one, by falling length.
-The part that comes back shrinks from round to round; where it does not (no two pieces fit together) the bins stay.
+bins that stayed under ``CLOSED`` of the capacity is packed again in fewer groups.  The last round, by falling length, is the one
+that fits a group, or the one after a round that brought more than half of its pieces back (few pieces fit together).
 
 Defined cases: a null or empty text is its end mark alone; null doc_ids are packed like others; rows that repeat an id are
 pieces of their own; only doc_id and text are read of the input; an empty table gives no rows.
@@ -108,17 +108,17 @@ def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
     found = materialise(found)
     columns = found.columns
     whole = found.where(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    done, left, turn = [whole], found.where(F.col("length") < capacity), 0
+    done, left, turn, last = [whole], found.where(F.col("length") < capacity), 0, False
     while (n := left.count()) > 0:
         groups = -(-n // GROUP)
-        last = groups == 1 and turn > 0
+        last = last or (groups == 1 and turn > 0)
         packed = materialise(pack_groups(left, groups, capacity, last, turn))
-        again = packed.where(F.col("filled") < CLOSED * capacity)
-        if last or 2 * again.count() > n:
+        if last:
             done.append(packed.drop("filled"))
             break
         done.append(packed.where(F.col("filled") >= CLOSED * capacity).drop("filled"))
-        left, turn = again.select(*columns), turn + 1
+        left = packed.where(F.col("filled") < CLOSED * capacity).select(*columns)
+        last, turn = 2 * left.count() > n, turn + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
