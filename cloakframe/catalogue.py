@@ -354,7 +354,6 @@ LETTER_AR = (
 LETTER_AR_LATE = "، ومتأخر الآن {days} يوماً"
 NO_NAME = "Customer"
 REMINDER_WORDS = r"remind|overdue|collect|due"
-MAX_LETTERS = 500
 PREVIEW_ROWS = 12
 
 # --- fixed values: prompt texts around the redacted rows ---------------------

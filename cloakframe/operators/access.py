@@ -34,25 +34,37 @@ def _micros(moment: Column) -> Column:
 HOUR = 3_600_000_000
 
 
-def access_validity(accesses: DataFrame, sessions: DataFrame) -> DataFrame:
+def access_validity(accesses: DataFrame, sessions: DataFrame, order: tuple[str, ...] = ("seen_at", "event_id")) -> DataFrame:
     """State of the session at each (token, seen_at) access: valid, expired, idle, revoked or unknown.
 
-    ``last_seen_at`` is when the session was last used before the accesses.  Hard expiry is
-    tested before the idle limit; both limits are strict.
+    Accesses of a token follow each other in ``order``.  A valid one moves the time the session was last seen; the first
+    one past the hard expiry, or more than the idle limit after the last, ends the session and names why; all later ones
+    find it revoked.  Both limits are strict, the hard expiry is tested first.
+
+    Tokens are not gathered: accesses are range-partitioned by token and order, and the one before is carried over borders.
     """
-    # A token is the key of at most one session, so hot tokens only repeat the access side;
-    # the join is left to Spark, which broadcasts by measured size or splits hot partitions.
-    joined = accesses.join(sessions, "token", "left")
+    keyed = accesses.withColumn("here", F.struct("token", "seen_at"))
+    # A token is the key of at most one session; hot tokens only repeat the access side.
+    joined = carry_last(keyed, ["token", *order], "here", "before").drop("here").join(sessions, "token", "left")
     now = _micros(F.col("seen_at"))
-    idle = now - _micros(F.coalesce("last_seen_at", "created_at"))
-    state = (
-        F.when(F.col("created_at").isNull(), "unknown")
-        .when(F.col("revoked_at") <= F.col("seen_at"), "revoked")
+    earlier = F.when(F.col("before.token") == F.col("token"), F.col("before.seen_at"))
+    idle = now - _micros(F.coalesce(earlier, "last_seen_at", "created_at"))
+    fault = (
+        F.when(F.col("revoked_at") <= F.col("seen_at"), "revoked")
         .when(now > _micros(F.col("expires_at")), "expired")
         .when(idle > c.SESSION_IDLE_HOURS * HOUR, "idle")
-        .otherwise("valid")
     )
-    return joined.withColumn("state", state).withColumn("role", valid_role(F.col("role")))
+    judged = joined.withColumn("fault", fault).withColumn("place", F.struct(*order))
+    # Up to the first fault every access was valid, so the one before is the one the session was last seen at.
+    ends = judged.where("fault IS NOT NULL").groupBy("token").agg(F.min("place").alias("end"))
+    state = (
+        F.when(F.col("created_at").isNull(), "unknown")
+        .when(F.col("end").isNull() | (F.col("place") < F.col("end")), "valid")
+        .when(F.col("place") == F.col("end"), F.col("fault"))
+        .otherwise("revoked")
+    )
+    out = judged.join(ends, "token", "left").withColumn("state", state).withColumn("role", valid_role(F.col("role")))
+    return out.drop("before", "fault", "place", "end")
 
 
 def list_sessions(sessions: DataFrame, now: Column, limit: int = 100) -> DataFrame:
@@ -94,8 +106,7 @@ def session_end(sessions: DataFrame, credential_changes: DataFrame) -> DataFrame
     """When each session ends: revocation, hard expiry, idle limit, or the first credential
     change after it began, whichever is first; and which one it was.
 
-    Credential changes are few administrative events (checked by Spark's own size limit);
-    sessions find their next change through day buckets, not by comparing all pairs.
+    Sessions find their next change on one time line, not by comparing all pairs.
     """
     idle = F.col("last_seen_at") + F.expr(f"INTERVAL {c.SESSION_IDLE_HOURS} HOURS")
     with_change = next_change(sessions, credential_changes)
@@ -134,7 +145,9 @@ def next_change(sessions: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def trailing_failures(attempts: DataFrame, window_seconds: int = c.LOCK_WINDOW_SECONDS) -> DataFrame:
-    """Add ``failed`` (failures of the ip in the trailing window, this attempt included) and ``locked``.
+    """Add ``failed`` (failures of the ip in the window before this attempt) and ``locked``.
+
+    The lock is asked for before the attempt is recorded, so an attempt does not count itself, nor others of its instant.
 
     An ip of any size is cut into windows of time: every row is counted in its own time
     bucket with the previous bucket's failures as lead-in, so no task holds a whole ip.
@@ -145,22 +158,14 @@ def trailing_failures(attempts: DataFrame, window_seconds: int = c.LOCK_WINDOW_S
     merged = moments.groupBy("ip", "bucket", "at_us").agg(F.sum(F.when(F.col("success") == 0, 1).otherwise(0)).alias("fails"))
     lead_in = merged.where("fails > 0").withColumn("bucket", F.col("bucket") + 1).withColumn("own", F.lit(False))
     both = merged.withColumn("own", F.lit(True)).unionByName(lead_in)
-    trailing = Window.partitionBy("ip", "bucket").orderBy("at_us").rangeBetween(-span, 0)
-    counted = both.withColumn("failed", F.sum("fails").over(trailing)).where("own")
+    trailing = Window.partitionBy("ip", "bucket").orderBy("at_us").rangeBetween(-span, -1)
+    counted = both.withColumn("failed", F.coalesce(F.sum("fails").over(trailing), F.lit(0))).where("own")
     # An attempt without an ip finds no partner here and is never locked.
     out = moments.join(counted.select("ip", "bucket", "at_us", "failed"), ["ip", "bucket", "at_us"], "left")
     known = out.drop("bucket", "at_us").withColumn("failed", F.coalesce("failed", F.lit(0)))
     return known.withColumn("locked", F.col("failed") >= c.LOCK_THRESHOLD)
 
 
-def lockout_windows(attempts: DataFrame, slide: str = "1 minute") -> DataFrame:
-    """Sliding 15-minute windows in which an ip reached the failure threshold."""
-    failed = attempts.where("success = 0")
-    window = F.window(F.col("at").cast("timestamp"), f"{c.LOCK_WINDOW_SECONDS} seconds", slide)
-    counts = failed.groupBy("ip", window.alias("w")).agg(F.count("*").alias("failed"))
-    return counts.where(F.col("failed") >= c.LOCK_THRESHOLD)
-
-
 def delegation_expiry(requests: DataFrame) -> DataFrame:
     """Expiry of (issued_at, ttl_hours) requests: 24 hours by default, kept within 1..720."""
     hours = F.greatest(F.lit(1), F.least(F.lit(720), F.coalesce(F.nullif("ttl_hours", F.lit(0)), F.lit(24))))

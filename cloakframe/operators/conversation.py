@@ -273,13 +273,13 @@ def chat_replies(history: DataFrame) -> DataFrame:
 
 
 def list_conversations(conversations: DataFrame, messages: DataFrame, vault: DataFrame, limit: int | None = None) -> DataFrame:
-    """Newest conversations with their message and vault counts; 100 by default, within 1..500.
+    """Newest conversations with their message and vault counts; 100 unless another page size is asked for.
 
     Only the page's own messages and vault entries are counted, before they are joined.
     """
-    size = min(max(limit or 100, 1), 500)
+    size = 100 if limit is None else max(limit, 1)
     top = conversations.orderBy(F.col("updated_at").desc(), F.col("conv_id").desc()).limit(size)
-    listed = F.broadcast(top.select("conv_id"))  # one page of at most 500 ids
+    listed = top.select("conv_id")
     n_messages = messages.join(listed, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("message_count"))
     n_vault = vault.join(listed, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("protected_count"))
     joined = top.join(n_messages, "conv_id", "left").join(n_vault, "conv_id", "left")

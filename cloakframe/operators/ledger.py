@@ -64,14 +64,19 @@ def ledger_rows(requests: DataFrame) -> DataFrame:
 
 
 def apply_approvals(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Outcome of each (request_id, verdict, approver, notes) decision against the ledger.
+    """Outcome of each (request_id, decision_id, decided_at, verdict, approver, notes) decision against the ledger.
 
-    One row per decision: ``ok``, ``error`` and, when it took effect, the new record state.
+    One row per decision: ``ok``, ``error`` and, when it took effect, the new record state.  Of several decisions on
+    a held request the first in time (then by decision_id) takes effect; the others find it settled and say so.
     """
+    turn = F.struct("decided_at", "decision_id")
+    first = decisions.groupBy("request_id").agg(F.min_by("verdict", turn).alias("first_verdict"), F.min(turn).alias("first"))
     held = ledger.select(
         F.col("id").alias("request_id"), "status", "reason", "prompt_redacted", F.lit(True).alias("found")
     )
-    joined = decisions.join(held, "request_id", "left")
+    joined = decisions.join(held, "request_id", "left").join(first, "request_id", "left").withColumn("late", turn != F.col("first"))
+    settled_as = F.when(F.col("first_verdict") == "approve", "completed").otherwise("rejected")
+    joined = joined.withColumn("status", F.when((F.col("status") == "pending") & F.col("late"), settled_as).otherwise(F.col("status")))
     takes = F.col("found") & (F.col("status") == "pending")
     approve = takes & (F.col("verdict") == "approve")
     reject = takes & (F.col("verdict") == "reject")
@@ -81,6 +86,8 @@ def apply_approvals(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
     )
     return joined.select(
         "request_id",
+        "decision_id",
+        "decided_at",
         "verdict",
         F.coalesce(takes, F.lit(False)).alias("ok"),
         error.alias("error"),
@@ -94,18 +101,20 @@ def apply_approvals(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def settle(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The ledger after approvals, with ``phase``: 0 settled on arrival, 1 settled by a person."""
+    """The ledger after approvals, with ``phase`` (0 settled on arrival, 1 settled by a person) and ``settled_at``."""
     done = outcomes.where("ok").select(
         F.col("request_id").alias("id"),
         *[F.col(c).alias(f"new_{c}") for c in ("status", "approver", "reason", "provider", "model", "output_redacted")],
         F.lit(1).alias("phase"),
+        F.col("decided_at").alias("settled_at"),
     )
     joined = ledger.join(done, "id", "left")
     for column in ("status", "approver", "reason", "provider", "model", "output_redacted"):
         joined = joined.withColumn(
             column, F.when(F.col("phase") == 1, F.col(f"new_{column}")).otherwise(F.col(column))
         ).drop(f"new_{column}")
-    return joined.withColumn("phase", F.coalesce("phase", F.lit(0)))
+    moment = F.coalesce("settled_at", F.col("created_at").cast("timestamp_ntz"))
+    return joined.withColumn("phase", F.coalesce("phase", F.lit(0))).withColumn("settled_at", moment)
 
 
 def canonical_head() -> Column:
@@ -238,8 +247,8 @@ def public_view(ledger: DataFrame) -> DataFrame:
 
 
 def latest(ledger: DataFrame, limit: int | None = None) -> DataFrame:
-    """Newest records first; the page size defaults to 50 and stays within 1..500."""
-    return ledger.orderBy(F.col("id").desc()).limit(min(max(limit or 50, 1), 500))
+    """Newest records first, 50 unless another page size is asked for."""
+    return ledger.orderBy(F.col("id").desc()).limit(50 if limit is None else max(limit, 1))
 
 
 def by_id(ledger: DataFrame, request_id: int) -> DataFrame:

@@ -10,11 +10,11 @@ from cloakframe.functions.rules import grouped_number, plain_number
 from cloakframe.operators.responders import fill
 
 
-def draft_targets(figures: DataFrame, order: str, limit: int = c.MAX_LETTERS) -> DataFrame:
-    """Overdue rows, or all rows when none is overdue; the first ``limit`` by order."""
-    overdue = figures.where("dpd > 0")
-    rows = figures if overdue.isEmpty() else overdue
-    return rows.orderBy(order).limit(limit)
+def draft_targets(figures: DataFrame) -> DataFrame:
+    """Every overdue row, or all rows when none is overdue."""
+    any_late = figures.agg(F.coalesce(F.max(F.col("dpd") > 0), F.lit(False)).alias("any_late"))
+    flagged = figures.crossJoin(F.broadcast(any_late))  # one row
+    return flagged.where("dpd > 0 OR NOT any_late").drop("any_late")
 
 
 def letters(targets: DataFrame, name: str, has_debt: bool = True) -> DataFrame:

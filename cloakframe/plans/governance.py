@@ -72,27 +72,34 @@ LEDGER_COLS = (
     "decision, status, reason, approver, output_redacted"
 )
 DECISIONS = """decisions AS (
-  SELECT prompt_id AS request_id, CASE WHEN (prompt_id // 12) % 3 = 0 THEN 'approve' ELSE 'reject' END AS verdict, 'dashboard:lead' AS approver,
+  SELECT *, TIMESTAMP '2024-02-01' + to_seconds((decision_id * 37) % 100000) AS decided_at FROM (
+  SELECT prompt_id AS request_id, 4 * prompt_id AS decision_id, CASE WHEN (prompt_id // 12) % 3 = 0 THEN 'approve' ELSE 'reject' END AS verdict, 'dashboard:lead' AS approver,
          CASE WHEN prompt_id % 5 = 0 THEN 'not needed' END AS notes FROM prompts WHERE (prompt_id // 12) % 3 < 2
-  UNION ALL SELECT -prompt_id, 'approve', 'dashboard:lead', NULL FROM prompts WHERE prompt_id % 50 = 0 AND prompt_id > 0)"""
+  UNION ALL SELECT prompt_id, 4 * prompt_id + 1, CASE WHEN prompt_id % 2 = 0 THEN 'approve' ELSE 'reject' END, 'dashboard:second', 'second look' FROM prompts WHERE prompt_id % 3 > 0
+  UNION ALL SELECT -prompt_id, 4 * prompt_id + 2, 'approve', 'dashboard:lead', NULL FROM prompts WHERE prompt_id % 50 = 0 AND prompt_id > 0)),
+turns AS (SELECT *, row_number() OVER w AS nr, first_value(verdict) OVER w AS first_verdict FROM decisions WINDOW w AS (PARTITION BY request_id ORDER BY decided_at, decision_id)),
+asked AS MATERIALIZED (SELECT l.id AS lid, l.reason AS old_reason, l.ph AS lph, t.*,
+         CASE WHEN l.status = 'pending' AND nr > 1 THEN CASE first_verdict WHEN 'approve' THEN 'completed' ELSE 'rejected' END ELSE l.status END AS found_status
+  FROM turns t LEFT JOIN ledger l ON l.id = t.request_id)"""
 OUTCOMES = f"""outcomes AS MATERIALIZED (
-  SELECT d.request_id, d.verdict, coalesce(l.status = 'pending', FALSE) AS ok,
-         CASE WHEN l.id IS NULL THEN 'Request not found' WHEN l.status <> 'pending' THEN concat('Request is ''', l.status, ''', not pending') END AS error,
-         CASE WHEN l.status = 'pending' THEN CASE d.verdict WHEN 'approve' THEN 'completed' ELSE 'rejected' END ELSE l.status END AS status,
-         CASE WHEN l.status = 'pending' THEN d.approver END AS approver,
-         CASE WHEN l.status = 'pending' AND d.verdict = 'reject' THEN coalesce(d.notes, l.reason) ELSE l.reason END AS reason,
-         CASE WHEN l.status = 'pending' AND d.verdict = 'approve' THEN '{c.OFFLINE_PROVIDER}' END AS provider,
-         CASE WHEN l.status = 'pending' AND d.verdict = 'approve' THEN '{c.OFFLINE_MODEL}' END AS model,
-         CASE WHEN l.status = 'pending' AND d.verdict = 'approve' THEN (SELECT r.reply FROM replied r WHERE r.id = l.id) END AS output_redacted
-  FROM decisions d LEFT JOIN ledger l ON l.id = d.request_id)"""
+  SELECT request_id, decision_id, decided_at, verdict, coalesce(found_status = 'pending', FALSE) AS ok,
+         CASE WHEN lid IS NULL THEN 'Request not found' WHEN found_status <> 'pending' THEN concat('Request is ''', found_status, ''', not pending') END AS error,
+         CASE WHEN found_status = 'pending' THEN CASE verdict WHEN 'approve' THEN 'completed' ELSE 'rejected' END ELSE found_status END AS status,
+         CASE WHEN found_status = 'pending' THEN approver END AS approver,
+         CASE WHEN found_status = 'pending' AND verdict = 'reject' THEN coalesce(notes, old_reason) ELSE old_reason END AS reason,
+         CASE WHEN found_status = 'pending' AND verdict = 'approve' THEN '{c.OFFLINE_PROVIDER}' END AS provider,
+         CASE WHEN found_status = 'pending' AND verdict = 'approve' THEN '{c.OFFLINE_MODEL}' END AS model,
+         CASE WHEN found_status = 'pending' AND verdict = 'approve' THEN (SELECT r.reply FROM replied r WHERE r.id = lid) END AS output_redacted
+  FROM asked)"""
 REPLIED = f"replied AS MATERIALIZED (SELECT id, {REPLY.replace('redacted)', 'prompt_redacted)')} AS reply FROM ledger)"
 SETTLED = """settled AS MATERIALIZED (
   SELECT l.id, l.created_at, l.actor, l.role, l.destination, l.decision, coalesce(o.status, l.status) AS status, l.sensitivity, l.classes,
          l.prompt_redacted, l.entities, coalesce(o.output_redacted, l.output_redacted) AS output_redacted, o.approver,
-         CASE WHEN o.ok THEN 1 ELSE 0 END AS phase
+         CASE WHEN o.ok THEN 1 ELSE 0 END AS phase,
+         CASE WHEN o.ok THEN o.decided_at ELSE CAST(l.created_at AS TIMESTAMP) END AS settled_at
   FROM ledger l LEFT JOIN outcomes o ON o.request_id = l.id AND o.ok)"""
 HEADS = """heads AS MATERIALIZED (
-  SELECT id, status, phase, concat(left(j, length(j) - 1), ',"prev_hash":"') AS head, row_number() OVER (ORDER BY phase, id) AS seq
+  SELECT id, status, phase, concat(left(j, length(j) - 1), ',"prev_hash":"') AS head, row_number() OVER (ORDER BY settled_at, id) AS seq
   FROM (SELECT *, CAST(json_object('id', id, 'created_at', created_at, 'actor', actor, 'role', role, 'destination', destination, 'decision', decision,
           'status', status, 'sensitivity', sensitivity, 'classes', list_sort(CAST(CAST(classes AS JSON) AS VARCHAR[])), 'prompt_redacted', prompt_redacted,
           'entities', entities, 'output_redacted', output_redacted, 'approver', approver) AS VARCHAR) AS j
@@ -122,18 +129,24 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approver decisions, some on records that are not held and some on unknown ids."""
+    """Approver decisions: some on records that are not held, some on unknown ids, some a second one on the same request."""
     prompts = load(spark, sf_dir, "prompts").select("prompt_id")
     given = prompts.where("(prompt_id div 12) % 3 < 2").selectExpr(
         "prompt_id AS request_id",
+        "4 * prompt_id AS decision_id",
         "CASE WHEN (prompt_id div 12) % 3 = 0 THEN 'approve' ELSE 'reject' END AS verdict",
         "'dashboard:lead' AS approver",
         "CASE WHEN prompt_id % 5 = 0 THEN 'not needed' END AS notes",
     )
+    again = prompts.where("prompt_id % 3 > 0").selectExpr(
+        "prompt_id AS request_id", "4 * prompt_id + 1 AS decision_id",
+        "CASE WHEN prompt_id % 2 = 0 THEN 'approve' ELSE 'reject' END AS verdict", "'dashboard:second' AS approver", "'second look' AS notes",
+    )
     unknown = prompts.where("prompt_id % 50 = 0 AND prompt_id > 0").selectExpr(
-        "-prompt_id AS request_id", "'approve' AS verdict", "'dashboard:lead' AS approver", "CAST(NULL AS STRING) AS notes"
+        "-prompt_id AS request_id", "4 * prompt_id + 2 AS decision_id", "'approve' AS verdict", "'dashboard:lead' AS approver", "CAST(NULL AS STRING) AS notes"
     )
-    return given.unionByName(unknown)
+    every = given.unionByName(again).unionByName(unknown)
+    return every.withColumn("decided_at", F.expr("TIMESTAMP_NTZ '2024-02-01' + make_interval(0, 0, 0, 0, 0, 0, (decision_id * 37) % 100000)"))
 
 
 def full_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +215,7 @@ def respond_gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan(
     "apply_approvals",
     spaced(PROMPTS, [*LEDGER_CTES, REPLIED, DECISIONS, OUTCOMES],
-           "SELECT request_id, verdict, ok, error, status, approver, reason, provider, model, output_redacted FROM outcomes"),
+           "SELECT request_id, decision_id, decided_at, verdict, ok, error, status, approver, reason, provider, model, output_redacted FROM outcomes"),
 )
 def apply_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.apply_approvals(full_ledger(spark, sf_dir), decisions(spark, sf_dir))
@@ -216,13 +229,13 @@ def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("build_chain", spaced(PROMPTS, [*CHAIN_CTES, chain_check(None)], "SELECT seq, id, prev_hash, hash FROM chain"))
 def build_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chained = L.build_chain(settled_ledger(spark, sf_dir), ["phase", "id"])
+    chained = L.build_chain(settled_ledger(spark, sf_dir), ["settled_at", "id"])
     return chained.select("seq", "id", "prev_hash", "hash")
 
 
 @plan("build_chain_blocks", spaced(PROMPTS, [*CHAIN_CTES, chain_check(100)], "SELECT seq, id, prev_hash, hash FROM chain"))
 def build_chain_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chained = L.build_chain_blocks(settled_ledger(spark, sf_dir), ["phase", "id"], block_rows=100)
+    chained = L.build_chain_blocks(settled_ledger(spark, sf_dir), ["settled_at", "id"], block_rows=100)
     return chained.select("seq", "id", "prev_hash", "hash")
 
 
@@ -235,7 +248,7 @@ VERIFIED = "concat('Verified ', count(*), ' records — chain intact, no tamperi
            f"SELECT TRUE AS ok, count(*) AS total, CAST(NULL AS BIGINT) AS broken_at, {VERIFIED} AS message FROM chain"),
 )
 def verify_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.verify_chain(L.build_chain(settled_ledger(spark, sf_dir), ["phase", "id"]), ["phase", "id"])
+    return L.verify_chain(L.build_chain(settled_ledger(spark, sf_dir), ["settled_at", "id"]), ["settled_at", "id"])
 
 
 @plan(
@@ -245,9 +258,9 @@ concat('Integrity check FAILED at record #', id, ' — the audit log has been al
 FROM heads WHERE id % 400 = 11 ORDER BY seq LIMIT 1"""),
 )
 def verify_chain_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chained = L.build_chain(settled_ledger(spark, sf_dir), ["phase", "id"])
+    chained = L.build_chain(settled_ledger(spark, sf_dir), ["settled_at", "id"])
     edited = chained.withColumn("actor", F.when(F.col("id") % 400 == 11, "someone else").otherwise(F.col("actor")))
-    return L.verify_chain(edited, ["phase", "id"])
+    return L.verify_chain(edited, ["settled_at", "id"])
 
 
 @plan(

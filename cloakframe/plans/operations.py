@@ -89,7 +89,7 @@ def client_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan(
     "login_lockout",
     spaced(["auth_attempts"], [], f"""SELECT id, ip, failed, failed >= {c.LOCK_THRESHOLD} AS locked FROM (
-SELECT id, ip, CAST(sum(1 - success) OVER (PARTITION BY ip ORDER BY "at" RANGE BETWEEN INTERVAL {c.LOCK_WINDOW_SECONDS} SECONDS PRECEDING AND CURRENT ROW) AS BIGINT) AS failed FROM auth_attempts)"""),
+SELECT id, ip, CAST(coalesce(sum(1 - success) OVER (PARTITION BY ip ORDER BY "at" RANGE BETWEEN INTERVAL {c.LOCK_WINDOW_SECONDS} SECONDS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0) AS BIGINT) AS failed FROM auth_attempts)"""),
 )
 def login_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.trailing_failures(load(spark, sf_dir, "auth_attempts")).select("id", "ip", "failed", "locked")
@@ -98,7 +98,7 @@ def login_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan(
     "login_lockout_day",
     spaced(["auth_attempts"], [], f"""SELECT id, ip, failed, failed >= {c.LOCK_THRESHOLD} AS locked FROM (
-SELECT id, ip, CAST(sum(1 - success) OVER (PARTITION BY ip ORDER BY "at" RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS failed FROM auth_attempts)"""),
+SELECT id, ip, CAST(coalesce(sum(1 - success) OVER (PARTITION BY ip ORDER BY "at" RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0) AS BIGINT) AS failed FROM auth_attempts)"""),
 )
 def login_lockout_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.trailing_failures(load(spark, sf_dir, "auth_attempts"), 86_400).select("id", "ip", "failed", "locked")
@@ -121,16 +121,20 @@ def rbac_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rbac(requests)
 
 
-STATE = """CASE WHEN s.created_at IS NULL THEN 'unknown' WHEN s.revoked_at <= a.seen_at THEN 'revoked' WHEN a.seen_at > s.expires_at THEN 'expired'
-WHEN a.seen_at - s.last_seen_at > INTERVAL 24 HOURS THEN 'idle' ELSE 'valid' END"""
+# The first access that finds the session over names the reason; all later ones of the token find it revoked.
+STATE = """CASE WHEN created_at IS NULL THEN 'unknown' WHEN nr < first_nr OR first_nr IS NULL THEN 'valid' WHEN nr = first_nr THEN fault ELSE 'revoked' END"""
+FAULTS = """faults AS (SELECT *, CASE WHEN revoked_at <= seen_at THEN 'revoked' WHEN seen_at > expires_at THEN 'expired'
+    WHEN seen_at - coalesce(prior, last_seen_at, created_at) > INTERVAL 24 HOURS THEN 'idle' END AS fault
+  FROM (SELECT *, lag(seen_at) OVER (PARTITION BY token ORDER BY seen_at, event_id) AS prior, row_number() OVER (PARTITION BY token ORDER BY seen_at, event_id) AS nr
+        FROM accesses) a LEFT JOIN (SELECT token AS tok, * EXCLUDE (token) FROM sessions) s ON s.tok = a.token)"""
 
 
 @plan(
     "session_validity",
     spaced(["sessions"], ["""accesses AS (SELECT event_id, concat('tok', lpad(CAST(CASE WHEN event_id % 11 = 0 THEN 99999 ELSE user_id END AS VARCHAR), 5, '0')) AS token,
-ts + INTERVAL 2 DAY AS seen_at FROM events)"""],
-           f"""SELECT a.event_id, a.token, {STATE} AS state, CASE WHEN s.role IN ('admin', 'operator', 'auditor', 'viewer') THEN s.role ELSE 'admin' END AS role
-FROM accesses a LEFT JOIN sessions s ON s.token = a.token"""),
+ts + INTERVAL 2 DAY AS seen_at FROM events)""", FAULTS],
+           f"""SELECT event_id, token, {STATE} AS state, CASE WHEN role IN ('admin', 'operator', 'auditor', 'viewer') THEN role ELSE 'admin' END AS role
+FROM (SELECT *, min(CASE WHEN fault IS NOT NULL THEN nr END) OVER (PARTITION BY token) AS first_nr FROM faults)"""),
 )
 def session_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     accesses = load(spark, sf_dir, "events").selectExpr(
@@ -165,13 +169,13 @@ def revoke_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(
     "session_end",
-    spaced(["sessions"], ["changes AS (SELECT ts AS changed_at FROM events WHERE event_type = 'signup' AND user_id % 50 = 1)"],
+    spaced(["sessions"], ["changes AS (SELECT ts AS changed_at FROM events WHERE event_type = 'signup')"],
            """SELECT token, end_at, CASE WHEN end_at = revoked_at THEN 'revoked' WHEN end_at = expires_at THEN 'expired' WHEN end_at = idle THEN 'idle' ELSE 'credential' END AS end_reason
 FROM (SELECT *, least(revoked_at, expires_at, idle, changed_at) AS end_at FROM (
   SELECT token, revoked_at, expires_at, last_seen_at + INTERVAL 24 HOURS AS idle, (SELECT min(changed_at) FROM changes WHERE changed_at >= created_at) AS changed_at FROM sessions))"""),
 )
 def session_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = load(spark, sf_dir, "events").where("event_type = 'signup' AND user_id % 50 = 1").select(F.col("ts").alias("changed_at"))
+    changes = load(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("ts").alias("changed_at"))
     return A.session_end(load(spark, sf_dir, "sessions"), changes).select("token", "end_at", "end_reason")
 
 

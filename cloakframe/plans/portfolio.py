@@ -240,7 +240,7 @@ def route_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TARGETS = f"""targets AS MATERIALIZED (
   SELECT row_ord, customer_name, qid, iban, outstanding_loan AS debt, days_past_due AS dpd FROM portfolio
-  WHERE days_past_due > 0 OR NOT EXISTS (SELECT 1 FROM portfolio WHERE days_past_due > 0) ORDER BY row_ord LIMIT {c.MAX_LETTERS})"""
+  WHERE days_past_due > 0 OR NOT EXISTS (SELECT 1 FROM portfolio WHERE days_past_due > 0))"""
 AMOUNT = "regexp_replace(regexp_replace(format('{:,.3f}', debt), '0+$', ''), '\\.$', '')"
 
 
@@ -251,7 +251,7 @@ def _letter_sql(body: str, late: str, who: str) -> str:
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     figures = T.with_figures(portfolio(spark, sf_dir), "row_ord", HEADERS)
-    return letter_ops.draft_targets(figures, "row_ord")
+    return letter_ops.draft_targets(figures)
 
 
 @plan("draft_targets", spaced(PORTFOLIO, [TARGETS], "SELECT row_ord, CAST(dpd AS DOUBLE) AS dpd FROM targets"))
@@ -287,17 +287,13 @@ def draft_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def draft_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafted, vault = _letters_redacted(spark, sf_dir)
     entries = vault.select(F.struct("first_row", "first_col").alias("ord"), "placeholder", "value")
-    # One pass restores all three texts: they share the row key and travel as one field.
-    mark = "\x1e"
-    packed = drafted.select("row_ord", F.concat_ws(mark, "customer_name", "en", "ar").alias("packed"))
-    restored = restore_text(packed, ["row_ord"], [], "packed", entries, "clear", nested=True)
-    parts = F.split("clear", mark, -1)
-    return restored.select(
-        "row_ord",
-        F.coalesce(F.nullif(parts[0], F.lit("")), F.lit(c.NO_NAME)).alias("name"),
-        parts[1].alias("en"),
-        parts[2].alias("ar"),
-    )
+    # One pass restores all three texts, each a row of its own, so that no value can reach into another text.
+    texts = drafted.select("row_ord", F.explode(F.create_map(
+        F.lit("name"), F.col("customer_name"), F.lit("en"), F.col("en"), F.lit("ar"), F.col("ar"))).alias("part", "text"))
+    restored = restore_text(texts, ["row_ord", "part"], [], "text", entries, "clear", nested=True)
+    part = lambda name: F.max(F.when(F.col("part") == name, F.col("clear")))
+    return restored.groupBy("row_ord").agg(
+        F.coalesce(F.nullif(part("name"), F.lit("")), F.lit(c.NO_NAME)).alias("name"), part("en").alias("en"), part("ar").alias("ar"))
 
 
 @plan(
