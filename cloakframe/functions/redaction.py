@@ -57,21 +57,36 @@ def settled(df: DataFrame, value: Column, name: str) -> DataFrame:
 def with_redaction(df: DataFrame, text: str = "text", detectors: Sequence[Detector] = DETECTORS) -> DataFrame:
     """Add ``spans``, ``entities`` (one per distinct value, with value) and ``redacted``.
 
-    Placeholders are numbered per type by first appearance in the text.
+    Placeholders are numbered per type by first appearance in the text.  Equal values are brought together by sorting, so a
+    text with thousands of distinct values costs little more than its sort.
     """
-    spans = F.col("spans")
-    keyed = with_spans(df, text, detectors).withColumn(
-        "keys", F.array_distinct(F.transform(spans, lambda s: F.struct(s["det"], s["value"])))
+    found = with_spans(df, text, detectors).withColumn(
+        "by_value", F.expr("sort_array(transform(spans, (s, i) -> struct(s.det AS det, s.value AS value, i AS i)))")
     )
-
-    def nth_of_type(key: Column, i: Column) -> Column:
-        upto = F.slice(F.col("keys"), F.lit(1), i + 1)
-        return F.size(F.filter(upto, lambda other: other["det"] == key["det"]))
-
-    def entity(key: Column, i: Column) -> Column:
+    # Where in that order another value begins, and where it ends.
+    begun = found.withColumn("begins", F.expr("""
+        filter(transform(zip_with(by_value, concat(array(CAST(NULL AS struct<det: int, value: string, i: int>)), slice(by_value, 1, greatest(size(by_value) - 1, 0))),
+                                  (x, last) -> x IS NOT NULL AND NOT coalesce(x.det = last.det AND x.value = last.value, false)),
+                         (new, k) -> IF(new, k, -1)), k -> k >= 0)"""))
+    # One row per distinct value in (type, first place) order; its number is its place among those of its type.
+    values = begun.withColumn("values", F.expr("""
+        sort_array(transform(begins, (k, g) -> struct(by_value[k].det AS det, by_value[k].i AS i, g AS g, by_value[k].value AS value)))"""))
+    # What a lambda looks up is settled first: Spark would otherwise work it out again for every element.
+    before = F.expr(f"transform(sequence(0, {len(detectors) - 1}), d -> size(filter(values, v -> v.det < d)))")
+    numbered = settled(values, before, "before").withColumn(
+        "numbers", F.expr("transform(values, (v, k) -> struct(v.i AS i, v.g AS g, v.det AS det, v.value AS value, k - before[v.det] + 1 AS n))")
+    )
+    # The number of each span, back in the order of the text.
+    of_group = F.expr("transform(sort_array(transform(numbers, x -> struct(x.g AS g, x.n AS n))), x -> x.n)")
+    of_span = F.expr("""
+        transform(sort_array(flatten(transform(begins, (k, g) -> transform(
+            slice(by_value, k + 1, coalesce(get(begins, g + 1), size(by_value)) - k), x -> struct(x.i AS i, group_numbers[g] AS n))))), x -> x.n)""")
+    marks = settled(settled(numbered, of_group, "group_numbers"), of_span, "marks")
+
+    def entity(key: Column) -> Column:
         kind = catalogue_field(key["det"], detectors, "type")
         return F.struct(
-            placeholder(kind, nth_of_type(key, i)).alias("placeholder"),
+            placeholder(kind, key["n"]).alias("placeholder"),
             kind.alias("type"),
             catalogue_field(key["det"], detectors, "cls").alias("cls"),
             catalogue_field(key["det"], detectors, "sensitivity").alias("sensitivity"),
@@ -80,13 +95,12 @@ def with_redaction(df: DataFrame, text: str = "text", detectors: Sequence[Detect
             key["value"].alias("value"),
         )
 
-    numbered = keyed.withColumn("entities", F.transform(F.col("keys"), entity))
-
-    def mark(span: Column, _i: Column) -> Column:
-        at = F.array_position(F.col("keys"), F.struct(span["det"], span["value"])).cast("int")
-        return F.element_at(F.col("entities"), at)["placeholder"]
+    def mark(span: Column, i: Column) -> Column:
+        return placeholder(catalogue_field(span["det"], detectors, "type"), F.get(F.col("marks"), i))
 
-    return numbered.withColumn("redacted", splice(F.col(text), spans, mark)).drop("keys")
+    done = marks.withColumn("entities", F.transform(F.sort_array("numbers"), entity)).withColumn(
+        "redacted", splice(F.col(text), F.col("spans"), mark))
+    return done.drop("by_value", "begins", "values", "before", "numbers", "group_numbers", "marks")
 
 
 def entity_summary(entities: Column) -> Column:
