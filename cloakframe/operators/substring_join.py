@@ -1,14 +1,14 @@
 """Which known values occur in which texts of the same scope, without comparing all pairs.
 
-Every value is anchored at its rarest character gram.  Texts emit the hashes of their grams
-that pass a fixed-size bitmap of all anchors, so only a small share of positions is
-shuffled; anchors and emitted grams meet in an equi-join, and the few candidates are
-verified against the text.  The result is exact.
+Every value is anchored at its rarest character gram, of five characters or, for shorter values, of their own
+length.  Texts emit the hashes of their distinct grams that pass a fixed-size bitmap of all anchors, so only a small share
+of positions is shuffled; anchors and emitted grams meet in an equi-join, and the few candidates are
+verified against the text.  The result is exact for values of any length; empty and null values occur nowhere,
+and rows with a null in the scope belong to no scope.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +37,20 @@ def gram_hashes(text: str, size: int, seed: int) -> np.ndarray:
     return out
 
 
-def scope_seed(scope: tuple) -> int:
-    return zlib.crc32(repr(scope).encode()) + 1
+def _emit(scope: list[str], carry: list[str], text: str, sizes: list[int], bitmap: np.ndarray | None):
+    """One row per text and distinct gram; without a bitmap a text emits grams of one size, the largest it can fill."""
 
-
-def _emit(scope: list[str], carry: list[str], text: str, size: int, bitmap: np.ndarray | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at, found = [], []
-            for row, (body, *scoped) in enumerate(zip(batch[text], *[batch[c] for c in scope])):
-                hashes = np.unique(gram_hashes(body or "", size, scope_seed(tuple(scoped))))
+            for row, (body, seed) in enumerate(zip(batch[text], batch["scope_hash"])):
+                body = body or ""
+                own = [size for size in sizes if size <= len(body)]
+                if bitmap is None:
+                    own = own[-1:]
+                # The size is part of the hash: grams of different sizes never meet.
+                parts = [gram_hashes(body, size, (seed + size * 0x632BE59BD9B4E019) % (1 << 64)) for size in own]
+                hashes = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
                 if bitmap is not None:
                     slot = hashes & np.uint64(BITS - 1)
                     hashes = hashes[(bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
@@ -55,7 +59,7 @@ def _emit(scope: list[str], carry: list[str], text: str, size: int, bitmap: np.n
             if not at:
                 continue
             rows = batch[[*scope, *carry]].iloc[np.concatenate(at)].reset_index(drop=True)
-            rows["gram"] = np.concatenate(found).view(np.int64) if found else []
+            rows["gram"] = np.concatenate(found).view(np.int64)
             yield rows
 
     return run
@@ -88,10 +92,14 @@ def occurrences(texts: DataFrame, text_key: str, text: str, scope: list[str], va
 
     ``values`` is unique on (scope, value); its other columns come along in ``found``.
     """
-    shortest = values.agg(F.min(F.length(value))).first()[0]
-    size = min(GRAM, shortest or GRAM)
-    grams = values.select(*scope, value).mapInPandas(
-        _emit(scope, [value], value, size, None), _schema(values, [*scope, value]) + ", gram long"
+    scoped = F.lit(True)
+    for column in scope:
+        scoped &= F.col(column).isNotNull()
+    here = F.xxhash64(*scope).alias("scope_hash") if scope else F.lit(0).cast("long").alias("scope_hash")
+    texts, values = texts.where(scoped), values.where(scoped & (F.length(value) > 0))
+    sizes = sorted(r[0] for r in values.select(F.least(F.length(value), F.lit(GRAM))).distinct().collect())  # five at most
+    grams = values.select(*scope, value, here).mapInPandas(
+        _emit(scope, [value], value, sizes, None), _schema(values, [*scope, value]) + ", gram long"
     )
     shared = grams.groupBy(*scope, "gram").agg(F.count("*").alias("freq"))
     anchors = (
@@ -106,9 +114,9 @@ def occurrences(texts: DataFrame, text_key: str, text: str, scope: list[str], va
     shared_bits = spark.sparkContext.broadcast(bitmap)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _emit(scope, [text_key], text, size, shared_bits.value)(batches)
+        yield from _emit(scope, [text_key], text, sizes, shared_bits.value)(batches)
 
-    emitted = texts.select(*scope, text_key, text).mapInPandas(
+    emitted = texts.select(*scope, text_key, text, here).mapInPandas(
         emit, _schema(texts, [*scope, text_key]) + ", gram long"
     )
     # A gram of a hot scope may come from a third of all texts: spread it over salts.
