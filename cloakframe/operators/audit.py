@@ -56,7 +56,7 @@ def append_audit(entries: DataFrame, path: str) -> None:
 
 def query_audit(log: DataFrame, where: AuditFilter = AuditFilter(), limit: int | None = None, offset: int = 0) -> DataFrame:
     """A page of the log, newest first; the page size defaults to 200 and stays within 1..1000."""
-    size = 200 if limit is None else max(limit, 1)
+    size = max(limit or 200, 1)
     newest = where.apply(log).orderBy(F.col("created_at").desc(), F.col("id").desc())
     return newest.offset(max(offset, 0)).limit(size)
 

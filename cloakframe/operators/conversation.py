@@ -277,7 +277,7 @@ def list_conversations(conversations: DataFrame, messages: DataFrame, vault: Dat
 
     Only the page's own messages and vault entries are counted, before they are joined.
     """
-    size = 100 if limit is None else max(limit, 1)
+    size = max(limit or 100, 1)
     top = conversations.orderBy(F.col("updated_at").desc(), F.col("conv_id").desc()).limit(size)
     listed = top.select("conv_id")
     n_messages = messages.join(listed, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("message_count"))

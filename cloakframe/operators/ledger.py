@@ -248,7 +248,7 @@ def public_view(ledger: DataFrame) -> DataFrame:
 
 def latest(ledger: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest records first, 50 unless another page size is asked for."""
-    return ledger.orderBy(F.col("id").desc()).limit(50 if limit is None else max(limit, 1))
+    return ledger.orderBy(F.col("id").desc()).limit(max(limit or 50, 1))
 
 
 def by_id(ledger: DataFrame, request_id: int) -> DataFrame:

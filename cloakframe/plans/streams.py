@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakframe import catalogue as c
 from cloakframe.plans.checksql import redacted_ctes, spaced, spans_ctes
 from cloakframe.plans.conversations import CHAT, MESSAGES
 from cloakframe.plans.registry import plan
@@ -65,17 +66,17 @@ CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events{where})"
 
 @plan(
     "stream_lockout_alerts",
-    f"""SELECT ip, window_start, window_start + INTERVAL 1 DAY AS window_end, count(*) AS failed FROM (
-SELECT user_id AS ip, unnest(list_transform(range(0, 24), lambda k: date_trunc('hour', ts) - to_hours(k))) AS window_start FROM events WHERE event_type = 'error')
-GROUP BY ip, window_start HAVING count(*) >= 2 AND window_start + INTERVAL 1 DAY <= {CLOSED.format(where=" WHERE event_type = 'error'")}""",
+    f"""SELECT ip, ts AS locked_at, since FROM (
+SELECT 'gateway' AS ip, ts, lag(ts, {c.LOCK_THRESHOLD - 1}) OVER (ORDER BY ts, event_id) AS since FROM events WHERE event_type = 'error')
+WHERE ts - since <= INTERVAL {c.LOCK_WINDOW_SECONDS} SECONDS""",
 )
 def stream_lockout_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All users come through one gateway address here, so that the real window and threshold are reached."""
     utc(spark)
     attempts = J.read_stream(spark, sf_dir, "events").selectExpr(
-        "user_id AS ip", "CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS success", "ts AS at"
+        "'gateway' AS ip", "CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS success", "ts AS at"
     )
-    alerts = J.lockout_alerts(attempts, window="1 day", slide="1 hour", threshold=2, delay="1 hour")
-    return plain_time(J.run_available(alerts, "lockouts"), "window_start", "window_end")
+    return plain_time(J.run_available(J.lockout_alerts(attempts), "lockouts"), "locked_at", "since")
 
 
 @plan(
@@ -112,10 +113,11 @@ DECIDED = "event_type = 'purchase'"
     "stream_approval_queue",
     f"""WITH r AS (SELECT event_id AS id, ts AS created_at FROM events WHERE {REQUESTS}),
 d AS (SELECT event_id - event_id % 7 AS request_id, CASE WHEN user_id % 2 = 0 THEN 'approve' ELSE 'reject' END AS verdict, ts AS decided_at FROM events WHERE {DECIDED})
-SELECT r.id, r.created_at, d.verdict, d.decided_at FROM r JOIN d ON d.request_id = r.id AND d.decided_at >= r.created_at AND d.decided_at <= r.created_at + INTERVAL 3 DAY""",
+SELECT r.id, r.created_at, d.verdict, d.decided_at FROM r LEFT JOIN d ON d.request_id = r.id AND d.decided_at >= r.created_at AND d.decided_at <= r.created_at + INTERVAL 3 DAY
+WHERE d.verdict IS NOT NULL OR r.created_at + INTERVAL 3 DAY < least((SELECT max(created_at) FROM r), (SELECT max(decided_at) FROM d)) - INTERVAL 1 HOUR""",
 )
 def stream_approval_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decided part of the queue; undecided requests follow once their patience has passed."""
+    """Decided requests, and undecided ones whose patience the watermark has passed; the rest is still open."""
     utc(spark)
     events = J.read_stream(spark, sf_dir, "events")
     requests = events.where(REQUESTS).selectExpr("event_id AS id", "ts AS created_at")
@@ -123,5 +125,5 @@ def stream_approval_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id - event_id % 7 AS request_id", "CASE WHEN user_id % 2 = 0 THEN 'approve' ELSE 'reject' END AS verdict", "ts AS decided_at"
     )
     queue = J.run_available(J.approval_queue(requests, decisions), "approvals")
-    return plain_time(queue, "created_at", "decided_at").where("verdict IS NOT NULL")
+    return plain_time(queue, "created_at", "decided_at")
 

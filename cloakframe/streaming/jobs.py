@@ -104,18 +104,36 @@ def _timed(events: DataFrame, column: str, delay: str) -> DataFrame:
 
 
 def lockout_alerts(
-    attempts: DataFrame,
-    window: str = f"{c.LOCK_WINDOW_SECONDS} seconds",
-    slide: str = "1 minute",
-    threshold: int = c.LOCK_THRESHOLD,
-    delay: str = "10 minutes",
+    attempts: DataFrame, window_seconds: int = c.LOCK_WINDOW_SECONDS, threshold: int = c.LOCK_THRESHOLD, delay: str = "10 minutes",
 ) -> DataFrame:
-    """Sliding windows in which an ip reached the failure threshold; late rows are dropped."""
-    failed = _timed(attempts.where("success = 0"), "at", delay)
-    counts = failed.groupBy("ip", F.window("at", window, slide).alias("w")).agg(F.count("*").alias("failed"))
-    return counts.where(F.col("failed") >= threshold).select(
-        "ip", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "failed"
-    )
+    """Each failure that is at least the ``threshold``-th of its ip within the trailing window: ip, locked_at, since.
+
+    The state of an ip is its last ``threshold - 1`` failure times, forgotten a window after the last one.  Rows later
+    than ``delay`` are dropped; rows of a micro-batch are taken in the order of their time.
+    """
+    span = window_seconds * 1_000_000
+    failed = _timed(attempts.where("success = 0 AND ip IS NOT NULL"), "at", delay).withColumn("us", F.unix_micros("at"))
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        recent = list(state.get[0]) if state.exists else []
+        out = []
+        for moment in sorted(m for batch in batches for m in batch["us"].tolist()):
+            recent.append(moment)
+            recent = recent[-threshold:]
+            if len(recent) == threshold and moment - recent[0] <= span:
+                out.append((key[0], moment, recent[0]))
+        recent = recent[-(threshold - 1):]
+        state.update((recent,))
+        state.setTimeoutTimestamp(max((recent[-1] + span) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["ip", "locked_us", "since_us"])
+
+    kind = dict(failed.dtypes)["ip"]
+    alerts = failed.select("ip", "at", "us").groupBy("ip").applyInPandasWithState(
+        follow, f"ip {kind}, locked_us long, since_us long", "recent array<long>", "append", "EventTimeTimeout")
+    return alerts.select("ip", F.timestamp_micros("locked_us").alias("locked_at"), F.timestamp_micros("since_us").alias("since"))
 
 
 def idle_sessions(accesses: DataFrame, delay: str = "1 hour") -> DataFrame:
