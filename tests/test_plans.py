@@ -6,11 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cloakframe.plans import CHECKS as PLAN_CHECKS
+from cloakframe.plans import load_all
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer orders events documents pages conversations"
-PLANS = entry.queries()
-CHECKS = entry.oracle_sql()
+PLANS = load_all()
+CHECKS = dict(PLAN_CHECKS)
 
 
 @pytest.fixture(scope="module")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.catalogue import GENESIS
+from cloakframe.functions.redaction import with_redaction
 from cloakframe.functions.turns import Conversation
 from cloakframe.operators import access as A
 from cloakframe.operators import conversation as C
@@ -122,6 +123,43 @@ def test_occurrences_equal_all_pairs(spark):
     assert got == {(c, i, val) for c, i, text in texts for c2, val in values if c == c2 and val in text}
 
 
+def test_occurrences_of_short_empty_and_unscoped_values(spark):
+    texts = [(1, 0, "ab abc é😀"), (1, 1, ""), (1, 2, None), (2, 0, "abcdef"), (None, 0, "abcdef"), (2, 1, "x" * 300)]
+    values = [(1, "a"), (1, "ab"), (1, "😀"), (1, "é😀"), (1, ""), (1, None), (1, "bcde"), (2, "abcdef"), (2, "bcde"), (2, "f"), (None, "abcdef"), (2, "xxxxxxx")]
+    t = spark.createDataFrame(texts, "conv_id long, turn long, text string")
+    v = spark.createDataFrame([(*x, i) for i, x in enumerate(values)], "conv_id long, value string, n long")
+    rows = occurrences(t, "turn", "text", ["conv_id"], v, "value").collect()
+    got = {(r["conv_id"], r["turn"], k["value"]) for r in rows for k in r["found"]}
+    assert got == {(c, i, val) for c, i, text in texts for c2, val in values if c and c == c2 and val and text and val in text}
+    assert occurrences(t, "turn", "text", ["conv_id"], v.where("value = ''"), "value").count() == 0
+
+
+def test_thousands_of_values_in_one_text(spark):
+    import time
+
+    mails = [f"user{i % 2000}@mail{i % 7}.example.com" for i in range(3000)]
+    df = spark.createDataFrame([(" ".join(mails),)], "text string")
+    started = time.time()
+    row = with_redaction(df).select("redacted", F.size("entities").alias("n"), "entities").first()
+    order = {m: k + 1 for k, m in enumerate(dict.fromkeys(mails))}
+    assert row["n"] == len(order) and row["redacted"] == " ".join(f"[EMAIL_{order[m]}]" for m in mails)
+    assert [e["value"] for e in row["entities"]] == list(order)
+    assert time.time() - started < 60
+
+
+def test_sessions_follow_their_accesses(spark):
+    hour = lambda h: f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00"
+    sessions = spark.createDataFrame([("a", "admin", hour(0), hour(0), None, None), ("b", "odd", hour(0), None, hour(30), None), ("c", "viewer", hour(0), None, None, hour(5))],
+                                     "token string, role string, created_at string, last_seen_at string, expires_at string, revoked_at string")
+    for column in ("created_at", "last_seen_at", "expires_at", "revoked_at"):
+        sessions = sessions.withColumn(column, F.col(column).cast("timestamp_ntz"))
+    rows = [("a", 20), ("a", 40), ("a", 64), ("a", 89), ("a", 90), ("b", 10), ("b", 30), ("b", 31), ("b", 32), ("c", 4), ("c", 5), ("c", 6), ("x", 1)]
+    accesses = spark.createDataFrame([(i, t, hour(h)) for i, (t, h) in enumerate(rows)], "event_id long, token string, seen_at string")
+    got = {r["event_id"]: r["state"] for r in A.access_validity(accesses.withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz")), sessions).collect()}
+    assert [got[i] for i in range(len(rows))] == [
+        "valid", "valid", "valid", "idle", "revoked", "valid", "valid", "expired", "revoked", "valid", "revoked", "revoked", "unknown"]
+
+
 def ledger(spark, n: int = 50):
     rows = [(i, f"2024-01-01 00:00:{i:02d}", "a", "operator", "external-cloud", "prov", "m", f'p "{i}"', "[]", '["z","a"]', None,
              "allow", "pending" if i % 7 == 3 else "completed", "r", None, f"out {i}", i % 2) for i in range(n)]
@@ -161,14 +199,17 @@ def test_empty_ledger(spark):
 
 def test_approving_an_older_request_later_keeps_the_chain_whole(spark):
     rows = ledger(spark, 12)
-    decisions = spark.createDataFrame([(3, "approve", "lead", None), (10, "reject", "lead", None), (5, "approve", "lead", None), (99, "approve", "lead", None)],
-                                      "request_id long, verdict string, approver string, notes string")
+    decisions = spark.createDataFrame([(3, 2, 7, "approve", "lead", None), (3, 1, 9, "reject", "late", None), (3, 3, 7, "reject", "late", None), (10, 4, 1, "reject", "lead", None),
+                                       (5, 5, 2, "approve", "lead", None), (99, 6, 3, "approve", "lead", None)],
+                                      "request_id long, decision_id long, sec long, verdict string, approver string, notes string")
+    decisions = decisions.withColumn("decided_at", F.expr("TIMESTAMP_NTZ '2024-02-01' + make_interval(0, 0, 0, 0, 0, 0, sec)"))
     outcome = L.apply_approvals(rows, decisions).cache()
-    got = {r["request_id"]: (r["ok"], r["error"], r["status"], r["reason"]) for r in outcome.collect()}
-    assert got == {3: (True, None, "completed", "r"), 10: (True, None, "rejected", "r"),
-                   5: (False, "Request is 'completed', not pending", "completed", "r"), 99: (False, "Request not found", None, None)}
+    got = {r["decision_id"]: (r["ok"], r["error"], r["status"], r["reason"]) for r in outcome.collect()}
+    done = (False, "Request is 'completed', not pending", "completed", "r")
+    assert got == {2: (True, None, "completed", "r"), 1: done, 3: done, 4: (True, None, "rejected", "r"), 5: done, 6: (False, "Request not found", None, None)}
     settled = L.settle(rows.drop("phase"), outcome)
-    verdict = L.verify_chain(L.build_chain(settled, ["phase", "id"]), ["phase", "id"]).first()
+    assert settled.count() == 12 and settled.where("id = 3").first()["approver"] == "lead"
+    verdict = L.verify_chain(L.build_chain(settled, ["settled_at", "id"]), ["settled_at", "id"]).first()
     assert (verdict["ok"], verdict["total"]) == (True, 12)
 
 
@@ -201,5 +242,5 @@ def test_lockout_of_one_hot_ip_equals_a_plain_window(spark):
     df = spark.createDataFrame(rows, "id long, ip string, success int, sec long").withColumn("at", F.timestamp_seconds("sec"))
     got = {r["id"]: (r["failed"], r["locked"]) for r in A.trailing_failures(df).collect()}
     for i, ip, _s, sec in rows:
-        n = sum(1 for _j, ip2, s2, sec2 in rows if ip and ip2 == ip and s2 == 0 and sec - 900 <= sec2 <= sec)
+        n = sum(1 for _j, ip2, s2, sec2 in rows if ip and ip2 == ip and s2 == 0 and sec - 900 <= sec2 < sec)
         assert got[i] == (n, n >= 5)

@@ -71,9 +71,10 @@ def test_prefixes_of_any_length(spark):
 
 def test_letters_fall_back_to_all_rows_when_none_is_overdue(spark):
     df = spark.createDataFrame([(i, 0.0) for i in range(600)], "n long, dpd double")
-    assert draft_targets(df, "n").count() == 500
+    assert draft_targets(df).count() == 600
+    assert draft_targets(df.withColumn("dpd", F.col("n") % 3 * 1.0)).count() == 400
     one = spark.createDataFrame([(1, 3.0), (2, 0.0)], "n long, dpd double")
-    assert [r["n"] for r in draft_targets(one, "n").collect()] == [1]
+    assert [r["n"] for r in draft_targets(one).collect()] == [1]
     text = one.limit(1).select(headline(F.lit(1), F.lit("write notes"), F.lit(False)).alias("h")).first()["h"]
     assert text == "Drafted 1 bilingual message — English and Arabic."
 

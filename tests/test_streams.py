@@ -54,13 +54,14 @@ def test_late_turns_are_marked_and_never_dropped(spark):
     assert got == {5: ("Customer [NAME_1]", False), 2: ("[NAME_1]", True), 6: ("[NAME_1]", False)}
 
 
-def test_lockout_windows_close_behind_the_watermark(spark):
+def test_lockout_stream_equals_the_trailing_window(spark):
     folder = scratch_path(spark, "attempts")
     start = datetime.datetime(2024, 1, 1)
-    rows = [("a", 0, start + datetime.timedelta(seconds=30 * i)) for i in range(6)] + [("b", 1, start + datetime.timedelta(hours=3))]
-    rows += [("b", 0, start + datetime.timedelta(hours=3, minutes=1))]
+    seconds = {"a": [30, 200, 400, 600, 915, 916, 3000], "b": [0, 300, 600, 901, 1800], None: [1, 2, 3, 4, 5, 6]}
+    rows = [(ip, 0, start + datetime.timedelta(seconds=s)) for ip, times in seconds.items() for s in times]
+    rows += [("a", 1, start + datetime.timedelta(seconds=s)) for s in range(10)]
     spark.createDataFrame(rows, "ip string, success int, at timestamp").coalesce(1).write.parquet(folder)
     stream = spark.readStream.schema("ip string, success int, at timestamp").parquet(folder)
     got = J.run_available(J.lockout_alerts(stream), "alerts")
-    assert {r["ip"] for r in got.collect()} == {"a"}
-    assert got.agg(F.max("failed")).first()[0] == 6
+    found = {(r["ip"], (r["locked_at"] - start).total_seconds(), (r["since"] - start).total_seconds()) for r in got.collect()}
+    assert found == {("a", 915, 30), ("a", 916, 200)}
