@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions.redaction import settled
+
 OPEN, BODY, PART, CLOSE = "<turn>", "<text>", "<part>", "</turn>\n"
 
 
@@ -65,8 +67,8 @@ def format_conversations(conversations: DataFrame, loss_roles: Sequence[str] = (
         conversations.select("conv_id", turn.alias("t"))
         .groupBy("conv_id")
         .agg(F.sort_array(F.collect_list("t")).alias("turns"))
-        .select("conv_id", "turns", F.transform("turns", lambda t: escape(t["text"])).alias("bodies"))
     )
+    sorted_turns = settled(sorted_turns, F.transform("turns", lambda t: escape(t["text"])), "bodies")
     # The place of each turn whose role differs from the one before: there a block opens.
     opened = sorted_turns.select(
         "conv_id", "turns", "bodies",
@@ -95,9 +97,10 @@ def format_conversations(conversations: DataFrame, loss_roles: Sequence[str] = (
     )
     measured = pieces.select(
         "conv_id", F.array_join("texts", "").alias("formatted"), "runs",
-        F.transform("runs", lambda r: r["lead"] + r["length"] + r["tail"]).alias("sizes"),
     )
-    placed = measured.withColumn("sizes_sums", block_sums("sizes")).withColumn("offsets", before("sizes"))
+    # What a lambda looks up is settled first: Spark would otherwise work it out again for every element.
+    placed = settled(settled(measured, F.transform("runs", lambda r: r["lead"] + r["length"] + r["tail"]), "sizes"), block_sums("sizes"), "sizes_sums")
+    placed = placed.withColumn("offsets", before("sizes"))
     return placed.select(
         "conv_id", "formatted",
         F.expr("""
