@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.catalogue import DETECTORS
@@ -22,7 +19,6 @@ from cloakframe.functions.redaction import (
 )
 from cloakframe.functions.spans import catalogue_field
 from cloakframe.functions.text import clean_text, collapse_space, trim_space
-from cloakframe.functions.turns import Conversation
 from cloakframe.operators.numbering import number_rows, running
 from cloakframe.operators.responders import chat_reply, needs_list
 from cloakframe.operators.substring_join import occurrences
@@ -30,55 +26,19 @@ from cloakframe.session import materialise
 
 ENTRY = "array<struct<placeholder:string,type:string,cls:string,sensitivity:string,label:string,masked:string,value:string>>"
 DEFAULT_TITLE = "New chat"
-HOT_TURNS = 20_000
+PER_TURN = 1 << 20
+VAULT = "conv_id long, det int, type string, value string, first_at long, first_pos int, idx long"
 
 
 def user_turns(messages: DataFrame) -> DataFrame:
-    """Trimmed, non-empty user messages."""
-    return messages.where("role = 'user'").withColumn("text", clean_text(F.col("text"))).where("text <> ''")
-
-
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold turns sorted by (conv_id, turn); only the vault of the current conversation is held."""
-    current, talk = None, Conversation()
-    for batch in batches:
-        done = []
-        for conv_id, text in zip(batch["conv_id"], batch["text"]):
-            if conv_id != current:
-                current, talk = conv_id, Conversation()
-            done.append(talk.redact(text))
-        out = batch[["conv_id", "turn"]].copy()
-        out["redacted"] = [d[0] for d in done]
-        out["protected_count"] = [d[1] for d in done]
-        out["entries"] = [d[2] for d in done]
-        yield out
-
+    """Trimmed, non-empty user messages; a message without a conversation belongs to none."""
+    return messages.where("role = 'user' AND conv_id IS NOT NULL").withColumn("text", clean_text(F.col("text"))).where("text <> ''")
 
-def _fold_turns(turns: DataFrame) -> DataFrame:
-    # The number of tasks is fixed: sizing them by bytes would leave the folds to a few cores.
-    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = turns.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "turn")
-    return ordered.mapInPandas(_fold, REDACTED)
 
-
-REDACTED = f"conv_id long, turn long, redacted string, protected_count long, entries {ENTRY}"
-
-
-def redact_conversations(messages: DataFrame, hot_turns: int = HOT_TURNS) -> DataFrame:
-    """(conv_id, turn, redacted, protected_count, entries) for every user turn.
-
-    The same value keeps its placeholder through a conversation.  Conversations of bounded
-    size are folded turn by turn, streaming through sorted partitions; larger ones are not left
-    to one task but solved by ``redact_long``.  Both give the same result.
-    """
-    turns = user_turns(messages).select("conv_id", "turn", "text")
-    # Counting reads no text, only the two key columns.
-    sizes = messages.where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("n"))
-    hot = materialise(sizes.where(F.col("n") > hot_turns).select("conv_id"))
-    if hot.isEmpty():
-        return _fold_turns(turns)
-    bounded = _fold_turns(turns.join(hot, "conv_id", "left_anti"))
-    return bounded.unionByName(redact_long(turns.join(hot, "conv_id", "left_semi")))
+def in_order(turns: DataFrame) -> DataFrame:
+    """Add ``at``, the place of a message in its conversation: its turn, then its text among those of one turn number."""
+    same_turn = Window.partitionBy("conv_id", "turn").orderBy("text")
+    return turns.withColumn("at", F.coalesce("turn", F.lit(-1)).cast("long") * PER_TURN + F.row_number().over(same_turn) - 1)
 
 
 def _with_known(turns: DataFrame, vault: DataFrame) -> DataFrame:
@@ -86,26 +46,26 @@ def _with_known(turns: DataFrame, vault: DataFrame) -> DataFrame:
     values = vault.select(
         "conv_id",
         "value",
-        "first_turn",
+        "first_at",
         "first_pos",
         "mark",
     )
     # One row per value: of equal values under two types the one met first replaces.
     first = values.groupBy("conv_id", "value").agg(
-        F.min(F.struct("first_turn", "first_pos", "mark")).alias("f")
+        F.min(F.struct("first_at", "first_pos", "mark")).alias("f")
     ).select("conv_id", "value", "f.*")
-    hits = occurrences(turns, "turn", "text", ["conv_id"], first, "value")
-    earlier = F.filter(F.col("found"), lambda k: k["first_turn"] < F.col("turn"))
+    hits = occurrences(turns, "at", "text", ["conv_id"], first, "value")
+    earlier = F.filter(F.col("found"), lambda k: k["first_at"] < F.col("at"))
     ordered = F.array_sort(
         F.transform(
             earlier,
             lambda k: F.struct(
-                (-F.length(k["value"])).alias("by_len"), k["first_turn"], k["first_pos"], k["value"], k["mark"]
+                (-F.length(k["value"])).alias("by_len"), k["first_at"], k["first_pos"], k["value"], k["mark"]
             ),
         )
     )
-    known = hits.select("conv_id", "turn", ordered.alias("known"))
-    return turns.join(known, ["conv_id", "turn"], "left")
+    known = hits.select("conv_id", "at", ordered.alias("known"))
+    return turns.join(known, ["conv_id", "at"], "left")
 
 
 def apply_known(text: Column, known: Column) -> Column:
@@ -124,45 +84,63 @@ def apply_known(text: Column, known: Column) -> Column:
 
 def _residue(turns: DataFrame, vault: DataFrame) -> DataFrame:
     done = settled(_with_known(turns, vault), apply_known(F.col("text"), F.col("known")), "after")
-    rest = done.select("conv_id", "turn", F.col("after.work").alias("work"), F.col("after.n").alias("n_known"))
+    rest = done.select("conv_id", "at", "turn", F.col("after.work").alias("work"), F.col("after.n").alias("n_known"))
     return with_spans(rest, "work")
 
 
 def _first_seen(spans: DataFrame) -> DataFrame:
-    rows = spans.select("conv_id", "turn", F.explode_outer("spans").alias("s")).where("s IS NOT NULL")
+    rows = spans.select("conv_id", "at", F.explode_outer("spans").alias("s")).where("s IS NOT NULL")
     kind = catalogue_field(F.col("s.det"), DETECTORS, "type")
     return (
         rows.groupBy("conv_id", F.col("s.det").alias("det"), kind.alias("type"), F.col("s.value").alias("value"))
-        .agg(F.min(F.struct(F.col("turn"), F.col("s.start").alias("pos"))).alias("first"))
+        .agg(F.min(F.struct(F.col("at"), F.col("s.start").alias("pos"))).alias("first"))
         .select(
             "conv_id", "det", "type", "value",
-            F.col("first.turn").alias("first_turn"), F.col("first.pos").alias("first_pos"),
+            F.col("first.at").alias("first_at"), F.col("first.pos").alias("first_pos"),
         )
     )
 
 
-def redact_long(turns: DataFrame) -> DataFrame:
-    """Redact conversations of any length without gathering one in a task.
+def redact_conversations(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, redacted, protected_count, entries) for every user turn; see ``redact_turns``."""
+    return redact_turns(user_turns(messages).select("conv_id", "turn", "text"))[0]
+
+
+def redact_turns(turns: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Redact (conv_id, turn, text) of conversations of any length; the redacted turns and the new vault values.
+
+    The same value keeps its placeholder through a conversation.  ``known`` holds values protected before these turns.
 
     What a turn adds to the vault depends on the vault before it.  Start from the values the
     detectors find when no turn knows another, then let every turn, in parallel, replace the
     earlier values it contains and search the rest again.  Once the set of (value, first
-    place) no longer changes it satisfies the turn-by-turn definition for every turn, and by
-    induction over turns only one set does.  Each round settles at least the next dependent
-    turn; in practice two or three rounds settle all.
+    place) of a conversation no longer changes it satisfies the turn-by-turn definition for every turn, and by
+    induction over turns only one set does; such a conversation takes no further part.  Each round settles at least the
+    next dependent turn of the others; in practice two or three rounds settle all.
+
+    Messages that share a turn number follow each other in the order of their texts; equal messages are redacted alike.
     """
-    turns = materialise(turns)
-    vault = materialise(_first_seen(with_spans(turns)))
+    turns = materialise(in_order(turns))
+    if known is None:
+        known = turns.sparkSession.createDataFrame([], VAULT)
+    place = ["conv_id", "det", "value", "first_at", "first_pos"]
+    vault, left, steady = materialise(_first_seen(with_spans(turns))), turns, None
     while True:
-        marked = vault.withColumn("mark", placeholder(F.col("type"), F.lit(0)))
-        again = materialise(_first_seen(_residue(turns, marked)))
-        keys = ["conv_id", "det", "value", "first_turn", "first_pos"]
-        same = again.join(vault, keys, "left_anti").isEmpty() and vault.join(again, keys, "left_anti").isEmpty()
-        vault = again
-        if same:
+        marked = vault.withColumn("mark", placeholder(F.col("type"), F.lit(0))).unionByName(_marked(known), allowMissingColumns=True)
+        again = materialise(_first_seen(_residue(left, marked)))
+        moved = again.join(vault, place, "left_anti").select("conv_id").unionAll(vault.join(again, place, "left_anti").select("conv_id"))
+        moved = materialise(moved.distinct())
+        done = again.join(moved, "conv_id", "left_anti")
+        steady = done if steady is None else steady.unionByName(done)
+        if moved.isEmpty():
             break
-    numbered = number_rows(vault, ["conv_id", "type"], ["first_turn", "first_pos"], "idx")
-    marked = numbered.withColumn("mark", placeholder(F.col("type"), F.col("idx")))
+        vault = materialise(again.join(moved, "conv_id", "left_semi"))
+        left = materialise(left.join(moved, "conv_id", "left_semi"))
+    numbered = number_rows(steady, ["conv_id", "type"], ["first_at", "first_pos"], "idx")
+    taken = known.groupBy("conv_id", "type").agg(F.max("idx").alias("taken"))
+    numbered = numbered.join(taken, ["conv_id", "type"], "left").withColumn("idx", F.col("idx") + F.coalesce("taken", F.lit(0))).drop("taken")
+    new = materialise(numbered)
+    marked = _marked(new)
     entry = F.struct(
         "first_pos",
         F.col("mark").alias("placeholder"),
@@ -175,11 +153,11 @@ def redact_long(turns: DataFrame) -> DataFrame:
         "det",
     )
     fresh = (
-        marked.select("conv_id", F.col("first_turn").alias("turn"), entry.alias("e"))
-        .groupBy("conv_id", "turn")
+        marked.select("conv_id", F.col("first_at").alias("at"), entry.alias("e"))
+        .groupBy("conv_id", "at")
         .agg(F.array_sort(F.collect_list("e")).alias("fresh"))
     )
-    final = _residue(turns, marked).join(fresh, ["conv_id", "turn"], "left")
+    final = _residue(turns, marked.unionByName(_marked(known), allowMissingColumns=True)).join(fresh, ["conv_id", "at"], "left")
 
     def mark_of(span: Column, _i: Column) -> Column:
         own = F.filter(F.col("fresh"), lambda e: (e["det"] == span["det"]) & (e["value"] == span["value"]))
@@ -189,13 +167,18 @@ def redact_long(turns: DataFrame) -> DataFrame:
         F.coalesce("fresh", F.expr("array()")),
         lambda e: F.struct(*[e[f] for f in ("placeholder", "type", "cls", "sensitivity", "label", "masked", "value")]),
     )
-    return final.select(
+    redacted = final.select(
         "conv_id",
         "turn",
         splice(F.col("work"), F.col("spans"), mark_of).alias("redacted"),
         (F.col("n_known") + F.coalesce(F.size("fresh"), F.lit(0))).cast("long").alias("protected_count"),
         F.when(F.col("fresh").isNull(), F.expr(f"CAST(array() AS {ENTRY})")).otherwise(slim.cast(ENTRY)).alias("entries"),
     )
+    return redacted, new
+
+
+def _marked(vault: DataFrame) -> DataFrame:
+    return vault.withColumn("mark", placeholder(F.col("type"), F.col("idx")))
 
 
 def conversation_vault(redacted: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def chat_redact_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("chat_redact_long", CHAT_ROWS)
 def chat_redact_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = C.redact_long(C.user_turns(messages(spark, sf_dir)).select("conv_id", "turn", "text"))
+    done = C.redact_conversations(messages(spark, sf_dir))
     return done.select("conv_id", "turn", "redacted", "protected_count", F.size("entries").cast("long").alias("n_new"))
 
 

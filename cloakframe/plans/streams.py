@@ -9,6 +9,7 @@ from cloakframe import catalogue as c
 from cloakframe.plans.checksql import redacted_ctes, spaced, spans_ctes
 from cloakframe.plans.conversations import CHAT, MESSAGES
 from cloakframe.plans.registry import plan
+from cloakframe.session import scratch_path
 from cloakframe.streaming import jobs as J
 
 
@@ -57,7 +58,7 @@ def stream_redact_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         ).otherwise(F.col("text")),
     )
-    done = J.run_available(J.redact_chat(anchored), "chat")
+    done = J.redact_chat(anchored, scratch_path(spark, "chat"))
     return done.select("conv_id", "turn", "redacted", "protected_count", F.size("entries").cast("long").alias("n_new"), "late")
 
 

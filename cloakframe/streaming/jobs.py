@@ -11,15 +11,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cloakframe import catalogue as c
-from cloakframe.functions.turns import Conversation
-from cloakframe.operators.conversation import ENTRY, user_turns
+from cloakframe.operators.conversation import ENTRY, VAULT, redact_turns, user_turns
 from cloakframe.operators.ledger import ledger_rows
-from cloakframe.session import scratch_path
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from cloakframe.session import materialise, scratch_path
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
@@ -62,41 +58,40 @@ def screen_requests(requests: DataFrame) -> DataFrame:
     return ledger_rows(requests)
 
 
-class VaultProcessor(StatefulProcessor):
-    """Keeps the vault of each conversation and redacts its turns in order of arrival."""
+def _before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """What micro-batches before this one have stored."""
+    if batch_id == 0:
+        return spark.createDataFrame([], f"{schema}, batch long")
+    return spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") < batch_id)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.vault = handle.getListState("vault", "placeholder string, type string, value string")
-        self.turn = handle.getValueState("turn", "turn long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        talk = Conversation(list(self.vault.get()) if self.vault.exists() else [])
-        last = self.turn.get()[0] if self.turn.exists() else -1
-        batch = pd.concat(rows).sort_values("turn", kind="stable")
-        out = []
-        for turn, text in zip(batch["turn"], batch["text"]):
-            redacted, used, fresh = talk.redact(text)
-            for entry in fresh:
-                self.vault.appendValue((entry["placeholder"], entry["type"], entry["value"]))
-            out.append((key[0], turn, redacted, used, fresh, turn <= last))
-            last = max(last, turn)
-        self.turn.update((int(last),))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "redacted", "protected_count", "entries", "late"])
-
-    def close(self) -> None:
-        pass
-
-
-def redact_chat(messages: DataFrame) -> DataFrame:
-    """Conversation redaction with the vault as state; turns that come late are marked."""
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    turns = user_turns(messages).select("conv_id", "turn", "text")
-    return turns.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=VaultProcessor(),
-        outputStructType=f"conv_id long, turn long, redacted string, protected_count long, entries {ENTRY}, late boolean",
-        outputMode="Append",
-        timeMode="None",
-    )
+def redact_chat(messages: DataFrame, folder: str) -> DataFrame:
+    """Conversation redaction over all messages available now; turns that come late are marked.
+
+    A micro-batch is redacted as a batch, against the vault that earlier ones left for its conversations, and adds its
+    turns and new vault values as parts of its own; a repeated micro-batch writes the same parts again.  With the
+    same ``folder`` a later call goes on where the last one stopped.  The vault part holds clear values.
+    """
+    spark = messages.sparkSession
+    turns_at, vault_at = f"{folder}/turns", f"{folder}/vault"
+    schema = f"conv_id long, turn long, redacted string, protected_count long, entries {ENTRY}, late boolean"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        turns = materialise(user_turns(batch).select("conv_id", "turn", "text"))
+        own = turns.select("conv_id").distinct()
+        stored = _before(session, vault_at, VAULT, batch_id).join(own, "conv_id", "left_semi")
+        # Values of earlier micro-batches come before all turns of this one, in the order of their arrival.
+        known = stored.withColumn("first_at", F.least("first_at", F.lit((1 << 45) - 1)) + F.col("batch") * (1 << 45) - (1 << 62)).drop("batch")
+        redacted, new = redact_turns(turns, materialise(known))
+        last = _before(session, turns_at, schema, batch_id).join(own, "conv_id", "left_semi").groupBy("conv_id").agg(F.max("turn").alias("last"))
+        marked = redacted.join(last, "conv_id", "left").withColumn("late", F.coalesce(F.col("turn") <= F.col("last"), F.lit(False))).drop("last")
+        new.select(*[f.split()[0] for f in VAULT.split(", ")]).write.mode("overwrite").parquet(f"{vault_at}/batch={batch_id}")
+        marked.write.mode("overwrite").parquet(f"{turns_at}/batch={batch_id}")
+
+    query = messages.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(f"{schema}, batch long").parquet(turns_at).drop("batch")
 
 
 def _timed(events: DataFrame, column: str, delay: str) -> DataFrame:

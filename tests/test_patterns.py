@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from cloakframe import catalogue as c
 from cloakframe.functions.redaction import with_redaction, with_spans
-from cloakframe.functions.turns import _compiled, _matches
 from cloakframe.operators.screening import screened_text, with_findings
 
 
+def compiled(pattern: str, ignore_case: bool) -> re.Pattern:
+    return re.compile(pattern, re.ASCII | (re.IGNORECASE if ignore_case else 0))
+
+
 def texts(n: int = 300) -> list[str]:
     rng = random.Random(11)
     parts = ["a", "b1", ".", "-", "+", "%", "@", "_", "x.qa", "com", " ", "é", "Ab", "Cd", "X", "\n", "a@b.co", "Ef Gh"]
@@ -20,13 +23,7 @@ def texts(n: int = 300) -> list[str]:
 
 
 def plain_matches(detector: c.Detector, text: str) -> list[tuple[int, str]]:
-    return [(m.start(), m.group(0)) for m in _compiled(detector.pattern, detector.ignore_case).finditer(text)]
-
-
-def test_row_form_of_email():
-    for detector in (d for d in c.DETECTORS + c.SCREENING if d.lead):
-        for text in texts(3000):
-            assert [(m.start(1), m.group(1)) for m in _matches(detector, text)] == plain_matches(detector, text), repr(text)
+    return [(m.start(), m.group(0)) for m in compiled(detector.pattern, detector.ignore_case).finditer(text)]
 
 
 def test_column_form_of_email_and_person(spark):
@@ -46,10 +43,10 @@ def test_gates_are_necessary_conditions():
     for _ in range(2000):
         text = rng.choice(pieces)[rng.randint(0, 20):] + rng.choice(["", " ", "é", "_"]) + rng.choice(pieces)
         for d in c.DETECTORS:
-            if d.gate and _compiled(d.pattern, d.ignore_case).search(text):
+            if d.gate and compiled(d.pattern, d.ignore_case).search(text):
                 gate = c.GATES[d.gate]
                 assert not gate.literals or any(literal in text for literal in gate.literals), (d.type, text)
-                assert all(_compiled(p, False).search(text) for p in gate.patterns), (d.type, text)
+                assert all(compiled(p, False).search(text) for p in gate.patterns), (d.type, text)
 
 
 def test_long_texts_finish(spark):

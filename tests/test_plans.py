@@ -47,10 +47,9 @@ def test_plan(spark, con, name):
     assert rows == table(columns, cursor.fetchall())
 
 
-def test_long_and_folded_conversations_agree(spark):
-    fold, long = (sorted(map(tuple, PLANS[n](spark, SF).collect())) for n in ("chat_redact_fold", "chat_redact_long"))
-    streamed = sorted(tuple(r)[:5] for r in PLANS["stream_redact_chat"](spark, SF).collect())
-    assert fold == long == streamed
+def test_streamed_and_batch_conversations_agree(spark):
+    batch = sorted(map(tuple, PLANS["chat_redact_fold"](spark, SF).collect()))
+    assert sorted(tuple(r)[:5] for r in PLANS["stream_redact_chat"](spark, SF).collect()) == batch
 
 
 def test_entry(spark):

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from cloakframe.catalogue import GENESIS
 from cloakframe.functions.redaction import with_redaction
-from cloakframe.functions.turns import Conversation
 from cloakframe.operators import access as A
 from cloakframe.operators import conversation as C
 from cloakframe.operators import ledger as L
@@ -69,14 +68,29 @@ TALK = [
 ]
 
 
-def brute(talk: list[tuple[int, int, str]]) -> list[tuple]:
-    out = []
-    for conv in sorted({t[0] for t in talk}):
-        state = Conversation()
-        for _c, turn, text in sorted(t for t in talk if t[0] == conv):
-            if text.strip():
-                redacted, used, fresh = state.redact(text.strip())
-                out.append((conv, turn, redacted, used, [tuple(e.values()) for e in fresh]))
+def brute(spark, talk: list[tuple[int, int, str]]) -> list[tuple]:
+    """Turn by turn: protect what the vault knows, longest first, then what the redaction of the rest finds anew."""
+    out, vaults = [], {}
+    for conv, turn, text in sorted(talk):
+        if not text.strip():
+            continue
+        vault = vaults.setdefault(conv, {})  # (type, value) to placeholder, in order of arrival
+        rest, hits = text.strip(), 0
+        for (_kind, value), mark in sorted(vault.items(), key=lambda v: -len(v[0][1])):
+            hits += value in rest
+            rest = rest.replace(value, mark)
+        row = with_redaction(spark.createDataFrame([(rest,)], "text string")).select("spans", "entities").first()
+        kinds = {e["value"]: e for e in row["entities"]}
+        pieces, cursor, fresh = [], 0, []
+        for span in row["spans"]:
+            e = kinds[span["value"]]
+            key = (e["type"], e["value"])
+            if key not in vault:
+                vault[key] = f"[{e['type']}_{1 + sum(k == e['type'] for k, _v in vault)}]"
+                fresh.append((vault[key], *[e[f] for f in ("type", "cls", "sensitivity", "label", "masked", "value")]))
+            pieces += [rest[cursor : span["start"]], vault[key]]
+            cursor = span["start"] + len(span["value"])
+        out.append((conv, turn, "".join(pieces) + rest[cursor:], hits + len(fresh), fresh))
     return out
 
 
@@ -87,14 +101,19 @@ def plain(df) -> list[tuple]:
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_long_and_bounded_conversations_equal_turn_by_turn(spark, seed):
+def test_conversations_equal_turn_by_turn(spark, seed):
     rng = random.Random(seed)
     talk = [(conv, turn, " ".join(rng.sample(TALK, rng.randint(1, 3)))) for conv in (1, 2) for turn in range(14 if conv == 1 else 3)]
     df = spark.createDataFrame([(*t, "user") for t in talk], "conv_id long, turn long, text string, role string")
-    want = brute(talk)
-    assert plain(C.redact_conversations(df)) == want
-    assert plain(C.redact_conversations(df, hot_turns=5)) == want
-    assert plain(C.redact_long(C.user_turns(df).select("conv_id", "turn", "text"))) == want
+    assert plain(C.redact_conversations(df)) == brute(spark, talk)
+
+
+def test_equal_turn_numbers_and_missing_conversations(spark):
+    rows = [(1, 0, "user", "Customer Omar Khan"), (1, 0, "user", "mail Omar Khan at omar@x.qa"), (1, 1, "user", "Omar Khan"), (None, 0, "user", "Customer Ali Bo"),
+            (2, 0, "user", "Customer Ali Bo"), (2, 0, "user", "Customer Ali Bo")]
+    got = C.redact_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted((r["conv_id"], r["turn"], r["redacted"], r["protected_count"]) for r in got.collect()) == [
+        (1, 0, "Customer [NAME_1]", 1), (1, 0, "mail [NAME_1] at [EMAIL_1]", 2), (1, 1, "[NAME_1]", 1), (2, 0, "Customer [NAME_1]", 1), (2, 0, "Customer [NAME_1]", 1)]
 
 
 def test_assistant_turns_stay_and_count_placeholders(spark):
