@@ -45,10 +45,10 @@ def runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, pa.Re
         yield tuple(part.column(n)[0].as_py() for n in names), part
 
 
-def streamed(keys: list[str], schema: pa.Schema, lead: Callable, follow: Callable) -> Callable:
+def streamed(keys: list[str], schema: pa.Schema, lead: Callable, follow: Callable, keep_unled: bool = False) -> Callable:
     """A function for mapInArrow: ``lead(rows)`` makes a key's state, ``follow(state, rows)`` an output batch.
 
-    ``lead`` gets all leaders of the key; followers without a leader get the state None.
+    ``lead`` gets all leaders of the key; followers without a leader are passed over, or with ``keep_unled`` get the state None.
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +62,8 @@ def streamed(keys: list[str], schema: pa.Schema, lead: Callable, follow: Callabl
                 else:
                     if waiting:
                         state, waiting = lead(pa.Table.from_batches(waiting)), []
-                    yield follow(state, rows).cast(schema)
+                    if state is not None or keep_unled:
+                        yield follow(state, rows).cast(schema)
         return
 
     return over

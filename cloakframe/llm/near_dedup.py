@@ -1,13 +1,14 @@
 """Near-duplicate groups by SetSketch registers: sketch, band, estimate, verify on full sets, connect.
 
 1. Documents with equal shingle sets form a class; only classes go on.  A class is named by its smallest doc_id.
-2. Classes whose registers agree in a band share a bucket.  In a bucket not all pairs are formed: a centre (the member that
-   shares most buckets with others) is compared with the rest, what it links becomes one component, and only
-   members of different components go on with further centres, twice as many each round, until no bucket holds an
-   untried pair of members from two components.  A group of copies so costs its size, not its square, and no link is lost.
+2. Classes whose registers agree in a band share a bucket.  In a bucket not all pairs are formed: the rest is compared with a
+   centre, the member that shares most buckets with others, and what it links becomes one component.
 3. A pair is first estimated from the registers by likelihood and dropped only when the estimate is ``SLACK`` under the bound (over
    five standard errors).  The rest is verified on full shingle sets, streamed past their centre's set.
-4. Verified links are connected by large and small stars.
+4. Two members of a bucket that are still in different components have met the same centre, and one of them is outside its
+   component: those outsiders are held in blocks and all members of their centre are streamed past them.  Pairs of one
+   component are never formed, pairs of two are compared but only links come out, and no link is lost.
+5. Verified links are connected by large and small stars.
 
 With 40 bands of 5 registers, a link of similarity 0.85 misses all buckets with probability 1e-10, one of 0.80 with 1e-7.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.arrow_parts import slices
@@ -36,7 +37,7 @@ from cloakframe.llm.shingles import shingle_sets
 from cloakframe.session import materialise
 
 BANDS, ROWS, SLACK = 40, 5, 0.14
-FOLLOWERS = 256
+FOLLOWERS, BLOCK = 256, 128
 SKETCH = "doc_id long, n_shingles long, hi long, lo long, bands array<long>, registers binary"
 
 
@@ -139,51 +140,78 @@ def links(documents: DataFrame, heads: DataFrame, width: int, percent: int) -> D
     spread = heads.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = spread.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(spread.join(sizes, ["band", "key"]))
+    # The member that shares most buckets with others is the best centre of its buckets.
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    # Only members with company stay, each with its weight: the one that shares most buckets is the best centre.
-    members = materialise(members.select("band", "key", "node").join(weight, "node"))
-    found = tried = None
-    centres = 1
-    while True:
-        if found is None:
-            labelled = members.withColumn("label", F.col("node"))
-        else:
-            label = components(found)
-            labelled = members.join(label.select("node", "component"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        sides = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        live = materialise(labelled.join(sides.select("band", "key"), ["band", "key"]))
-        if live.isEmpty():
-            break
-        heads_now = _centres(live, centres)
-        pairs = live.join(heads_now, ["band", "key"]).where("label <> centre_label")
-        pairs = pairs.select(F.col("centre").alias("a"), F.col("node").alias("b"), F.least("centre", "node").alias("x"), F.greatest("centre", "node").alias("y"))
-        pairs = pairs.groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), F.col("a")).alias("p")).select("p.a", "p.b", "x", "y")
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = materialise(pairs)
-        tried = pairs.select("x", "y") if tried is None else tried.unionAll(pairs.select("x", "y"))
-        close = materialise(likely(pairs.select("a", "b"), heads, percent / 100 - SLACK))
-        wanted = close.select(F.col("a").alias("node")).unionAll(close.select(F.col("b").alias("node"))).distinct()
-        sets = materialise(full_sets(documents, heads, wanted, width))
-        new = materialise(verified(close, sets, percent))
-        found = new if found is None else found.unionAll(new)
-        # A centre has met every other member of its bucket: it need not come again there.
-        members = materialise(live.select("band", "key", "node", "weight").join(
-            heads_now.select("band", "key", F.col("centre").alias("node")), ["band", "key", "node"], "left_anti"))
-        centres *= 2
-    empty = heads.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    return empty if found is None else found
-
-
-def _centres(live: DataFrame, most: int) -> DataFrame:
-    """The ``most`` heaviest members of each bucket, in salted parts first so that a hot bucket is not gathered."""
-    top = live.select("band", "key", F.struct("weight", (-F.col("node")).alias("order"), "label").alias("m"))
-    if most == 1:
-        best = top.groupBy("band", "key").agg(F.max("m").alias("m"))
-    else:
-        rank = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.desc("m")))
-        best = top.withColumn("r", rank).where(F.col("r") <= most)  # cut before the shuffle too
-    return best.select("band", "key", (-F.col("m.order")).alias("centre"), F.col("m.label").alias("centre_label"))
+    heavy = F.struct("weight", (-F.col("node")).alias("order"))
+    centres = members.join(weight, "node").groupBy("band", "key").agg((-F.max(heavy)["order"]).alias("a"))
+    met = materialise(members.join(centres, ["band", "key"]).where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    close = materialise(likely(met, heads, percent / 100 - SLACK))
+    star = materialise(verified(close, full_sets(documents, heads, ends_of(close), width), percent))
+    rest = materialise(outsiders(met, components(star)))
+    wanted = rest.select("node").distinct()
+    return star.unionAll(compared(rest, heads, full_sets(documents, heads, wanted, width), percent))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def outsiders(met: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of centres that do not connect them all: centre, node, label, outside (not in the centre's component), blocks.
+
+    Two nodes of one bucket have met its centre.  If they lie in different components now, one of them is outside the
+    centre's component, so it is enough to compare the outsiders of each centre with all members.
+    """
+    named = lambda side: F.coalesce(F.col(f"{side}_label"), F.col(side))
+    for side in ("a", "b"):
+        met = met.join(label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_label")), side, "left")
+    known = met.select(F.col("a").alias("centre"), F.col("b").alias("node"), named("b").alias("label"), (named("a") != named("b")).alias("outside"))
+    split = known.groupBy("centre").agg(
+        F.count_if("outside").alias("n_out"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    split = split.where("n_out > 0 AND low <> high")
+    return known.join(split.select(
+        "centre", F.ceil(F.col("n_out") / BLOCK).cast("long").alias("blocks"), F.ceil(F.col("n") / FOLLOWERS).cast("long").alias("parts")), "centre")
+
+
+def compared(rest: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the outsiders of a centre and its members of other components.
+
+    Outsiders are held in blocks, members streamed past them in parts: first sizes and registers decide, then the full
+    sets.  Only links come out, so a group of copies does not become pairs.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    least = percent / 100 - SLACK
+
+    def unpacked(rows) -> tuple:
+        return (
+            rows.column("node").to_numpy(), rows.column("label").to_numpy(),
+            np.stack([np.frombuffer(r, np.uint16) for r in rows.column("registers").to_pylist()]),
+            [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()])
+
+    def follow(held: tuple, rows: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, labels, marks, full = unpacked(rows)
+        found = ([], [])
+        sizes = np.array([len(x) for x in full], float)
+        for node, label, mark, own in zip(*held):
+            ratio = np.minimum(sizes, len(own)) / np.maximum(sizes, len(own))
+            maybe = np.flatnonzero((labels != label) & (ratio >= percent / 100 - 1e-9) & ((marks == mark).mean(axis=1) >= least - 0.05))
+            if len(maybe):
+                sized = similarity(marks[maybe], np.broadcast_to(mark, (len(maybe), len(mark))), sizes[maybe], np.full(len(maybe), float(len(own))))
+                for i in maybe[sized >= least].tolist():
+                    places = np.minimum(np.searchsorted(own, full[i]), len(own) - 1)
+                    shared = int((own[places] == full[i]).sum())
+                    if 100 * shared >= percent * (len(own) + len(full[i]) - shared):
+                        found[0].append(int(node))
+                        found[1].append(int(nodes[i]))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=schema)
+
+    full = rest.join(heads.select("node", "registers"), "node").join(sets, "node")
+    names = ["centre", "block", "node", "label", "registers", "shingles", "parts"]
+    leaders = full.where("outside").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select(names)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    followers = full.withColumn("block", every).select(names).withColumn("_salt", salt_of("node", "centre", parts="parts"))
+    stream = leaders_first(leaders, followers, ["centre", "block"], "parts").drop("parts")
+    return stream.mapInArrow(streamed(["centre", "block"], schema, unpacked, follow), "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
