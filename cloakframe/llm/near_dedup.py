@@ -6,8 +6,8 @@
 3. A pair is first estimated from the registers by likelihood and dropped only when the estimate is ``SLACK`` under the bound (over
    five standard errors).  The rest is verified on full shingle sets, streamed past their centre's set.
 4. Two members of a bucket that are still in different components have met the same centre, and one of them is outside its
-   component: those outsiders are held in blocks and all members of their centre are streamed past them.  Pairs of one
-   component are never formed, pairs of two are compared but only links come out, and no link is lost.
+   component: those outsiders are held in blocks and all members around that component are streamed past them.  Pairs of
+   one component are never formed, pairs of two are compared but only links come out, and no link is lost.
 5. Verified links are connected by large and small stars.
 
 With 40 bands of 5 registers, a link of similarity 0.85 misses all buckets with probability 1e-10, one of 0.80 with 1e-7.
@@ -157,15 +157,17 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 
 def outsiders(met: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of centres that do not connect them all: centre, node, label, outside (not in the centre's component), blocks.
+    """Members around each component: centre (the component), node, label, outside (in another component), blocks, parts.
 
-    Two nodes of one bucket have met its centre.  If they lie in different components now, one of them is outside the
-    centre's component, so it is enough to compare the outsiders of each centre with all members.
+    The members around a component are the nodes that have met one of its centres, each once however many it met.  Two
+    nodes of one bucket have met its centre.  If they lie in different components now, one of them is outside the
+    centre's component, so it is enough to compare the outsiders of each component with all members around it.
     """
     named = lambda side: F.coalesce(F.col(f"{side}_label"), F.col(side))
     for side in ("a", "b"):
         met = met.join(label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_label")), side, "left")
-    known = met.select(F.col("a").alias("centre"), F.col("b").alias("node"), named("b").alias("label"), (named("a") != named("b")).alias("outside"))
+    known = met.select(named("a").alias("centre"), F.col("b").alias("node"), named("b").alias("label")).distinct()
+    known = known.withColumn("outside", F.col("label") != F.col("centre"))
     split = known.groupBy("centre").agg(
         F.count_if("outside").alias("n_out"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     split = split.where("n_out > 0 AND low <> high")
@@ -174,7 +176,7 @@ def outsiders(met: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def compared(rest: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the outsiders of a centre and its members of other components.
+    """Links between the outsiders of a component and the members around it that lie in others.
 
     Outsiders are held in blocks, members streamed past them in parts: first sizes and registers decide, then the full
     sets.  Only links come out, so a group of copies does not become pairs.
