@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cloakframe.llm.chat_format import CLOSE, format_conversations, loss_text, read_turns
-from cloakframe.llm.license_scan import ENDS, RULES, SENTENCES, known, rewritten, scan_licenses
+from cloakframe.llm.chat_format import format_conversations, loss_text, read_turns
+from cloakframe.llm.license_scan import ENDS, RULES, known, rewritten, scan_licenses
 from cloakframe.llm.line_rules import BOILERPLATE, NAVIGATION, clean_lines
 from cloakframe.llm.registry import query, table
 
