@@ -235,23 +235,6 @@ LOCK_WINDOW_SECONDS = 15 * 60
 LOCK_THRESHOLD = 5
 SESSION_IDLE_HOURS = 24
 
-# --- fixed values: sample prompts --------------------------------------------
-SAMPLE_PROMPTS: tuple[tuple[str, str, str, str, str], ...] = (
-    ("bank-dispute", "Banking", "Card dispute", "sovereign-local",
-     "Customer Ahmed Al-Thani (QID 28412345678) wants to dispute a QAR 12,500 charge on card 4111 1111 1111 1111. "
-     "His IBAN is QA58DOHB00001234567890123456, phone +974 5512 3456, email ahmed.althani@example.qa. "
-     "Draft a response."),
-    ("bank-loan", "Banking", "Loan eligibility (external model)", "external-cloud",
-     "Assess loan eligibility for customer Fatima Al-Kuwari (QID 29911223344), monthly income QAR 32,000, "
-     "existing IBAN QA29QNBA00009876543210987654. Summarize the application."),
-    ("hospital-summary", "Healthcare", "Patient note summary", "sovereign-local",
-     "Summarize for patient Mariam Al-Sulaiti (MRN: 884512), DOB 1991-04-12, diagnosed with type 2 diabetes. "
-     "Phone +974 6677 8899. Draft a follow-up appointment message."),
-    ("gov-credential", "Government", "Credential leak (should be blocked)", "external-cloud",
-     "Use this service token to fetch records for citizen Khalid Al-Marri: "
-     "sk-9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a. Email khalid.marri@example.qa."),
-)
-
 # --- fixed values: ECMAScript white space, as it stands inside a character class ---
 SPACE_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE = f"[{SPACE_CHARS}]"

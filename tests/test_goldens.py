@@ -13,6 +13,7 @@ from cloakframe.operators.ledger import assess
 from cloakframe.operators.policy import decide
 from cloakframe.operators.restore import restore_from
 from cloakframe.sources.views import load
+from tests.sample_prompts import SAMPLE_PROMPTS
 
 SF = "/root/testdata/sf0.01"
 
@@ -41,7 +42,7 @@ GOLDEN = {
 
 @pytest.fixture(scope="module")
 def samples(spark):
-    return spark.createDataFrame(c.SAMPLE_PROMPTS, "id string, sector string, title string, destination string, text string")
+    return spark.createDataFrame(SAMPLE_PROMPTS, "id string, sector string, title string, destination string, text string")
 
 
 def test_sample_prompts(samples):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import functions as F
 
 from cloakframe.operators import conversation as C
 from cloakframe.session import scratch_path
