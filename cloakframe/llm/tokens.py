@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-MOST_PARTS = 800_000  # parts kept per Python worker, some 100 MB
+MOST_PARTS = 400_000  # parts kept per Python worker, some 80 MB
+AT_ONCE = 4096  # parts encoded at once: an encoding holds far more than its ids
 
 
 def _set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -77,8 +78,9 @@ class Encoder:
         distinct = parts.dictionary.to_pylist()
         if len(self.known) > MOST_PARTS:
             self.clear()
-        if new := [p for p in distinct if p not in self.known]:
-            self.learn(new)
+        new = [p for p in distinct if p not in self.known]
+        for first in range(0, len(new), AT_ONCE):
+            self.learn(new[first : first + AT_ONCE])
         codes = np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct))[parts.indices.to_numpy()]
         ends = np.searchsorted(places, bounds[1:])  # the end mark comes after a text's last part
         codes = np.insert(codes, ends, 0)
