@@ -5,6 +5,10 @@ curve; this is done ``curves`` times with other directions and shifts.  Spark ra
 partition every query is compared with the ``window`` vectors before and behind it.  The ends of each partition are handed on
 once more, so windows reach over borders.  The best of all windows are merged and ranked by exact distance.
 
+The window grows with the rows (a ``SHARE``-th of them, ``window`` at least, ``MOST`` at most).  After ``curves`` curves recall is measured
+against an exact search of at most ``SAMPLE`` queries; below ``recall`` further passes follow, and when four times the curves do not
+reach it either, every query is searched exactly.
+
 Equal vectors form one class that is searched once and stands for its smallest ids, so a vector that a third of all rows
 share costs one row per curve.  Work grows with rows times curves (sorting) and queries times curves times window.
 
@@ -29,6 +33,8 @@ from cloakframe.session import materialise
 
 DIMS, BITS = 16, 3
 TASK_ROWS = 100_000
+SHARE, MOST = 128, TASK_ROWS // 8
+SAMPLE, LOT, BLOCK = 200, 4096, 1024
 ORDERED = "curve int, key long, id long, wanted boolean, vector array<float>"
 FOUND = "border long, curve int, key long, id long, wanted boolean, vector array<float>, near long, distance double"
 
@@ -119,7 +125,8 @@ def best_in_windows(table: pa.Table, window: int, k: int) -> tuple[list[int], li
             high = min(at + window + 1, int(np.searchsorted(curve, curve[at], "right")))
             gap = vectors[low:high].astype(np.float64) - vectors[at].astype(np.float64)
             far = np.sqrt((gap * gap).sum(axis=1))
-            best = np.lexsort((ids[low:high], far))[: k + 1]
+            close = np.flatnonzero(far <= np.partition(far, k)[k]) if len(far) > k else np.arange(len(far))
+            best = close[np.lexsort((ids[low:high][close], far[close]))[: k + 1]]
             queries += [int(ids[at])] * len(best)
             near += ids[low:high][best].tolist()
             distances += far[best].tolist()
@@ -160,8 +167,81 @@ def search_borders(found: DataFrame, window: int, k: int) -> DataFrame:
     return found.where("border IS NOT NULL").groupBy("border").applyInArrow(search, "id long, near long, distance double")
 
 
+def exact(heads: DataFrame, asked: np.ndarray, points: np.ndarray, k: int) -> DataFrame:
+    """For each of the ``asked`` ids (at ``points``) its k + 1 nearest of each partition: id, near, distance."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = points.astype(np.float64)
+        square = (own * own).sum(axis=1)
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(asked)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                ids, vectors = part.column("id").to_numpy(), matrix(part.column("vector")).astype(np.float64)
+                size = (vectors * vectors).sum(axis=1)
+                for i in range(0, len(asked), BLOCK):
+                    block = square[i : i + BLOCK, None] + size - 2 * own[i : i + BLOCK] @ vectors.T
+                    # Rounding of this form must not lose a neighbour: what is as near as the last one, or almost, is measured again.
+                    last = np.partition(block, k, axis=1)[:, k] if len(ids) > k else np.full(len(block), np.inf)
+                    slack = 1e-12 * (square[i : i + BLOCK] + size.max())
+                    for j, row in enumerate(block <= (last + slack)[:, None], i):
+                        near = np.flatnonzero(row)
+                        gap = vectors[near] - own[j]
+                        near, far = np.r_[best[j][0], ids[near]], np.r_[best[j][1], np.sqrt((gap * gap).sum(axis=1))]
+                        order = np.lexsort((near, far))[: k + 1]
+                        best[j] = near[order], far[order]
+        n = [len(near) for near, _ in best]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(asked, n)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))],
+                names=["id", "near", "distance"])
+
+    return heads.select("id", "vector").mapInArrow(search, "id long, near long, distance double")
+
+
+def last_distances(heads: DataFrame, k: int) -> tuple[dict[int, float], int]:
+    """Of at most ``SAMPLE`` queries: the distance of the k-th nearest other class (or of the last, if there are fewer), and how many there are."""
+    some = heads.where("wanted").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "vector").collect()
+    if not some:
+        return {}, 0
+    found = exact(heads, np.array([r.id for r in some]), np.array([r.vector for r in some]), k).where("near <> id")
+    lists = found.groupBy("id").agg(F.expr(f"slice(sort_array(collect_list(distance)), 1, {k})").alias("far"))
+    far = {r.id: r.far for r in lists.collect()}
+    return {i: f[-1] for i, f in far.items()}, sum(len(f) for f in far.values())
+
+
+def recall_of(results: list[DataFrame], last: dict[int, float], total: int) -> float:
+    """The share of the sampled queries' true neighbours among the results."""
+    if not total:
+        return 1.0
+    pairs = union(results).where(F.col("id").isin(list(last)) & (F.col("near") != F.col("id"))).groupBy("id", "near").agg(F.min("distance").alias("distance"))
+    bounds = F.create_map(*[F.lit(x) for i, far in last.items() for x in (i, far * (1 + 1e-12))])
+    return pairs.where(F.col("distance") <= F.element_at(bounds, F.col("id"))).count() / total
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    merged = parts[0]
+    for more in parts[1:]:
+        merged = merged.unionAll(more)
+    return merged
+
+
+def exact_in_lots(heads: DataFrame, k: int) -> list[DataFrame]:
+    lots, held = [], []
+    asking = heads.where("wanted").select("id", "vector").toLocalIterator()
+    for r in asking:
+        held.append(r)
+        if len(held) == LOT:
+            lots, held = [*lots, materialise(exact(heads, *arrays(held), k))], []
+    return [*lots, materialise(exact(heads, *arrays(held), k))] if held else lots
+
+
+def arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r.id for r in rows]), np.array([r.vector for r in rows], np.float32)
+
+
 def nearest(
-    rows: DataFrame, wanted: Column, k: int = 10, curves: int = 48, window: int = 256, seed: int = 17, per_pass: int = 16,
+    rows: DataFrame, wanted: Column, k: int = 10, curves: int = 48, window: int = 256, seed: int = 17, per_pass: int = 16, recall: float = 0.93,
 ) -> DataFrame:
     """For each row with ``wanted`` (a condition on id): query_id, rank (from 1), vec_id, score.  ``rows`` has id and vector."""
     rows = rows.select(F.col("id").cast("long"), F.col("vector").cast("array<float>"))
@@ -171,16 +251,20 @@ def nearest(
     parts = [F.struct(F.avg(F.col("vector")[i].cast("double")), F.var_pop(F.col("vector")[i].cast("double"))) for i in range(dim)]
     spread = heads.agg(*[p.alias(f"d{i}") for i, p in enumerate(parts)], F.count("*").alias("n")).first()
     mean, variance = (np.array([spread[f"d{i}"][j] or 0.0 for i in range(dim)]) for j in (0, 1))
+    window = max(window, min(-(-spread["n"] // SHARE), MOST))
     results = [heads.where("wanted").select("id", F.col("id").alias("near"), F.lit(0.0).alias("distance"))]
-    for first in range(0, curves, per_pass):  # in passes, so that shuffled copies of the vectors stay a small multiple
-        n = min(per_pass, curves - first)
-        tasks = max(1, -(-spread["n"] * n // TASK_ROWS))
+    last, total, first = *last_distances(heads, k), 0
+    while total and (first < curves or recall_of(results, last, total) < recall):
+        if first >= 4 * curves:
+            results = [*results[:1], *exact_in_lots(heads, k)]
+            break
+        n = per_pass if first >= curves else min(per_pass, curves - first)  # in passes, so that shuffled copies of the vectors stay a small multiple
+        tasks = max(1, -(-spread["n"] * n // max(TASK_ROWS, 16 * window)))
         placed = ordered(heads, n, mean, variance, seed + first).repartitionByRange(tasks, "curve", "key", "id")
         found = materialise(search_partitions(placed.sortWithinPartitions("curve", "key", "id"), window, k))
-        results += [found.where("border IS NULL").select("id", "near", "distance"), search_borders(found, window, k)]
-    merged = results[0]
-    for more in results[1:]:
-        merged = merged.unionAll(more)
+        results += [found.where("border IS NULL").select("id", "near", "distance"), materialise(search_borders(found, window, k))]
+        first += n
+    merged = union(results)
     pairs = merged.groupBy("id", "near").agg(F.min("distance").alias("distance"))
     rank = lambda: F.row_number().over(Window.partitionBy("id").orderBy("distance", "near"))
     close = pairs.withColumn("n", rank()).where(F.col("n") <= k + 1).drop("n")

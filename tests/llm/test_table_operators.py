@@ -373,3 +373,27 @@ def test_nearest_with_hot_vector_and_odd_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0])], "id long, vector array<float>")
     assert [tuple(r) for r in nearest(few, F.col("id") == 0).collect()] == [(0, 1, 1, 1.0)]
     assert nearest(few.limit(0), F.col("id") == 0).count() == 0
+
+
+def unit_vectors(n, dim=64):
+    points = np.random.default_rng(5).normal(size=(n, dim))
+    return (points / np.linalg.norm(points, axis=1)[:, None]).astype(np.float32)
+
+
+def test_nearest_adds_passes_until_recall_is_reached(spark):
+    points = unit_vectors(3000)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(points.tolist())], "id long, vector array<float>")
+    gap = points[::30].astype(np.float64)[:, None] - points.astype(np.float64)
+    far = np.sqrt((gap * gap).sum(axis=2))
+    true = {30 * i: [j for j in np.lexsort((np.arange(3000), row)).tolist() if j != 30 * i][:10] for i, row in enumerate(far)}
+
+    def found(**given):
+        got = defaultdict(list)
+        for r in sorted(nearest(df, F.col("id") % 30 == 0, **given).collect(), key=lambda r: (r.query_id, r.rank)):
+            got[r.query_id].append(r.vec_id)
+        return got
+
+    got = found(curves=8, window=16, per_pass=8)
+    assert sum(len({*got[q]} & {*true[q]}) for q in true) >= 0.9 * 10 * len(true)
+    # Recall that no number of curves is sure to reach: every query is searched exactly.
+    assert found(curves=1, window=1, per_pass=1, recall=1.01) == true
