@@ -1,9 +1,11 @@
 """Sentence-rule licence recognition, by column expressions only.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits only), and those found in
-``SENTENCES`` become a sequence of identifiers.  ``RULES`` are ordered: each names a licence and the identifiers that must
+A text is normalised (lower case, letters and digits only) and cut at punctuation, blank lines and line ends.  A line end, a colon or
+a semicolon may also lie inside a sentence, so notices that are wrapped, with or without comment leaders, are found like those on one
+line.  The sentences found in ``SENTENCES`` become a sequence of identifiers.  ``RULES`` are ordered: each names a licence and the identifiers that must
 follow each other; a longer rule comes before the ones it contains, and what it has matched is taken out of the
-sequence.  Sentences that are unknown do not interrupt a rule unless more than ``max_gap`` of them lie between.
+sequence.  Sentences that are unknown do not interrupt a rule unless more than ``max_gap`` of them (up to punctuation or a blank
+line) lie between.
 
 Defined cases: a null or empty text has no sentences and no licence; a text of any length is read whole; a notice that
 occurs twice is reported twice in ``licenses``, in order of occurrence; rows that repeat an id are scanned each on
@@ -13,7 +15,7 @@ the expression: no join, no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Public licence wording, normalised.
@@ -120,26 +122,46 @@ def known(sentence: str) -> str:
     return f"CASE {cases} END"
 
 
+# A text in lower case gets H where a sentence ends and S where one may end.  Each pattern is linear in the text.
+CUTS = (
+    (r"\r\n", "\n"),
+    (r"(?m)^[^a-z0-9\n]*(?:dnl|rem)\b", " "),  # comment leaders made of letters; the others are no letters
+    (r"\n[^a-z0-9]*\n", "H"),
+    (r'(?<![.!?:;])[:;]++(?=[\s")]|\z)', "S"),
+    (r'(?<![.!?:;])[.!?:;]++(?=[\s")H]|\z)', "H"),
+    (r"\n", "S"),
+    (r"[^a-z0-9HS]+", " "),
+    (r" ?S[S ]*+", "S"),
+    (r"[ S]?H[HS ]*+", "H"),
+)
+#: A known wording from one cut to another, the longest first.
+WORDING = "(?<=[HS])(?:{})(?=[HS])".format(
+    "|".join(w.replace(" ", "[ S]") for w in sorted((w for ws in SENTENCES.values() for w in ws), key=lambda w: (-len(w), w))))
+
+
+def cut_text(text: Column) -> Column:
+    """The normalised text with its cuts, from H to H."""
+    text = F.lower(text)
+    for pattern, mark in CUTS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(mark))
+    return F.regexp_replace(F.concat(F.lit("H"), text, F.lit("H")), F.lit("[ S]?H[HS ]*+"), F.lit("H"))
+
+
 def scan_licenses(documents: DataFrame, max_gap: int = 5) -> DataFrame:
     """One row per document: doc_id, sentence_ids, licenses (in order of occurrence), n_unmatched (identifiers in no rule)."""
-    sentences = documents.select(
+    cut = documents.select(
         "doc_id",
         # Most texts hold none of these words: they are passed over without being cut.
-        F.expr(rf"""
-            IF(coalesce(text, '') RLIKE '(?i)licen[sc]ed|license|permission|redistribution|copyright|rights reserved|free software|cc0',
-               transform(split(regexp_replace(text, r'{ENDS}', '\n'), '\n'),
-                         s -> trim(regexp_replace(lower(s), '[^a-z0-9]+', ' '))),
-               array())""").alias("sentences"),
-    )
-    found = sentences.select(
-        "doc_id",
-        F.expr(f"filter(transform(filter(sentences, s -> s != ''), (s, i) -> named_struct('id', {known('s')}, 'place', i)), x -> x.id IS NOT NULL)").alias("found"),
+        F.when(F.coalesce("text", F.lit("")).rlike("(?i)licen[sc]ed|license|permission|redistribution|copyright|rights reserved|free software|cc0"),
+               cut_text(F.col("text"))).otherwise("").alias("cut"),
     )
+    found = cut.select(
+        "doc_id", F.regexp_extract_all("cut", F.lit(WORDING), F.lit(0)).alias("wordings"),
+        F.transform(F.split("cut", WORDING), lambda gap: F.regexp_count(gap, F.lit("[^HS][^H]*"))).alias("gaps"),  # unknown sentences before each
+    ).select("doc_id", F.expr(f"transform(wordings, w -> {known("replace(w, 'S', ' ')")})").alias("sentence_ids"), "gaps")
     sequence = found.select(
-        "doc_id", F.expr("transform(found, x -> x.id)").alias("sentence_ids"),
-        F.expr(f"""
-            array_join(zip_with(found, concat(array(CAST(NULL AS int)), transform(slice(found, 1, greatest(size(found) - 1, 0)), x -> x.place)),
-                                (x, last) -> IF(x.place - last > {max_gap + 1}, concat('~<', x.id, '>'), concat('<', x.id, '>'))), '')""").alias("sequence"),
+        "doc_id", "sentence_ids",
+        F.expr(f"array_join(transform(sentence_ids, (id, i) -> IF(i > 0 AND gaps[i] > {max_gap}, concat('~<', id, '>'), concat('<', id, '>'))), '')").alias("sequence"),
     )
     matched = sequence.select("doc_id", "sentence_ids", F.expr(rewritten("sequence")).alias("rest"))
     names = F.array(*[F.lit(name) for name, _ in RULES])

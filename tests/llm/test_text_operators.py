@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -103,6 +104,49 @@ def test_license_rules(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+NOTICES = {
+    "MIT text": """Copyright (c) 2020 Somebody
+All rights reserved
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "Apache-2.0 notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0 notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+}
+
+
+def test_wrapped_and_commented_notices(spark):
+    rows = []
+    for name, text in NOTICES.items():
+        for width in (10_000, 78, 60, 34):
+            wrapped = "\n".join(line for p in text.split("\n") for line in (textwrap.wrap(p, width) or [""]))
+            for leader in ("", "# ", " * ", "// ", "dnl "):
+                commented = "\n".join((leader + line).rstrip() for line in wrapped.split("\n"))
+                rows += [(len(rows), name, "import os\n\n" + commented + "\n\nx = 1\n"), (len(rows) + 1, name, commented.replace("\n", "\r\n"))]
+    rows += [(len(rows), None, "MIT\nlicense texts\nare many: see below"), (len(rows) + 1, None, "license\n" + "; : \n*\n" * 30_000 + ":" * 30_000)]
+    out = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()}
+    for i, name, text in rows:
+        want = {"MIT text": ["reserved", "MIT text"], None: []}.get(name, [name])
+        assert out[i].licenses == want and out[i].n_unmatched == 0, text[:200]
+
+
 def luhn(digits):
     return sum((int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
 
