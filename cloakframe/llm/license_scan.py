@@ -105,6 +105,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("cc-zero",)),
     ("reserved", ("reserved",)),
 )
+#: Every wording holds one of these words, whole or as the start of a word.
+GATE = ("licen[sc]e", "permission", "redistribution", "copyright", "reserved", "warranty", "cc0")
 ENDS = r'[.!?:;]+(?:[\s")]+|\z)|\n+'
 
 
@@ -152,7 +154,7 @@ def scan_licenses(documents: DataFrame, max_gap: int = 5) -> DataFrame:
     cut = documents.select(
         "doc_id",
         # Most texts hold none of these words: they are passed over without being cut.
-        F.when(F.coalesce("text", F.lit("")).rlike("(?i)licen[sc]ed|license|permission|redistribution|copyright|rights reserved|free software|cc0"),
+        F.when(F.coalesce("text", F.lit("")).rlike(f"(?i){'|'.join(GATE)}"),
                cut_text(F.col("text"))).otherwise("").alias("cut"),
     )
     found = cut.select(

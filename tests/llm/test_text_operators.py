@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.llm.chat_format import format_conversations, loss_text, read_turns
-from cloakframe.llm.license_scan import scan_licenses
+from cloakframe.llm.license_scan import GATE, SENTENCES, scan_licenses
 from cloakframe.llm.line_rules import clean_lines
 from cloakframe.llm.pseudonyms import pseudonymise
 
@@ -147,6 +147,14 @@ def test_wrapped_and_commented_notices(spark):
         assert out[i].licenses == want and out[i].n_unmatched == 0, text[:200]
 
 
+def test_each_known_wording_is_found_on_its_own(spark):
+    rows = [(i, name, wording) for i, (name, wording) in enumerate((n, w) for n, ws in SENTENCES.items() for w in ws)]
+    rows += [(len(rows) + i, name, wording.replace(" ", "\n")) for i, name, wording in rows]
+    out = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()}
+    assert [(i, out[i].sentence_ids) for i, _, _ in rows] == [(i, [name]) for i, name, _ in rows]
+    assert all(re.search("|".join(GATE), wording) for _, _, wording in rows)
+
+
 def luhn(digits):
     return sum((int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
 
