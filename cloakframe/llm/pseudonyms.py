@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms by a keyed Feistel permutation, in column expressions only.
 
-Candidates are cut out of the text by one pattern and checked: card numbers by their check digit, IBANs by modulus 97, social
+Candidates are cut out of the text by one pattern and checked: card numbers by their check digit, IBANs by modulus 97 (cut at the length of their country), social
 security numbers by their ranges, dates by the calendar, IPv4 addresses by their octets, telephone numbers by their
 length.  A valid value is permuted within the set of valid values of its kind and written back in its own
 punctuation, so equal values stay equal in all documents, different ones stay different, and ``restore=True`` inverts it with
@@ -25,12 +25,25 @@ ROUNDS, WALK = 8, 64
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 SECRET = r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,}"
 ACCESS_KEY = r"\bAKIA[0-9A-Z]{16}\b"
-IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+# Lengths of IBANs by country: what follows an IBAN in capitals is no part of it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_KNOWN = "|".join(
+    rf"(?:{'|'.join(lands.split())})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"(?![A-Za-z0-9_])"
+    for n, lands in IBAN_LENGTHS.items())
+IBAN = (rf"\b(?:{IBAN_KNOWN}|[A-Z]{{2}}\d{{2}}(?!(?: [A-Z0-9]{{1,4}}){{0,6}} (?:{IBAN_KNOWN}))"
+        r"(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)")
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+# A card in its usual groups or in one piece; the short number behind it may be its end or a neighbour.
+CARD_SHAPE = r"\d{4}(?:[ -]\d{4}){3}(?!\d)|\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)|\d{13,19}(?!\d)"
+CARD = (rf"(?<!\d)(?:(?:{CARD_SHAPE})(?:[ -]\d{{1,3}}(?!\d))?"
+        rf"|(?!(?:\d{{1,12}}[ -]){{1,4}}(?:{CARD_SHAPE}))\d(?:[ -]?\d){{12,18}}(?!\d))")
 ANY = "|".join((EMAIL, SECRET, ACCESS_KEY, IBAN, IPV4, DATE, SSN, PHONE, CARD))
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 
@@ -113,7 +126,7 @@ def kind_of(m: str, d: str) -> str:
                                               WHEN try_to_date({m}, 'MM/dd/yyyy') {in_range} THEN 'date_month_first' END
         WHEN {m} RLIKE {whole(SSN)} THEN IF(substr({d}, 1, 3) NOT IN ('000', '666') AND substr({d}, 1, 1) <> '9'
                                             AND substr({d}, 4, 2) <> '00' AND substr({d}, 6) <> '0000', 'ssn', NULL)
-        WHEN {m} RLIKE {whole(CARD)} AND {luhn_sum(d)} % 10 = 0 THEN 'card'
+        WHEN {m} RLIKE {whole(CARD)} AND length({d}) <= 19 AND {luhn_sum(d)} % 10 = 0 THEN 'card'
         WHEN {m} RLIKE {whole(PHONE)} THEN IF(length({d}) BETWEEN 7 AND 15, 'phone', NULL) END"""
 
 
@@ -147,17 +160,33 @@ def pseudonymise(documents: DataFrame, key: str, restore: bool = False) -> DataF
     p = Permutation(key, restore)
     marked = documents.select(
         "*",
-        # Nearly all texts without digits and at signs hold no candidate; the pattern runs only on the others.
-        F.expr(f"IF(text RLIKE '[0-9@=:]', regexp_extract_all(text, {literal(ANY)}, 0), array())").alias("_matches"),
+        # Nearly all texts without digits, signs and AKIA hold no candidate; the pattern runs only on the others.
+        F.expr(f"IF(text RLIKE '[0-9@=:]|AKIA', regexp_extract_all(text, {literal(ANY)}, 0), array())").alias("_matches"),
     )
-    checked = marked.withColumn("_found", F.expr(f"""
+    # A card that fails with the number behind it is tried without it (tail: that number).
+    tried = marked.withColumn("_tried", F.expr(f"""
         transform(transform(coalesce(_matches, array()), m -> named_struct('m', m, 'd', regexp_replace(m, '[^0-9]', ''))),
-                  f -> named_struct('m', f.m, 'd', f.d, 'kind', {kind_of('f.m', 'f.d')}))"""))
+                  f -> named_struct('m', f.m, 'd', f.d, 'kind', {kind_of('f.m', 'f.d')},
+                                    'head', IF(f.m RLIKE {whole(CARD)}, regexp_extract(f.m, '^(.*)[ -][0-9]+$', 1), '')))"""))
+    checked = tried.withColumn("_found", F.expr(f"""
+        transform(transform(_tried, f -> named_struct('f', f, 'd', regexp_replace(f.head, '[^0-9]', ''))),
+                  h -> IF(h.f.kind IS NULL AND length(h.d) BETWEEN 13 AND 19 AND {luhn_sum('h.d')} % 10 = 0,
+                          named_struct('m', h.f.head, 'd', h.d, 'kind', 'card', 'tail', substr(h.f.m, length(h.f.head) + 1)),
+                          named_struct('m', h.f.m, 'd', h.f.d, 'kind', h.f.kind, 'tail', '')))"""))
     country = r"regexp_replace(regexp_extract(c.m, '^[+][0-9]{1,3}(?=[ .(-])', 0), '[^0-9]', '')"
+    # Restoring cuts the new text alike: a card is permuted until it still fails with the number behind it.
+    tail = "regexp_replace(c.tail, '[^0-9]', '')"
+    full = "concat(substr(c.d, 1, 1), v)"
+    zero = f"concat({full}, '0')"
+    number = f"concat({full}, pmod(10 - {luhn_sum(zero)} % 10, 10), {tail})"
+    fails = f"{luhn_sum(number)} % 10 <> 0"
+    card = f"""aggregate(sequence(1, {WALK}), named_struct('v', substr(c.d, 2, length(c.d) - 2), 'done', false),
+        (w, j) -> IF(w.done, w, transform(array({p.digits('card', 'w.v')}), v -> named_struct('v', v, 'done', c.tail = '' OR length(c.d) + length({tail}) > 19 OR {fails}))[0]),
+        w -> w.v)"""
     # The new digits of cards, telephone numbers and IBANs: what is kept, what is permuted, what follows from both.
     fresh = checked.withColumn("_digits", F.expr(f"""
         transform(_found, c -> CASE c.kind
-          WHEN 'card' THEN concat(substr(c.d, 1, 1), {p.digits('card', "substr(c.d, 2, length(c.d) - 2)")})
+          WHEN 'card' THEN concat(substr(c.d, 1, 1), {card})
           WHEN 'phone' THEN concat({country}, {p.digits('phone', f"substr(c.d, 1 + length({country}))")})
           WHEN 'iban' THEN {p.digits('iban', "substr(c.d, 3)")} END)"""))
     body = "concat(substr(replace(c.m, ' ', ''), 1, 2), '00', substr(replace(c.m, ' ', ''), 5))"
@@ -168,7 +197,7 @@ def pseudonymise(documents: DataFrame, key: str, restore: bool = False) -> DataF
           ELSE y END))"""))
     named = closed.withColumn("_new", F.expr(f"transform(_closed, x -> {renamed(p)})"))
     return named.select(
-        *[F.expr(f"""IF(size(_new) = 0, text, array_join(zip_with(split(text, {literal(ANY)}), _new,
+        *[F.expr(f"""IF(size(_new) = 0, text, array_join(zip_with(split(text, {literal(ANY)}), zip_with(_found, _new, (c, n) -> concat(n, c.tail)),
              (gap, n) -> concat(gap, coalesce(n, ''))), ''))""").alias("text") if c == "text" else F.col(c) for c in documents.columns if c != "found"],
         F.expr("""filter(zip_with(_found, _new, (c, n) -> named_struct('kind', c.kind, 'pseudonym', n)), x -> x.kind IS NOT NULL)""").alias("found"),
     )
