@@ -7,7 +7,7 @@ Both samples are the labelled rows with the smallest hash of their id, so their
 some 70 kB.  ``score`` compresses every whole text in pieces of ``PIECE`` bytes, so that no part of a long text is
 out of reach of the dictionary.  No shuffle of texts.
 
-Defined cases: a null text counts as empty; an empty text has size 0 and gets the score of a text about which nothing is known;
+Defined cases: a null text counts as empty; an empty text has size 0 and gets the share of label 1;
 labels that are null do not count, an id labelled twice counts once per label; without labels of both classes the score of
 every text is the share of label 1 (0.5 without any label); null ids are scored and never held out; rows that repeat an
 id are scored each on their own; extra columns are kept; an empty table gives no rows.
@@ -170,4 +170,5 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     ]
     terms = [F.lit(1.0), *base, *(base[i] * base[j] for i in range(3) for j in range(i, 3))]
     z = sum(((t - m) / s * w for t, m, s, w in zip(terms, model.mean, model.scale, model.weights)), F.lit(0.0))
-    return sized.withColumn("score", 1 / (1 + F.exp(-z)))
+    # Nothing is known about an empty text, and the fit holds for sizes it has seen only.
+    return sized.withColumn("score", F.when(F.col("n_bytes") == 0, float(model.share)).otherwise(1 / (1 + F.exp(-z))))

@@ -33,7 +33,8 @@ MIX_SHARE = 0.8
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the compression classifier, trained on the labelled rows of the documents table, does not reject."""
     model = compression_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return compression_classifier.score(docs.select(*COLUMNS), model).where(F.col("score") >= REJECT_BELOW).select(*COLUMNS)
+    scored = compression_classifier.score(docs.select(*COLUMNS), model)
+    return scored.where((F.col("score") >= REJECT_BELOW) | (F.col("n_bytes") == 0)).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from cloakframe.llm import compression_classifier as classifier
 from cloakframe.session import materialise
 from tests.llm.test_table_operators import VOCABULARY, brute_groups, brute_lines
 
@@ -59,3 +62,15 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert materialise(stage(spark, docs, SF)).count() == 0
+
+
+def test_null_and_empty_texts_get_the_prior_and_stay(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = classifier.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    empty = spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string").select(
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in COLUMNS[2:]])
+    for share in (model.share, 0.1):
+        known = replace(model, share=share)
+        assert {r.score for r in classifier.score(empty, known).collect()} == {share}
+        monkeypatch.setattr(classifier, "fit", lambda *_, known=known: known)
+        assert sorted(r.doc_id for r in corpus_pipeline.quality(spark, empty, SF).collect()) == [-2, -1]
