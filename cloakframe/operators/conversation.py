@@ -41,6 +41,11 @@ def in_order(turns: DataFrame) -> DataFrame:
     return turns.withColumn("at", F.coalesce("turn", F.lit(-1)).cast("long") * PER_TURN + F.row_number().over(same_turn) - 1)
 
 
+def turn_of(at: str) -> Column:
+    """The turn number of a place; null where the message had none."""
+    return F.when(F.col(at) >= 0, F.expr(f"{at} DIV {PER_TURN}"))
+
+
 def _with_known(turns: DataFrame, vault: DataFrame) -> DataFrame:
     """Turns with ``known``: earlier vault values that occur in them, in order of replacement."""
     values = vault.select(
@@ -88,7 +93,7 @@ def _residue(turns: DataFrame, vault: DataFrame) -> DataFrame:
     return with_spans(rest, "work")
 
 
-def _first_seen(spans: DataFrame) -> DataFrame:
+def first_seen(spans: DataFrame) -> DataFrame:
     rows = spans.select("conv_id", "at", F.explode_outer("spans").alias("s")).where("s IS NOT NULL")
     kind = catalogue_field(F.col("s.det"), DETECTORS, "type")
     return (
@@ -124,10 +129,10 @@ def redact_turns(turns: DataFrame, known: DataFrame | None = None) -> tuple[Data
     if known is None:
         known = turns.sparkSession.createDataFrame([], VAULT)
     place = ["conv_id", "det", "value", "first_at", "first_pos"]
-    vault, left, steady = materialise(_first_seen(with_spans(turns))), turns, None
+    vault, left, steady = materialise(first_seen(with_spans(turns))), turns, None
     while True:
         marked = vault.withColumn("mark", placeholder(F.col("type"), F.lit(0))).unionByName(_marked(known), allowMissingColumns=True)
-        again = materialise(_first_seen(_residue(left, marked)))
+        again = materialise(first_seen(_residue(left, marked)))
         moved = again.join(vault, place, "left_anti").select("conv_id").unionAll(vault.join(again, place, "left_anti").select("conv_id"))
         moved = materialise(moved.distinct())
         done = again.join(moved, "conv_id", "left_anti")
@@ -188,13 +193,20 @@ def conversation_vault(redacted: DataFrame) -> DataFrame:
 
 
 def stored_messages(messages: DataFrame, redacted: DataFrame) -> DataFrame:
-    """Messages as they are stored: user turns redacted, model turns as they came."""
-    users = user_turns(messages).select("conv_id", "turn", "role").join(
-        redacted.select("conv_id", "turn", F.col("redacted").alias("content"), "protected_count"), ["conv_id", "turn"]
+    """Messages as they are stored, one row each: user turns redacted, model turns as they came.
+
+    A redacted turn is a row of its own, so turns that share a number keep their count.  Model turns keep the
+    ``provider`` and ``model`` that answered, where the input has those columns; user turns have none.
+    """
+    origin = [name for name in ("provider", "model") if name in messages.columns]
+    users = redacted.select(
+        "conv_id", "turn", F.lit("user").alias("role"), F.col("redacted").alias("content"), "protected_count",
+        *[F.lit(None).cast("string").alias(name) for name in origin],
     )
     others = messages.where("role <> 'user'").select(
         "conv_id", "turn", "role", F.col("text").alias("content"),
         count_placeholders(F.col("text")).cast("long").alias("protected_count"),
+        *[F.col(name).cast("string").alias(name) for name in origin],
     )
     return users.unionByName(others)
 

@@ -138,8 +138,9 @@ numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, typ
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = with_spans(C.user_turns(messages(spark, sf_dir)).select("conv_id", "turn", "text"))
-    return C.number_rows(C._first_seen(spans), ["conv_id", "type"], ["first_turn", "first_pos"], "idx")
+    turns = C.in_order(C.user_turns(messages(spark, sf_dir)).select("conv_id", "turn", "text"))
+    numbered = C.number_rows(C.first_seen(with_spans(turns)), ["conv_id", "type"], ["first_at", "first_pos"], "idx")
+    return numbered.withColumn("first_turn", C.turn_of("first_at"))
 
 
 @plan(
