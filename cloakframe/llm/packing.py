@@ -3,7 +3,7 @@
 ``pieces`` tokenises whole texts and cuts only those longer than the capacity, the first piece being the short one.
 ``pack`` puts pieces into bins: each goes where the squares of the numbers of open bins per residual gap sum up to least
 afterwards (ties: the smaller gap, an open bin before a new one).  The rule reads counts per gap only, so a step costs the
-capacity and not the number of bins.  It runs on hash groups of ``GROUP`` pieces, many at once; what lies in
+capacity and not the number of bins.  It runs on groups of about ``GROUP`` pieces, many at once; what lies in
 bins that stayed under ``CLOSED`` of the capacity is packed again in fewer groups.  The last round, by falling length, is the one
 that fits a group, or the one after a round that brought more than half of its pieces back (few pieces fit together).
 
@@ -98,14 +98,16 @@ def pack_groups(items: DataFrame, groups: int, capacity: int, falling: bool, tur
         named = bins + (turn << 56) + (key[0].as_py() << 24)
         return pa.table([*(rows.column(c) for c in columns), pa.array(named), pa.array(offsets), pa.array(filled)], names=schema.names)
 
-    order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = items.withColumn("_order", order).withColumn("_group", F.pmod(F.xxhash64("_order"), F.lit(groups)))
+    dealt = items.withColumn("_order", F.xxhash64("_row")).withColumn("_group", F.pmod(F.xxhash64("_order"), F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(place, schema)
 
 
 def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
-    """The pieces (doc_id, piece, length, ids_crc32 and more slim columns) with sequence_id and offset."""
-    found = materialise(found)
+    """The pieces (doc_id, piece, length, ids_crc32 and more slim columns) with sequence_id and offset.
+
+    Pieces are dealt into groups by the row they are stored in, not by what they hold, so equal ones spread as well.
+    """
+    found = materialise(found.withColumn("_row", F.monotonically_increasing_id()))
     columns = found.columns
     whole = found.where(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done, left, turn, last = [whole], found.where(F.col("length") < capacity), 0, False
@@ -122,7 +124,7 @@ def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.drop("_row")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

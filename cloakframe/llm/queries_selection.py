@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
+from cloakframe.llm import token_files
 from cloakframe.llm.importance import resample
 from cloakframe.llm.registry import query, table
+from cloakframe.session import scratch_path
 
 OP12_SQL = r"""
 WITH lookup AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
@@ -32,3 +34,10 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN r
 def importance_resampling(spark, sf_dir):
     drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, runs=1, buckets=10_000, least_words=20, seed=2024)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_token_files")
+def written_tokens(spark, sf_dir):
+    folder = scratch_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2, spaceless=True)
+    return token_files.read(spark, folder)
