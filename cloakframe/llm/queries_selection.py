@@ -3,12 +3,40 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from cloakframe.llm import token_files
+from cloakframe.llm.hard_negatives import hard_negatives
 from cloakframe.llm.importance import resample
 from cloakframe.llm.registry import query, table
 from cloakframe.session import scratch_path
 
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.vec, b.vec) AS BIGINT) AS s
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT a AS anchor_id, b AS positive_id, s AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, b) AS rank, b AS negative_id, positive_score, s AS negative_score
+FROM pos JOIN p ON a = anchor_id AND NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, b) <= 10"""
+
+
+def whole(x):
+    """floor(256 * x) as a double; null for what is not finite.  From 2^53 on every double is whole."""
+    scaled = 256 * x.cast("double")
+    floored = F.when(F.abs(scaled) < float(1 << 53), F.floor(scaled).cast("double")).otherwise(scaled)
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), floored)
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def mined_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.transform("embedding", whole).alias("vector"))
+    mined = hard_negatives(rows, F.col("id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+    return mined.withColumns({c: F.col(c).cast("long") for c in ("positive_score", "negative_score")})
+
+
 OP12_SQL = r"""
 WITH lookup AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
   FROM range(256) AS r(b)),

@@ -179,7 +179,6 @@ ODD = ["", None, "a  b", "a\n\nb", "a \n b", "x's don't I'LL", " a  b c　 d
 
 def test_encoder_equals_the_tokenizer():
     plain = Tokenizer.from_file(VOCABULARY)
-    plain.encode_special_tokens = True
     ids, offsets = Encoder(VOCABULARY, 2).encode(ODD)
     for text, start, end in zip(ODD, offsets, offsets[1:]):
         assert ids[start:end].tolist() == plain.encode(text or "", add_special_tokens=False).ids + [2], text
@@ -202,7 +201,6 @@ def test_packing_keeps_every_token(spark):
     packed = pack(pieces(docs, VOCABULARY, keep_ids=True))
     rows = packed.collect()
     plain = Tokenizer.from_file(VOCABULARY)
-    plain.encode_special_tokens = True
     by_doc, by_bin = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
