@@ -100,7 +100,7 @@ def write(documents: DataFrame, folder: str, path: str, end_id: int = 2, spacele
     stored = materialise(encoded(documents, path, end_id, spaceless).withColumn("row", F.monotonically_increasing_id()))
     order = ["doc_id", "n_ids", "check", "row"]
     dealt = stored.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.select("doc_id", "n_ids", "ids").mapInArrow(pack, PAGES).write.mode("overwrite").parquet(f"{folder}/pages")
+    dealt.select("doc_id", "n_ids", "ids").mapInArrow(pack, PAGES).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/pages")
     # One row per task that wrote: a running sum over them fits any task.
     sizes = pages(spark, folder).groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
