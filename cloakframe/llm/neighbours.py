@@ -14,7 +14,7 @@ share costs one row per curve.  Work grows with rows times curves (sorting) and
 
 Nearness is the Euclidean distance in double precision of the original vectors, ties to the smaller id.
 
-Defined cases: vectors that are null, zero, of another length than the one of the smallest id, or hold null or non-finite
+Defined cases: vectors that are null, zero, of another length than the commonest (of several, the smallest), or hold null or non-finite
 components take no part, nor do rows with a null id; a row repeated with its id counts once; with fewer than k
 candidates all that were found are returned; extra columns are ignored; an empty table gives no rows.
 """
@@ -245,8 +245,9 @@ def nearest(
 ) -> DataFrame:
     """For each row with ``wanted`` (a condition on id): query_id, rank (from 1), vec_id, score.  ``rows`` has id and vector."""
     rows = rows.select(F.col("id").cast("long"), F.col("vector").cast("array<float>"))
-    head = rows.where("id IS NOT NULL AND size(vector) > 0").orderBy("id").select(F.size("vector")).first()
-    dim = head[0] if head else 1
+    lengths = rows.where("id IS NOT NULL AND size(vector) > 0").groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows"))
+    head = lengths.orderBy(F.col("rows").desc(), "n").select("n").first()
+    dim = head.n if head else 1
     heads, queries = classes(usable(rows, dim), wanted, k + 1)
     parts = [F.struct(F.avg(F.col("vector")[i].cast("double")), F.var_pop(F.col("vector")[i].cast("double"))) for i in range(dim)]
     spread = heads.agg(*[p.alias(f"d{i}") for i, p in enumerate(parts)], F.count("*").alias("n")).first()

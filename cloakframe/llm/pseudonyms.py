@@ -45,6 +45,8 @@ CARD_SHAPE = r"\d{4}(?:[ -]\d{4}){3}(?!\d)|\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)|\d{13
 CARD = (rf"(?<!\d)(?:(?:{CARD_SHAPE})(?:[ -]\d{{1,3}}(?!\d))?"
         rf"|(?!(?:\d{{1,12}}[ -]){{1,4}}(?:{CARD_SHAPE}))\d(?:[ -]?\d){{12,18}}(?!\d))")
 ANY = "|".join((EMAIL, SECRET, ACCESS_KEY, IBAN, IPV4, DATE, SSN, PHONE, CARD))
+CARD_AND_NUMBER = rf"(?:{CARD_SHAPE})[ -]\d{{1,3}}"
+KEY = "_pseudonym_key"
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 
 
@@ -57,14 +59,16 @@ def whole(pattern: str) -> str:
 
 
 class Permutation:
-    """SQL texts of keyed permutations; ``back`` gives the inverse ones."""
+    """SQL texts of keyed permutations; ``back`` gives the inverse ones.
 
-    def __init__(self, key: str, back: bool = False):
-        self.key = hashlib.sha256(key.encode()).hexdigest()
+    The key is the column ``KEY``, so that no plan, and no log of plans, holds it.
+    """
+
+    def __init__(self, back: bool = False):
         self.order, self.sign = (f"sequence({ROUNDS - 1}, 0, -1)", "-") if back else (f"sequence(0, {ROUNDS - 1})", "+")
 
     def noise(self, kind: str, i: str, x: str) -> str:
-        return f"CAST(conv(substr(sha2(concat('{self.key}|{kind}|', {i}, '|', {x}), 256), 1, 15), 16, 10) AS BIGINT)"
+        return f"CAST(conv(substr(sha2(concat({KEY}, '|{kind}|', {i}, '|', {x}), 256), 1, 15), 16, 10) AS BIGINT)"
 
     def rounds(self, kind: str, x: str, y: str, xs: str, ys: str, finish: str) -> str:
         """Feistel rounds over x < xs and y < ys; ``finish`` maps the struct s(x, y)."""
@@ -90,7 +94,7 @@ class Permutation:
             f"concat(lpad(s.x, CAST({left} AS INT), '0'), lpad(s.y, CAST({right} AS INT), '0'))")
 
     def token(self, kind: str, x: str) -> str:
-        return f"sha2(concat('{self.key}|{kind}|', {x}), 256)"
+        return f"sha2(concat({KEY}, '|{kind}|', {x}), 256)"
 
 
 def luhn_sum(d: str) -> str:
@@ -157,31 +161,38 @@ def renamed(p: Permutation) -> str:
 
 def pseudonymise(documents: DataFrame, key: str, restore: bool = False) -> DataFrame:
     """The documents with their text rewritten, and ``found``: array of (kind, pseudonym) in the order of the text."""
-    p = Permutation(key, restore)
-    marked = documents.select(
+    p = Permutation(restore)
+    secret = documents.sparkSession.createDataFrame([(hashlib.sha256(key.encode()).hexdigest(),)], f"{KEY} string")
+    marked = documents.crossJoin(F.broadcast(secret)).select(  # one row
         "*",
         # Nearly all texts without digits, signs and AKIA hold no candidate; the pattern runs only on the others.
         F.expr(f"IF(text RLIKE '[0-9@=:]|AKIA', regexp_extract_all(text, {literal(ANY)}, 0), array())").alias("_matches"),
     )
-    # A card that fails with the number behind it is tried without it (tail: that number).
+    # Behind a card in its usual groups a short number is its end only if the card is none without it.  In other groups the whole is
+    # tried first.  (tail: the number behind the card; n_head: digits before a short number that is the card's end)
     tried = marked.withColumn("_tried", F.expr(f"""
         transform(transform(coalesce(_matches, array()), m -> named_struct('m', m, 'd', regexp_replace(m, '[^0-9]', ''))),
-                  f -> named_struct('m', f.m, 'd', f.d, 'kind', {kind_of('f.m', 'f.d')},
+                  f -> named_struct('m', f.m, 'd', f.d, 'kind', {kind_of('f.m', 'f.d')}, 'sure', f.m RLIKE {whole(CARD_AND_NUMBER)},
                                     'head', IF(f.m RLIKE {whole(CARD)}, regexp_extract(f.m, '^(.*)[ -][0-9]+$', 1), '')))"""))
     checked = tried.withColumn("_found", F.expr(f"""
         transform(transform(_tried, f -> named_struct('f', f, 'd', regexp_replace(f.head, '[^0-9]', ''))),
-                  h -> IF(h.f.kind IS NULL AND length(h.d) BETWEEN 13 AND 19 AND {luhn_sum('h.d')} % 10 = 0,
-                          named_struct('m', h.f.head, 'd', h.d, 'kind', 'card', 'tail', substr(h.f.m, length(h.f.head) + 1)),
-                          named_struct('m', h.f.m, 'd', h.f.d, 'kind', h.f.kind, 'tail', '')))"""))
+                  h -> IF((h.f.kind IS NULL OR h.f.sure AND h.f.kind = 'card') AND length(h.d) BETWEEN 13 AND 19 AND {luhn_sum('h.d')} % 10 = 0,
+                          named_struct('m', h.f.head, 'd', h.d, 'kind', 'card', 'tail', substr(h.f.m, length(h.f.head) + 1), 'sure', h.f.sure, 'n_head', 0),
+                          named_struct('m', h.f.m, 'd', h.f.d, 'kind', h.f.kind, 'tail', '', 'sure', h.f.sure, 'n_head', IF(h.f.sure, length(h.d), 0))))"""))
     country = r"regexp_replace(regexp_extract(c.m, '^[+][0-9]{1,3}(?=[ .(-])', 0), '[^0-9]', '')"
-    # Restoring cuts the new text alike: a card is permuted until it still fails with the number behind it.
+    # Restoring must cut the new text alike.  A card before a short number is one whatever follows, so its pseudonym depends on
+    # nothing else; in other groups it is permuted until it fails with the number behind it, and a card that ends with a short
+    # number until it fails without it.
     tail = "regexp_replace(c.tail, '[^0-9]', '')"
     full = "concat(substr(c.d, 1, 1), v)"
     zero = f"concat({full}, '0')"
     number = f"concat({full}, pmod(10 - {luhn_sum(zero)} % 10, 10), {tail})"
     fails = f"{luhn_sum(number)} % 10 <> 0"
+    head = f"substr({number}, 1, c.n_head)"
+    fits = f"""CASE WHEN c.n_head > 0 THEN {luhn_sum(head)} % 10 <> 0
+        WHEN c.tail = '' OR c.sure OR length(c.d) + length({tail}) > 19 THEN true ELSE {fails} END"""
     card = f"""aggregate(sequence(1, {WALK}), named_struct('v', substr(c.d, 2, length(c.d) - 2), 'done', false),
-        (w, j) -> IF(w.done, w, transform(array({p.digits('card', 'w.v')}), v -> named_struct('v', v, 'done', c.tail = '' OR length(c.d) + length({tail}) > 19 OR {fails}))[0]),
+        (w, j) -> IF(w.done, w, transform(array({p.digits('card', 'w.v')}), v -> named_struct('v', v, 'done', {fits}))[0]),
         w -> w.v)"""
     # The new digits of cards, telephone numbers and IBANs: what is kept, what is permuted, what follows from both.
     fresh = checked.withColumn("_digits", F.expr(f"""

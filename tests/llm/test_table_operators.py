@@ -348,7 +348,7 @@ def test_nearest_with_hot_vector_and_odd_rows(spark):
     for i in range(200, 400):
         vectors[i] = vectors[200]
     rows = [*vectors.items(), (5, vectors[5]), (601, None), (602, [0.0] * 8), (603, [float("nan")] + [1.0] * 7), (604, [float("inf")] * 8), (605, [1.0] * 7),
-            (None, [1.0] * 8), (606, [None] + [1.0] * 7), (700, [1.0] * 8)]
+            (None, [1.0] * 8), (606, [None] + [1.0] * 7), (700, [1.0] * 8), (-5, [1.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "id long, vector array<float>, score string")
     out = nearest(df, F.col("id") % 20 == 0, curves=24, window=64, per_pass=12).collect()
     live = {**vectors, 700: [1.0] * 8}
