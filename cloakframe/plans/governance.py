@@ -117,8 +117,12 @@ def chain_check(block_rows: int | None) -> str:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_of(load(spark, sf_dir, "prompts"))
+
+
+def requests_of(prompts: DataFrame) -> DataFrame:
     """The prompts as gateway requests, one second apart."""
-    return load(spark, sf_dir, "prompts").select(
+    return prompts.select(
         F.col("prompt_id").alias("id"),
         F.expr("date_format(timestampadd(SECOND, prompt_id, TIMESTAMP_NTZ '2024-01-01 00:00:00'), 'yyyy-MM-dd HH:mm:ss')").alias("created_at"),
         F.lit("dashboard").alias("actor"),
@@ -129,8 +133,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions_of(load(spark, sf_dir, "prompts").select("prompt_id"))
+
+
+def decisions_of(prompts: DataFrame) -> DataFrame:
     """Approver decisions: some on records that are not held, some on unknown ids, some a second one on the same request."""
-    prompts = load(spark, sf_dir, "prompts").select("prompt_id")
     given = prompts.where("(prompt_id div 12) % 3 < 2").selectExpr(
         "prompt_id AS request_id",
         "4 * prompt_id AS decision_id",

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe import catalogue as c
+from cloakframe.operators import ledger as L
 from cloakframe.plans.checksql import redacted_ctes, spaced, spans_ctes
 from cloakframe.plans.conversations import CHAT, MESSAGES
+from cloakframe.plans.governance import DECISIONS, LEDGER_CTES, OUTCOMES, PROMPTS, REPLIED, decisions_of, requests_of
+from cloakframe.plans.operations import FAULTS, STATE
 from cloakframe.plans.registry import plan
 from cloakframe.session import scratch_path
+from cloakframe.sources.views import VIEWS, load
 from cloakframe.streaming import jobs as J
 
 
@@ -128,3 +132,76 @@ def stream_approval_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = J.run_available(J.approval_queue(requests, decisions), "approvals")
     return plain_time(queue, "created_at", "decided_at")
 
+
+
+ACCESSES = """accesses AS (SELECT event_id, concat('tok', lpad(CAST(CASE WHEN event_id % 11 = 0 THEN 99999 ELSE user_id END AS VARCHAR), 5, '0')) AS token,
+ts + INTERVAL 2 DAY AS seen_at FROM events)"""
+JUDGED = f"""judged AS MATERIALIZED (SELECT event_id, token, seen_at, {STATE} AS state
+FROM (SELECT *, min(CASE WHEN fault IS NOT NULL THEN nr END) OVER (PARTITION BY token) AS first_nr FROM faults))"""
+
+
+def followed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    utc(spark)
+    accesses = J.read_stream(spark, sf_dir, "events").selectExpr(
+        "event_id", "concat('tok', lpad(CAST(CASE WHEN event_id % 11 = 0 THEN 99999 ELSE user_id END AS STRING), 5, '0')) AS token",
+        "ts + INTERVAL 2 DAYS AS seen_at",
+    )
+    return plain_time(J.run_available(J.session_states(accesses, load(spark, sf_dir, "sessions")), "sessions"), "at")
+
+
+@plan("stream_session_states", spaced(["sessions"], [ACCESSES, FAULTS, JUDGED], "SELECT event_id, token, state FROM judged"))
+def stream_session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return followed_sessions(spark, sf_dir).where("kind = 'access'").select("event_id", "token", "state")
+
+
+@plan(
+    "stream_session_ends",
+    spaced(["sessions"], [ACCESSES, FAULTS, JUDGED, """lasts AS (SELECT token, max(seen_at) FILTER (state = 'valid') AS last_valid, bool_or(state <> 'valid') AS found_over FROM judged GROUP BY token),
+limits AS (SELECT s.token, found_over, revoked_at AS r, expires_at + INTERVAL 1 MICROSECOND AS e,
+  coalesce(last_valid, last_seen_at, created_at) + INTERVAL 24 HOURS + INTERVAL 1 MICROSECOND AS i FROM sessions s LEFT JOIN lasts USING (token))"""],
+           """SELECT token, least(r, e, i) AS ended_at, CASE least(r, e, i) WHEN r THEN 'revoked' WHEN e THEN 'expired' ELSE 'idle' END AS reason FROM limits
+WHERE found_over OR least(r, e, i) <= (SELECT max(seen_at) - INTERVAL 1 HOUR FROM accesses)"""),
+)
+def stream_session_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session over by the watermark, whether an access found it so or only time passed."""
+    return followed_sessions(spark, sf_dir).where("kind = 'end'").select("token", F.col("at").alias("ended_at"), F.col("state").alias("reason"))
+
+
+def approval_events(spark: SparkSession, sf_dir: str, made: str = "true") -> DataFrame:
+    utc(spark)
+    stream = J.read_stream(spark, sf_dir, "customer")
+    name = "customer_arriving"
+    stream.createOrReplaceTempView(name)
+    prompts = spark.sql(VIEWS["prompts"].replace("@customer", name))
+    events = J.approval_events(L.ledger_rows(requests_of(prompts)), decisions_of(prompts).where(made), delay="0 seconds")
+    return plain_time(J.run_available(events, "approvals"), "at")
+
+
+@plan(
+    "stream_approval_events",
+    spaced(PROMPTS, [*LEDGER_CTES, REPLIED, DECISIONS, OUTCOMES],
+           "SELECT request_id, decision_id, decided_at, verdict, ok, error, status, approver, reason, provider, model, output_redacted FROM outcomes"),
+)
+def stream_approval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = approval_events(spark, sf_dir).where("kind = 'decided'").withColumnRenamed("at", "decided_at")
+    return decided.drop("kind")
+
+
+@plan(
+    "stream_open_requests",
+    spaced(PROMPTS, LEDGER_CTES, "SELECT id AS request_id, CAST(created_at AS TIMESTAMP) AS opened_at FROM ledger WHERE status = 'pending' AND (id // 12) % 3 = 2"),
+)
+def stream_open_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What still waits when only the lead has decided."""
+    return J.open_requests(approval_events(spark, sf_dir, "approver = 'dashboard:lead'"))
+
+
+@plan(
+    "stream_activity_snapshot",
+    "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS action, count(*) AS n FROM events GROUP BY ALL",
+)
+def stream_activity_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, the open day included."""
+    utc(spark)
+    log = J.read_stream(spark, sf_dir, "events").selectExpr("event_type AS action", "ts AS created_at")
+    return plain_time(J.activity_snapshots(log, scratch_path(spark, "activity")), "window_start")

@@ -1,11 +1,13 @@
 """Structured Streaming forms of the operators.
 
 Every job takes a streaming DataFrame and returns one; ``run_available`` drains what the
-source holds now into a parquet sink, for catch-up runs and tests.
+source holds now into a parquet sink, for catch-up runs and tests.  With a folder of its own a
+later run goes on where the last one stopped and reads only what is new.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +17,12 @@ from pyspark.sql import functions as F
 from cloakframe import catalogue as c
 from cloakframe.operators.conversation import ENTRY, VAULT, redact_turns, user_turns
 from cloakframe.operators.ledger import ledger_rows
+from cloakframe.operators.responders import distinct_placeholders, gateway_reply
 from cloakframe.session import materialise, scratch_path
+from cloakframe.streaming.stateful import APPROVAL_OUT, SESSION_OUT, ApprovalMachine, SessionFollower
+
+# Timers and several states per key are held by this store only.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
@@ -27,18 +34,30 @@ def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: i
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
-    """Process everything available into a table in the shared folder and read it back.
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings that a query takes over when it starts, put back after."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def run_available(stream: DataFrame, name: str, state_partitions: int | None = None, folder: str | None = None) -> DataFrame:
+    """Process everything available into a table and read it back.
 
-    State is kept in ``state_partitions`` parts, by default one per core: the number stays
+    With a ``folder`` its table and checkpoint stay, so another call reads only new files and adds to the table; without, the
+    table lies in the shared folder.  State is kept in ``state_partitions`` parts, by default one per core: the number stays
     fixed for the life of a checkpoint, and every part is a store that each batch must open.
     """
     spark = stream.sparkSession
-    target = scratch_path(spark, name)
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(state_partitions or spark.sparkContext.defaultParallelism))
-    try:
+    target = f"{folder.rstrip('/')}/{name}" if folder else scratch_path(spark, name)
+    parts = str(state_partitions or spark.sparkContext.defaultParallelism)
+    with settings(spark, **{"spark.sql.shuffle.partitions": parts, "spark.sql.streaming.stateStore.providerClass": STATE_STORE}):
         query = (
             stream.writeStream.format("parquet")
             .outputMode("append")
@@ -48,8 +67,6 @@ def run_available(stream: DataFrame, name: str, state_partitions: int | None = N
             .start()
         )
         query.awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(target)
 
 
@@ -154,3 +171,82 @@ def approval_queue(requests: DataFrame, decisions: DataFrame, patience: str = "3
         f"d.request_id = r.id AND d.decided_at >= r.created_at AND d.decided_at <= r.created_at + INTERVAL {patience}"
     )
     return held.join(made, match, "left_outer").select("r.id", "r.created_at", "d.verdict", "d.decided_at")
+
+
+def session_states(accesses: DataFrame, sessions: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """What ``access_validity`` says about each access of a stream of (token, event_id, seen_at), as it comes, and the end of each session.
+
+    ``sessions`` is where all begins: one row per token, a table.  Rows of kind ``access`` have the state of the session at that access.  A row of kind
+    ``end`` comes once per session, from the access that finds it over or from a timer when the watermark passes its limit, with
+    the moment it ended and why, the same either way.  Limits: the revocation, the hard expiry, a day without a valid access.
+    Rows of a micro-batch are taken in the order of their time, then event_id; what comes later than ``delay`` is dropped.
+    """
+    timed = _timed(accesses, "seen_at", delay).withColumn("at_us", F.unix_micros("seen_at"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    begin = sessions.select(
+        "token", F.coalesce(micros("last_seen_at"), micros("created_at")).alias("seen"), micros("expires_at").alias("expires"), micros("revoked_at").alias("revoked"))
+    follower = SessionFollower(c.SESSION_IDLE_HOURS * 3_600_000_000)
+    states = timed.select("token", "event_id", "at_us", "seen_at").groupBy("token").transformWithStateInPandas(
+        follower, SESSION_OUT, "append", "EventTime", initialState=begin.groupBy("token"))
+    return states.select("token", "event_id", F.timestamp_micros("at_us").alias("at"), "kind", "state")
+
+
+def approval_events(ledger: DataFrame, decisions: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Requests and decisions as one stream of events per request, each request settled once.
+
+    ``ledger`` are ledger records as they come, ``decisions`` those of ``apply_approvals``.  Rows of kind ``opened`` name each request with the
+    state it arrived in; rows of kind ``decided`` are the outcome of each decision as ``apply_approvals`` has it.  Decisions on a request
+    follow each other in time, then by id; one that is taken first keeps its effect.  A decision may come before its request by
+    ``delay``; after that it finds none.
+    """
+    prompt = F.col("prompt_redacted")
+    held = F.when(F.col("status") == "pending", gateway_reply(prompt, distinct_placeholders(prompt)))
+    asked = ledger.select(
+        F.col("id").alias("request_id"), F.col("created_at").cast("timestamp").alias("at"), F.lit(None).cast("long").alias("decision_id"),
+        *[F.lit(None).cast("string").alias(n) for n in ("verdict", "approver", "notes")], "status", "reason", held.alias("reply"))
+    made = decisions.select(
+        "request_id", F.col("decided_at").cast("timestamp").alias("at"), F.col("decision_id").cast("long"), "verdict", "approver", "notes",
+        *[F.lit(None).cast("string").alias(n) for n in ("status", "reason", "reply")])
+    events = asked.unionByName(made).withWatermark("at", delay).withColumn("at_us", F.unix_micros("at"))
+    out = events.groupBy("request_id").transformWithStateInPandas(ApprovalMachine(), APPROVAL_OUT, "append", "EventTime")
+    approved = F.col("ok") & (F.col("verdict") == "approve")
+    return out.select(
+        "kind", "request_id", "decision_id", F.timestamp_micros("at_us").alias("at"), "verdict", "ok", "error", "status", "approver", "reason",
+        F.when(approved, c.OFFLINE_PROVIDER).alias("provider"), F.when(approved, c.OFFLINE_MODEL).alias("model"), "output_redacted")
+
+
+def open_requests(events: DataFrame) -> DataFrame:
+    """The requests of an ``approval_events`` table that still wait for a decision: request_id, opened_at."""
+    settled = events.where("kind = 'decided' AND ok").select("request_id")
+    opened = events.where("kind = 'opened' AND status = 'pending'").select("request_id", F.col("at").alias("opened_at"))
+    return opened.join(settled, "request_id", "left_anti")
+
+
+def activity_snapshots(log: DataFrame, folder: str, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Entries per action and window over all there is, the open window included; the newest snapshot after what is available now.
+
+    A micro-batch brings the counts that changed.  They replace those of the snapshot before and make the next, a table of one row per
+    window and action under the number of the micro-batch; a repeated micro-batch makes the same snapshot again from
+    the same one before.  With the same ``folder`` a later call goes on where the last one stopped.
+    """
+    spark = log.sparkSession
+    schema = "window_start timestamp, action string, n long"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        older = session.createDataFrame([], schema) if batch_id == 0 else session.read.schema(schema).parquet(f"{folder}/snapshot={batch_id - 1}")
+        fresh = materialise(batch)
+        kept = older.join(fresh, (older.window_start == fresh.window_start) & older.action.eqNullSafe(fresh.action), "left_anti")
+        kept.unionByName(fresh).write.mode("overwrite").parquet(f"{folder}/snapshot={batch_id}")
+
+    counts = audit_activity(log, window, delay)
+    parts = str(spark.sparkContext.defaultParallelism)
+    with settings(spark, **{"spark.sql.shuffle.partitions": parts, "spark.sql.streaming.stateStore.providerClass": STATE_STORE}):
+        query = (
+            counts.writeStream.outputMode("update").foreachBatch(step)
+            .option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    last = spark.read.schema(f"{schema}, snapshot long").parquet(folder)
+    newest = last.agg(F.max("snapshot")).first()[0]
+    return last.where(F.col("snapshot") == newest).drop("snapshot")

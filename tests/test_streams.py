@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import functions as F
 
+from cloakframe.operators import access as A
+from cloakframe.operators import audit as Q
 from cloakframe.operators import conversation as C
 from cloakframe.session import scratch_path
 from cloakframe.streaming import jobs as J
@@ -62,3 +65,84 @@ def test_lockout_stream_equals_the_trailing_window(spark):
     got = J.run_available(J.lockout_alerts(stream), "alerts")
     found = {(r["ip"], (r["locked_at"] - start).total_seconds(), (r["since"] - start).total_seconds()) for r in got.collect()}
     assert found == {("a", 915, 30), ("a", 916, 200)}
+
+
+DAY = datetime.datetime(2024, 1, 1)
+
+
+def at(hours: float) -> datetime.datetime:
+    return DAY + datetime.timedelta(hours=hours)
+
+
+def test_sessions_end_by_access_or_timer_alike(spark):
+    """Three micro-batches and one say the same as the batch operator; a limit holds to the microsecond."""
+    tick = datetime.timedelta(microseconds=1)
+    sessions = [("idle", at(0), at(0), None, None), ("edge", at(0), at(0), None, None), ("hard", at(0), at(0), at(8), None), ("out", at(0), at(0), None, at(5)),
+                ("quiet", at(0), at(0), at(30), None), ("open", at(0), at(60), None, None)]
+    accesses = [(1, "idle", at(10)), (2, "edge", at(20)), (3, "hard", at(8)), (4, "out", at(4)), (5, "none", at(1)), (6, None, at(2)),
+                (7, "idle", at(34) + tick), (8, "edge", at(44)), (9, "hard", at(8) + tick), (10, "out", at(5)), (11, "idle", at(34.5)),
+                (12, "edge", at(68) + tick), (13, "open", at(70)), (14, "hard", at(70)), (15, "edge", at(71)), (16, "idle", at(72)), (17, "idle", at(72))]
+    accesses.sort(key=lambda a: (a[2], a[0]))
+    held = spark.createDataFrame([(t, c, s, e, r, "admin") for t, c, s, e, r in sessions],
+                                 "token string, created_at timestamp, last_seen_at timestamp, expires_at timestamp, revoked_at timestamp, role string")
+    schema = "event_id long, token string, seen_at timestamp"
+    batch = A.access_validity(spark.createDataFrame(accesses, schema), held)
+    want = sorted((r.event_id, r.state) for r in batch.collect())
+    ends = None
+    for cuts in ([17], [6, 12, 17]):
+        folder, out = scratch_path(spark, "accesses"), scratch_path(spark, "sessions")
+        done = 0
+        for cut in cuts:  # each call goes on where the one before stopped
+            spark.createDataFrame(accesses[done:cut], schema).coalesce(1).write.mode("append").parquet(folder)
+            got = J.run_available(J.session_states(spark.readStream.schema(schema).parquet(folder), held, "0 seconds"), "states", folder=out).collect()
+            done = cut
+        assert sorted((r.event_id, r.state) for r in got if r.kind == "access") == want
+        found = sorted((r.token, r.at, r.state) for r in got if r.kind == "end")
+        assert ends in (None, found)
+        ends = found
+    assert ends == [("edge", at(68) + tick, "idle"), ("hard", at(8) + tick, "expired"), ("idle", at(34) + tick, "idle"), ("out", at(5), "revoked"),
+                    ("quiet", at(24) + tick, "idle")]
+
+
+LEDGER = "id long, created_at timestamp, status string, reason string, prompt_redacted string"
+DECISION = "request_id long, decision_id long, decided_at timestamp, verdict string, approver string, notes string"
+
+
+def test_a_request_is_settled_once(spark):
+    asked, made, out = (scratch_path(spark, n) for n in ("asked", "made", "approvals"))
+    steps = [
+        ([(1, at(0), "pending", "why", "text [NAME_1]"), (2, at(1), "completed", "fine", "x")], [(3, 30, at(2), "approve", "lead", None), (9, 90, at(2), "approve", "lead", None)]),
+        ([(3, at(1.5), "pending", "late", "y"), (4, at(3), "pending", "open", "z")], [(1, 12, at(4), "reject", "lead", ""), (1, 11, at(4), "approve", "first", None), (2, 20, at(4), "approve", "lead", None)]),
+        ([(3, at(1.5), "pending", "again", "y")], [(1, 13, at(5), "approve", "lead", None), (3, 31, at(6), "reject", "second", "no")]),
+    ]
+    for requests, decisions in steps:
+        spark.createDataFrame(requests, LEDGER).coalesce(1).write.mode("append").parquet(asked)
+        spark.createDataFrame(decisions, DECISION).coalesce(1).write.mode("append").parquet(made)
+        events = J.approval_events(spark.readStream.schema(LEDGER).parquet(asked), spark.readStream.schema(DECISION).parquet(made), "2 hours")
+        rows = J.run_available(events, "events", folder=out)
+    got = {r.decision_id: (r.ok, r.error, r.status, r.approver, r.reason) for r in rows.where("kind = 'decided'").collect()}
+    settled = lambda s: f"Request is '{s}', not pending"
+    assert got == {
+        11: (True, None, "completed", "first", "why"), 12: (False, settled("completed"), "completed", None, "why"), 13: (False, settled("completed"), "completed", None, "why"),
+        20: (False, settled("completed"), "completed", None, "fine"), 30: (True, None, "completed", "lead", "late"), 31: (False, settled("completed"), "completed", None, "late"),
+        90: (False, "Request not found", None, None, None)}
+    assert sorted((r.request_id, r.status) for r in rows.where("kind = 'opened'").collect()) == [(1, "pending"), (2, "completed"), (3, "pending"), (4, "pending")]
+    assert [(r.request_id, r.opened_at) for r in J.open_requests(rows).collect()] == [(4, at(3))]
+    reply = rows.where("decision_id = 11").first()
+    assert reply.output_redacted and reply.provider and reply.model
+
+
+def test_activity_snapshots_go_on_and_repeat(spark):
+    source, folder = scratch_path(spark, "log"), scratch_path(spark, "activity")
+    schema = "action string, created_at timestamp"
+    log = [("a", at(1)), ("b", at(2)), ("a", at(30)), (None, at(31)), ("a", at(31)), (None, at(32)), ("b", at(47.5)), ("a", at(47.6))]
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(source)
+    for cut in (3, 5, 8):
+        spark.createDataFrame(log[{3: 0, 5: 3, 8: 5}[cut] : cut], schema).coalesce(1).write.mode("append").parquet(source)
+        got = J.activity_snapshots(read(), folder)
+        want = spark.createDataFrame(log[:cut], schema).groupBy(F.date_trunc("day", "created_at").alias("window_start"), "action").agg(F.count("*").alias("n"))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    again = J.activity_snapshots(read(), folder)  # nothing new: the same snapshot
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, got.collect()), key=repr)
+    summary = {r.action: r.n for r in Q.summarise_audit(spark.createDataFrame(log, schema), Q.AuditFilter()).collect()}
+    assert {r.action: r.n for r in got.groupBy("action").agg(F.sum("n").alias("n")).collect()} == summary
