@@ -224,6 +224,7 @@ TIER_RULES: tuple[tuple[str, int, str], ...] = (
     ("Low risk", 2, "current, or low debt-to-income"),
 )
 UNCLASSIFIED = "Unclassified"
+GROUPING_HEADLINE = "Customers grouped into credit-risk tiers by days-past-due and debt-to-income."
 DRAFT_WORDS = (
     "draft", "write", "reply", "respond", "message", "messages", "reminder", "letter",
     "email", "notice", "outreach", "correspond", "notify",

@@ -133,6 +133,25 @@ def tier_summary(rated: DataFrame) -> DataFrame:
     )
 
 
+def addressee(df: DataFrame, order: str, headers: Mapping[str, str] | None = None) -> str | None:
+    """The column a customer is called by: the first name column, else the first column of all."""
+    names = _headers(df, order, headers)
+    found = classify_names(names)
+    return next((col for col in names if col in found and found[col][0] == "NAME"), next(iter(names), None))
+
+
+def tier_grouping(rated: DataFrame, order: str, headers: Mapping[str, str] | None = None) -> DataFrame:
+    """The grouping by rules, one row per member: headline, tier, rule, summary, count, order, member.
+
+    ``rated`` has the columns of the table and ``tier``.  Counts are three rows at most; members are never gathered.
+    """
+    table = rated.select(*[col for col in rated.columns if col not in ("tier", "dpd", "debt", "income", "dti")])
+    called = addressee(table, order, headers)
+    member = F.coalesce(F.col(called).cast("string"), F.lit("")) if called else F.lit("")
+    rows = rated.select("tier", order, member.alias("member"))
+    return rows.join(F.broadcast(tier_summary(rated)), "tier").withColumn("headline", F.lit(c.GROUPING_HEADLINE))
+
+
 def tier_by_name(rated: DataFrame, name: str) -> DataFrame:
     """One tier per name: tiers are written High, Medium, Low, and the last writer wins."""
     return (

@@ -10,12 +10,13 @@ from cloakframe.functions.masking import mask_value
 from cloakframe.functions.redaction import with_redaction, with_spans
 from cloakframe.operators import conversation as C
 from cloakframe.operators import screening as S
+from cloakframe.operators import snapshots as N
 from cloakframe.operators import vault as V
 from cloakframe.operators.restore import restore_text
 from cloakframe.operators.substring_join import occurrences
 from cloakframe.plans.checksql import chat_round_ctes, lit, mask_sql, re2, redacted_ctes, reply_sql, spaced, spans_ctes, trim_sql
 from cloakframe.plans.registry import plan
-from cloakframe.session import materialise
+from cloakframe.session import materialise, scratch_path
 from cloakframe.sources.views import load
 
 MESSAGES = ["messages"]
@@ -344,3 +345,26 @@ FROM messages m LEFT JOIN (SELECT conv_id, turn, count(*) AS n FROM kept GROUP B
 )
 def conversation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rollup(S.with_findings(messages(spark, sf_dir)))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """Messages and vault of all conversations, committed as one version of a store."""
+    folder = scratch_path(spark, "store")
+    done = materialise(_redacted(spark, sf_dir))
+    tables = {"messages": C.stored_messages(messages(spark, sf_dir), done), "vault": C.conversation_vault(done).drop("ord", "value")}
+    N.commit(spark, folder, tables, {"messages": "conv_id", "vault": "conv_id"})
+    return folder
+
+
+@plan(
+    "store_erased",
+    spaced(MESSAGES, CHAT, f"""SELECT 'messages' AS kept_in, conv_id, count(*) AS n FROM messages m WHERE conv_id >= 8 AND (role <> 'user' OR {trim_sql('text')} <> '') GROUP BY conv_id
+UNION ALL SELECT 'vault', conv_id, count(*) FROM chat_vault WHERE conv_id >= 8 GROUP BY conv_id"""),
+)
+def store_erased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after the first conversations were erased from messages and vault at once."""
+    folder = _stored(spark, sf_dir)
+    gone = messages(spark, sf_dir).where("conv_id < 8").select("conv_id")
+    at, _anew, _left = N.erase(spark, folder, gone, "conv_id", ["messages", "vault"])
+    count = lambda name: N.read(spark, folder, name, at).groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("kept_in", F.lit(name))
+    return count("messages").unionByName(count("vault"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cloakframe import catalogue as c
 from cloakframe.functions import rules as R
 from cloakframe.operators import letters as letter_ops
+from cloakframe.operators import replies as M
 from cloakframe.operators import tables as T
 from cloakframe.operators.restore import restore_text
 from cloakframe.plans.checksql import fill_sql, lit, mask_sql, spaced, trim_sql
@@ -367,3 +368,95 @@ def apply_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     redacted = T.redact_table(rows, "row_ord", vault, HEADERS)
     tiers = T.reply_tiers(T.parse_replies(load(spark, sf_dir, "replies")), "reply_id", "customer_name")
     return T.tier_rows(redacted, "customer_name", tiers).select("row_ord", "customer_name", "tier")
+
+
+# Written apart from the operators: what each kind of reply must come to, with the values of its placeholders.
+REPLY_VALUES = """v AS MATERIALIZED (SELECT reply_id, reply_id % 7 AS kind, n.value AS name, q.value AS qid, i.value AS iban, concat('[NAME_', k, ']') AS name_mark FROM model_replies
+  JOIN vault n ON n.placeholder = concat('[NAME_', k, ']') JOIN vault q ON q.placeholder = concat('[QID_', k, ']') JOIN vault i ON i.placeholder = concat('[IBAN_', k, ']'))"""
+MODEL = ["portfolio", "model_replies"]
+
+
+def _model_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    _rows, vault = vault_of(spark, sf_dir)
+    entries = vault.select(F.struct("first_row", "first_col").alias("ord"), "placeholder", "value")
+    return load(spark, sf_dir, "model_replies"), entries
+
+
+@plan(
+    "reply_groups_restored",
+    spaced(MODEL, [VAULT, REPLY_VALUES], """SELECT reply_id, CAST(0 AS INT) AS g_ord, concat('About ', name, ' today') AS headline, 'High risk' AS tier, 'late' AS rule, concat(name, ' owes') AS summary, CAST(2 AS BIGINT) AS "count" FROM v WHERE kind = 0
+UNION ALL SELECT reply_id, 1, concat('About ', name, ' today'), 'Low risk', '', '', 0 FROM v WHERE kind = 0
+UNION ALL SELECT reply_id, 1, '7', 'Low risk', '', qid, 2 FROM v WHERE kind = 1
+UNION ALL SELECT reply_id, 2, '7', NULL, 'no tier', '', 0 FROM v WHERE kind = 1
+UNION ALL SELECT reply_id, 0, '', 'Medium risk', '', concat(iban, ' stays'), 0 FROM v WHERE kind = 6"""),
+)
+def reply_groups_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies, entries = _model_parts(spark, sf_dir)
+    return M.restored_groups(M.grouping_rows(replies, "reply_id"), "reply_id", entries)
+
+
+@plan(
+    "reply_members_restored",
+    spaced(MODEL, [VAULT, REPLY_VALUES], """SELECT reply_id, CAST(0 AS INT) AS g_ord, 'High risk' AS tier, CAST(0 AS INT) AS m_ord, name AS member FROM v WHERE kind = 0
+UNION ALL SELECT reply_id, 0, 'High risk', 1, qid FROM v WHERE kind = 0
+UNION ALL SELECT reply_id, 1, 'Low risk', 0, concat(' ', name, ' ') FROM v WHERE kind = 1
+UNION ALL SELECT reply_id, 1, 'Low risk', 1, '5' FROM v WHERE kind = 1"""),
+)
+def reply_members_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies, entries = _model_parts(spark, sf_dir)
+    return M.restored_members(M.grouping_rows(replies, "reply_id"), "reply_id", entries)
+
+
+@plan(
+    "reply_drafts_restored",
+    spaced(MODEL, [VAULT, REPLY_VALUES], """SELECT reply_id, CAST(0 AS INT) AS d_ord, name, concat('Dear ', name, ', ', qid) AS en, name AS ar FROM v WHERE kind = 4
+UNION ALL SELECT reply_id, 1, qid, '', '' FROM v WHERE kind = 4
+UNION ALL SELECT reply_id, 3, 'Customer', '', 'x' FROM v WHERE kind = 4
+UNION ALL SELECT reply_id, 0, '9', '', concat(name, name) FROM v WHERE kind = 6"""),
+)
+def reply_drafts_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies, entries = _model_parts(spark, sf_dir)
+    return M.restored_drafts(M.draft_rows(replies, "reply_id"), "reply_id", entries)
+
+
+@plan(
+    "reply_tiers",
+    spaced(MODEL, [VAULT, REPLY_VALUES], """SELECT mark AS customer_name, arg_max(tier, {'r': reply_id, 'm': m}) AS tier FROM (
+SELECT reply_id, 0 AS m, name_mark AS mark, 'High risk' AS tier FROM v WHERE kind = 0 UNION ALL SELECT reply_id, 1, replace(name_mark, 'NAME', 'QID'), 'High risk' FROM v WHERE kind = 0
+UNION ALL SELECT reply_id, 0, name_mark, 'Low risk' FROM v WHERE kind = 1 UNION ALL SELECT reply_id, 1, '5', 'Low risk' FROM v WHERE kind = 1) GROUP BY mark"""),
+)
+def reply_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.tiers_of(M.grouping_rows(load(spark, sf_dir, "model_replies"), "reply_id"), "reply_id", "customer_name")
+
+
+GROUPED = f"""SELECT {lit(c.GROUPING_HEADLINE)} AS headline, r.tier, {TIER_RULE.replace('CASE tier', 'CASE r.tier')} AS rule, n AS "count", concat(n, ' customer(s) in this tier.') AS summary, row_ord, {{member}} AS member
+FROM rated r JOIN (SELECT tier, count(*) AS n FROM rated GROUP BY tier) USING (tier)"""
+
+
+@plan("tier_grouping", spaced(PORTFOLIO, [VAULT, RATED], GROUPED.format(member="(SELECT d.customer_name FROM redacted d WHERE d.row_ord = r.row_ord)")))
+def tier_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grouping by rules with its members, as the model's grouping would be: on the redacted table."""
+    rated = T.with_risk(portfolio(spark, sf_dir), "row_ord", HEADERS)
+    vault = T.table_vault(rated.select("row_ord", *COLUMNS), "row_ord", HEADERS)
+    redacted = T.redact_table(rated.select("row_ord", *COLUMNS, "tier"), "row_ord", vault, HEADERS)
+    return T.tier_grouping(redacted, "row_ord", HEADERS)
+
+
+@plan("tier_grouping_unnamed", spaced(PORTFOLIO, [RATED], GROUPED.format(member="r.segment")))
+def tier_grouping_unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without a name column: members are called by its first column."""
+    rated = T.with_risk(portfolio(spark, sf_dir).select("row_ord", "segment", "monthly_salary", "outstanding_loan", "days_past_due"), "row_ord", HEADERS)
+    return T.tier_grouping(rated, "row_ord", HEADERS)
+
+
+@plan(
+    "draft_letters_unnamed",
+    spaced(PORTFOLIO, [], f"SELECT row_ord, segment AS id, {_letter_sql(c.LETTER_EN, c.LETTER_EN_LATE, 'segment')} AS en, {_letter_sql(c.LETTER_AR, c.LETTER_AR_LATE, 'segment')} AS ar "
+           "FROM (SELECT row_ord, segment, outstanding_loan AS debt, days_past_due AS dpd FROM portfolio WHERE days_past_due > 0)"),
+)
+def draft_letters_unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters from a table without a name column greet by its first column."""
+    rows = portfolio(spark, sf_dir).select("row_ord", "segment", "outstanding_loan", "days_past_due")
+    called = T.addressee(rows, "row_ord", HEADERS)
+    targets = letter_ops.draft_targets(T.with_figures(rows, "row_ord", HEADERS))
+    return letter_ops.letters(targets, called).select("row_ord", F.col(called).alias("id"), "en", "ar")

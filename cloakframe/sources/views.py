@@ -74,6 +74,18 @@ SELECT c_custkey AS reply_id,
          WHEN 1 THEN concat('Here it is: {"headline":"h","groups":[{"tier":"Low risk","rule":"r","members":["[NAME_', CAST(c_custkey + 1 AS STRING), ']"],"summary":"s"}]} Done.')
          WHEN 2 THEN 'no json here'
          ELSE '{"groups": [broken}' END AS text
+FROM @customer""",
+    "model_replies": """
+SELECT c_custkey AS reply_id, c_custkey % 100 + 1 AS k,
+       replace(CASE CAST(c_custkey % 7 AS INT)
+         WHEN 0 THEN '```json {"headline":"About [NAME_k] today","groups":[{"tier":"High risk","rule":"late","members":["[NAME_k]","[QID_k]"],"summary":"[NAME_k] owes"},{"tier":"Low risk","members":"none"}]} ```'
+         WHEN 1 THEN 'Here: {"headline":7,"groups":["broken",{"tier":"Low risk","rule":["r"],"members":[" [NAME_k] ",5,{"a":1},null],"summary":"[QID_k]"},{"rule":"no tier"}]} Done.'
+         WHEN 2 THEN 'no json here'
+         WHEN 3 THEN '{"groups": [broken}'
+         WHEN 4 THEN '{"drafts":[{"id":"[NAME_k]","en":"Dear [NAME_k], [QID_k]","ar":"[NAME_k]"},{"name":"[QID_k]","en":null},"broken",{"id":"","name":"","ar":"x"}]}'
+         WHEN 5 THEN '{"drafts":{"id":"a"},"groups":[]}'
+         ELSE '{"headline":"","groups":[{"tier":"Medium risk","members":[],"summary":"[IBAN_k] stays"}],"drafts":[{"id":9,"en":["x"],"ar":"[NAME_k][NAME_k]"}]}' END,
+         '_k]', concat('_', CAST(c_custkey % 100 + 1 AS STRING), ']')) AS text
 FROM @customer""",
     "headers": """
 SELECT CAST(floor(c_custkey / 13) AS BIGINT) AS file_id, c_custkey % 13 AS ord,
