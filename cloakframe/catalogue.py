@@ -27,6 +27,7 @@ class Detector:
     value_group: int = 0
     check: str | None = None
     gate: str | None = None  # a shared necessary condition, see GATES
+    literals: tuple[str, ...] = ()  # a text without any of them is not searched
     # The same matches for Java where the pattern repeats a group without limit: Java
     # recurses per repetition, possessive repetition does not.
     java: str | None = None

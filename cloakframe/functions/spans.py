@@ -77,6 +77,8 @@ def detector_expr(text: str, gates: str, detectors: Sequence[Detector], det: int
     span = f"struct({start} AS start, {rank_key} AS rank_key, {len_key} AS len_key, {det} AS det, {value} AS value)"
     keep = f"m.`1` IS NOT NULL AND {value} <> '' AND {valid_expr(detector, value)}"
     search = f"rlike({text}, {pattern})"
+    if detector.literals:
+        search = f"{gate_expr(text, Gate(detector.literals))} AND {search}"
     return f"""CASE WHEN {f"{gates}.{detector.gate} AND {search}" if detector.gate else search} THEN aggregate(
         arrays_zip({parts}),
         struct(0 AS pos, {NO_SPANS} AS found),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.catalogue import DETECTORS
 from cloakframe.functions.masking import mask_value
 from cloakframe.functions.redaction import (
     count_placeholders,
@@ -22,6 +21,7 @@ from cloakframe.functions.text import clean_text, collapse_space, trim_space
 from cloakframe.operators.numbering import number_rows, running
 from cloakframe.operators.responders import chat_reply, needs_list
 from cloakframe.operators.substring_join import occurrences
+from cloakframe.rulebook import BUILT_IN, Rulebook
 from cloakframe.session import materialise
 
 ENTRY = "array<struct<placeholder:string,type:string,cls:string,sensitivity:string,label:string,masked:string,value:string>>"
@@ -87,15 +87,15 @@ def apply_known(text: Column, known: Column) -> Column:
     return F.when(known.isNull(), start).otherwise(F.aggregate(known, start, step))
 
 
-def _residue(turns: DataFrame, vault: DataFrame) -> DataFrame:
+def _residue(turns: DataFrame, vault: DataFrame, rules: Rulebook) -> DataFrame:
     done = settled(_with_known(turns, vault), apply_known(F.col("text"), F.col("known")), "after")
     rest = done.select("conv_id", "at", "turn", F.col("after.work").alias("work"), F.col("after.n").alias("n_known"))
-    return with_spans(rest, "work")
+    return with_spans(rest, "work", rules.detectors)
 
 
-def first_seen(spans: DataFrame) -> DataFrame:
+def first_seen(spans: DataFrame, rules: Rulebook = BUILT_IN) -> DataFrame:
     rows = spans.select("conv_id", "at", F.explode_outer("spans").alias("s")).where("s IS NOT NULL")
-    kind = catalogue_field(F.col("s.det"), DETECTORS, "type")
+    kind = catalogue_field(F.col("s.det"), rules.detectors, "type")
     return (
         rows.groupBy("conv_id", F.col("s.det").alias("det"), kind.alias("type"), F.col("s.value").alias("value"))
         .agg(F.min(F.struct(F.col("at"), F.col("s.start").alias("pos"))).alias("first"))
@@ -106,12 +106,12 @@ def first_seen(spans: DataFrame) -> DataFrame:
     )
 
 
-def redact_conversations(messages: DataFrame) -> DataFrame:
+def redact_conversations(messages: DataFrame, rules: Rulebook = BUILT_IN) -> DataFrame:
     """(conv_id, turn, redacted, protected_count, entries) for every user turn; see ``redact_turns``."""
-    return redact_turns(user_turns(messages).select("conv_id", "turn", "text"))[0]
+    return redact_turns(user_turns(messages).select("conv_id", "turn", "text"), rules=rules)[0]
 
 
-def redact_turns(turns: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def redact_turns(turns: DataFrame, known: DataFrame | None = None, rules: Rulebook = BUILT_IN) -> tuple[DataFrame, DataFrame]:
     """Redact (conv_id, turn, text) of conversations of any length; the redacted turns and the new vault values.
 
     The same value keeps its placeholder through a conversation.  ``known`` holds values protected before these turns.
@@ -129,10 +129,10 @@ def redact_turns(turns: DataFrame, known: DataFrame | None = None) -> tuple[Data
     if known is None:
         known = turns.sparkSession.createDataFrame([], VAULT)
     place = ["conv_id", "det", "value", "first_at", "first_pos"]
-    vault, left, steady = materialise(first_seen(with_spans(turns))), turns, None
+    vault, left, steady = materialise(first_seen(with_spans(turns, detectors=rules.detectors), rules)), turns, None
     while True:
         marked = vault.withColumn("mark", placeholder(F.col("type"), F.lit(0))).unionByName(_marked(known), allowMissingColumns=True)
-        again = materialise(first_seen(_residue(left, marked)))
+        again = materialise(first_seen(_residue(left, marked, rules), rules))
         moved = again.join(vault, place, "left_anti").select("conv_id").unionAll(vault.join(again, place, "left_anti").select("conv_id"))
         moved = materialise(moved.distinct())
         done = again.join(moved, "conv_id", "left_anti")
@@ -150,9 +150,9 @@ def redact_turns(turns: DataFrame, known: DataFrame | None = None) -> tuple[Data
         "first_pos",
         F.col("mark").alias("placeholder"),
         "type",
-        catalogue_field(F.col("det"), DETECTORS, "cls").alias("cls"),
-        catalogue_field(F.col("det"), DETECTORS, "sensitivity").alias("sensitivity"),
-        catalogue_field(F.col("det"), DETECTORS, "label").alias("label"),
+        catalogue_field(F.col("det"), rules.detectors, "cls").alias("cls"),
+        catalogue_field(F.col("det"), rules.detectors, "sensitivity").alias("sensitivity"),
+        catalogue_field(F.col("det"), rules.detectors, "label").alias("label"),
         mask_value(F.col("type"), F.col("value")).alias("masked"),
         "value",
         "det",
@@ -162,7 +162,7 @@ def redact_turns(turns: DataFrame, known: DataFrame | None = None) -> tuple[Data
         .groupBy("conv_id", "at")
         .agg(F.array_sort(F.collect_list("e")).alias("fresh"))
     )
-    final = _residue(turns, marked.unionByName(_marked(known), allowMissingColumns=True)).join(fresh, ["conv_id", "at"], "left")
+    final = _residue(turns, marked.unionByName(_marked(known), allowMissingColumns=True), rules).join(fresh, ["conv_id", "at"], "left")
 
     def mark_of(span: Column, _i: Column) -> Column:
         own = F.filter(F.col("fresh"), lambda e: (e["det"] == span["det"]) & (e["value"] == span["value"]))

@@ -14,6 +14,7 @@ from cloakframe.functions.text import clean_text
 from cloakframe.operators.numbering import carry_last, number_rows
 from cloakframe.operators.policy import decide, status_of
 from cloakframe.operators.responders import distinct_placeholders, gateway_reply
+from cloakframe.rulebook import BUILT_IN, Rulebook
 from cloakframe.session import scratch_path
 
 # --- fixed values: hashed fields in their fixed order; the previous hash comes last ---
@@ -24,18 +25,18 @@ HASHED_FIELDS = (
 ENTITY_SCHEMA = "array<struct<placeholder:string,type:string,cls:string,sensitivity:string,label:string,masked:string>>"
 
 
-def assess(requests: DataFrame) -> DataFrame:
+def assess(requests: DataFrame, rules: Rulebook = BUILT_IN) -> DataFrame:
     """Redact each request text and decide what may happen to it."""
     texts = requests.withColumn("text", clean_text(F.col("text"))).where(F.col("text") != "")
     seen = (
-        with_redaction(texts)
+        with_redaction(texts, detectors=rules.detectors)
         .withColumn("class_list", distinct_classes(F.col("entities")))
         .withColumn("sensitivity", top_sensitivity(F.col("entities")))
     )
-    return decide(seen, "destination", "sensitivity", "class_list")
+    return decide(seen, "destination", "sensitivity", "class_list", rules)
 
 
-def ledger_rows(requests: DataFrame) -> DataFrame:
+def ledger_rows(requests: DataFrame, rules: Rulebook = BUILT_IN) -> DataFrame:
     """Ledger records for (id, created_at, actor, role, destination, text) requests.
 
     The destination is stored as it was asked for; only the decision normalises it.
@@ -43,7 +44,7 @@ def ledger_rows(requests: DataFrame) -> DataFrame:
     """
     allowed = F.col("decision") == "allow"
     reply = gateway_reply(F.col("redacted"), distinct_placeholders(F.col("redacted")))
-    return assess(requests).select(
+    return assess(requests, rules).select(
         "id",
         "created_at",
         "actor",

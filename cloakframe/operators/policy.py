@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe import catalogue as c
 from cloakframe.functions.text import capitalise
+from cloakframe.rulebook import BUILT_IN, Rulebook
 
 
 def policy_table(spark: SparkSession, rules=c.POLICY) -> DataFrame:
@@ -19,17 +20,17 @@ def blocked_class(classes: Column) -> Column:
     return F.get(F.filter(classes, lambda name: name.isin(*c.NEVER_EXTERNAL)), F.lit(0))
 
 
-def decide(df: DataFrame, destination: str, sensitivity: str, classes: str) -> DataFrame:
+def decide(df: DataFrame, destination: str, sensitivity: str, classes: str, rules: Rulebook = BUILT_IN) -> DataFrame:
     """Add ``dest``, ``tier``, ``decision`` and ``reason``.
 
-    The rule table is fixed and tiny, so it is broadcast; a pair without a rule is allowed.
+    The rule table is bounded, see ``rulebook``, so it is broadcast; a pair without a rule is allowed.
     """
-    known = [c.DEFAULT_DESTINATION, c.EXTERNAL_DESTINATION]
+    known = rules.destinations()
     prepared = df.withColumn(
         "dest", F.when(F.col(destination).isin(*known), F.col(destination)).otherwise(c.DEFAULT_DESTINATION)
     ).withColumn("tier", F.coalesce(F.col(sensitivity), F.lit("none")))
-    joined = prepared.join(F.broadcast(policy_table(df.sparkSession)), ["dest", "tier"], "left")
-    external = F.col("dest") == c.EXTERNAL_DESTINATION
+    joined = prepared.join(F.broadcast(policy_table(df.sparkSession, rules.policy)), ["dest", "tier"], "left")
+    external = F.col("dest") != c.DEFAULT_DESTINATION
     never = F.when(external, blocked_class(F.col(classes)))
     decision = F.when(never.isNotNull(), "block").otherwise(F.coalesce("rule", F.lit("allow")))
     who = capitalise(F.col("tier"))

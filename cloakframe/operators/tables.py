@@ -24,6 +24,7 @@ from cloakframe.functions.rules import (
     type_label,
 )
 from cloakframe.operators.numbering import number_rows
+from cloakframe.rulebook import BUILT_IN, Rulebook
 from cloakframe.session import materialise
 
 
@@ -31,10 +32,10 @@ def _headers(df: DataFrame, order: str, headers: Mapping[str, str] | None) -> di
     return {col: (headers or {}).get(col, col) for col in df.columns if col != order}
 
 
-def identity_cells(df: DataFrame, order: str, headers: Mapping[str, str] | None = None) -> DataFrame:
+def identity_cells(df: DataFrame, order: str, headers: Mapping[str, str] | None = None, rules: Rulebook = BUILT_IN) -> DataFrame:
     """One row per non-empty cell of an identity column: order, col_ord, type, value."""
     names = _headers(df, order, headers)
-    found = classify_names(names)
+    found = classify_names(names, rules.headers)
     cells = [
         F.struct(F.lit(i).alias("col_ord"), F.lit(found[col][0]).alias("type"), F.col(col).cast("string").alias("value"))
         for i, col in enumerate(names)
@@ -45,21 +46,21 @@ def identity_cells(df: DataFrame, order: str, headers: Mapping[str, str] | None
     return df.select(order, F.inline(F.array(*cells))).where("value IS NOT NULL AND value <> ''")
 
 
-def table_vault(df: DataFrame, order: str, headers: Mapping[str, str] | None = None) -> DataFrame:
+def table_vault(df: DataFrame, order: str, headers: Mapping[str, str] | None = None, rules: Rulebook = BUILT_IN) -> DataFrame:
     """Placeholder per (type, cell), numbered per type by first appearance in row-major order.
 
     Columns of the same type share their numbers.  One shuffle aggregates equal cells (with
     map-side combine, so a value in a third of all rows is no hot spot); numbering is
     range-partitioned.
     """
-    cells = identity_cells(df, order, headers)
+    cells = identity_cells(df, order, headers, rules)
     first = cells.groupBy("type", "value").agg(F.min(F.struct(order, "col_ord")).alias("first"))
     flat = first.select("type", "value", F.col(f"first.{order}").alias("first_row"), F.col("first.col_ord").alias("first_col"))
     numbered = number_rows(flat, ["type"], ["first_row", "first_col"], "idx")
     return numbered.select(
         placeholder(F.col("type"), F.col("idx")).alias("placeholder"),
         "type",
-        type_label(F.col("type")).alias("label"),
+        type_label(F.col("type"), rules.headers).alias("label"),
         "value",
         mask_value(F.col("type"), F.col("value")).alias("masked"),
         "idx",
@@ -69,7 +70,7 @@ def table_vault(df: DataFrame, order: str, headers: Mapping[str, str] | None = N
 
 
 def redact_table(
-    df: DataFrame, order: str, vault: DataFrame, headers: Mapping[str, str] | None = None
+    df: DataFrame, order: str, vault: DataFrame, headers: Mapping[str, str] | None = None, rules: Rulebook = BUILT_IN
 ) -> DataFrame:
     """The table with identity cells replaced by the placeholders of its vault.
 
@@ -77,9 +78,9 @@ def redact_table(
     broadcasts the vault when its measured size allows and splits hot values otherwise.
     """
     names = _headers(df, order, headers)
-    found = classify_names(names)
+    found = classify_names(names, rules.headers)
     at = {col: i for i, col in enumerate(names)}
-    marked = identity_cells(df, order, headers).join(vault.select("type", "value", "placeholder"), ["type", "value"])
+    marked = identity_cells(df, order, headers, rules).join(vault.select("type", "value", "placeholder"), ["type", "value"])
     per_row = marked.groupBy(order).agg(
         *[F.max(F.when(F.col("col_ord") == at[col], F.col("placeholder"))).alias(f"mark_{at[col]}") for col in found]
     )
@@ -133,20 +134,20 @@ def tier_summary(rated: DataFrame) -> DataFrame:
     )
 
 
-def addressee(df: DataFrame, order: str, headers: Mapping[str, str] | None = None) -> str | None:
+def addressee(df: DataFrame, order: str, headers: Mapping[str, str] | None = None, rules: Rulebook = BUILT_IN) -> str | None:
     """The column a customer is called by: the first name column, else the first column of all."""
     names = _headers(df, order, headers)
-    found = classify_names(names)
+    found = classify_names(names, rules.headers)
     return next((col for col in names if col in found and found[col][0] == "NAME"), next(iter(names), None))
 
 
-def tier_grouping(rated: DataFrame, order: str, headers: Mapping[str, str] | None = None) -> DataFrame:
+def tier_grouping(rated: DataFrame, order: str, headers: Mapping[str, str] | None = None, rules: Rulebook = BUILT_IN) -> DataFrame:
     """The grouping by rules, one row per member: headline, tier, rule, summary, count, order, member.
 
     ``rated`` has the columns of the table and ``tier``.  Counts are three rows at most; members are never gathered.
     """
     table = rated.select(*[col for col in rated.columns if col not in ("tier", "dpd", "debt", "income", "dti")])
-    called = addressee(table, order, headers)
+    called = addressee(table, order, headers, rules)
     member = F.coalesce(F.col(called).cast("string"), F.lit("")) if called else F.lit("")
     rows = rated.select("tier", order, member.alias("member"))
     return rows.join(F.broadcast(tier_summary(rated)), "tier").withColumn("headline", F.lit(c.GROUPING_HEADLINE))
@@ -216,6 +217,6 @@ def reply_tiers(parsed: DataFrame, order: str, name: str) -> DataFrame:
     return members.groupBy(F.trim("m").alias(name)).agg(last.alias("tier"))
 
 
-def stored_vault(df: DataFrame, order: str, headers: Mapping[str, str] | None = None) -> DataFrame:
+def stored_vault(df: DataFrame, order: str, headers: Mapping[str, str] | None = None, rules: Rulebook = BUILT_IN) -> DataFrame:
     """The vault, numbered once and kept, for plans that read it several times."""
-    return materialise(table_vault(df, order, headers))
+    return materialise(table_vault(df, order, headers, rules))

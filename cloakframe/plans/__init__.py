@@ -6,7 +6,7 @@ import importlib
 
 from cloakframe.plans.registry import CHECKS, PLANS
 
-MODULES = ("detection", "governance", "portfolio", "operations", "conversations", "streams", "chains")
+MODULES = ("detection", "governance", "portfolio", "operations", "conversations", "streams", "chains", "rules")
 
 __all__ = ["CHECKS", "PLANS", "load_all"]
 

@@ -18,6 +18,7 @@ from cloakframe import catalogue as c
 from cloakframe.operators.conversation import ENTRY, VAULT, redact_turns, user_turns
 from cloakframe.operators.ledger import ledger_rows
 from cloakframe.operators.responders import distinct_placeholders, gateway_reply
+from cloakframe.rulebook import BUILT_IN, Rulebook
 from cloakframe.session import materialise, scratch_path
 from cloakframe.streaming.stateful import APPROVAL_OUT, SESSION_OUT, ApprovalMachine, SessionFollower
 
@@ -70,9 +71,9 @@ def run_available(stream: DataFrame, name: str, state_partitions: int | None = N
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def screen_requests(requests: DataFrame) -> DataFrame:
+def screen_requests(requests: DataFrame, rules: Rulebook = BUILT_IN) -> DataFrame:
     """Redact, decide and shape ledger records; stateless, so it appends as requests arrive."""
-    return ledger_rows(requests)
+    return ledger_rows(requests, rules)
 
 
 def _before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
@@ -82,7 +83,7 @@ def _before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataF
     return spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") < batch_id)
 
 
-def redact_chat(messages: DataFrame, folder: str) -> DataFrame:
+def redact_chat(messages: DataFrame, folder: str, rules: Rulebook = BUILT_IN) -> DataFrame:
     """Conversation redaction over all messages available now; turns that come late are marked.
 
     A micro-batch is redacted as a batch, against the vault that earlier ones left for its conversations, and adds its
@@ -100,7 +101,7 @@ def redact_chat(messages: DataFrame, folder: str) -> DataFrame:
         stored = _before(session, vault_at, VAULT, batch_id).join(own, "conv_id", "left_semi")
         # Values of earlier micro-batches come before all turns of this one, in the order of their arrival.
         known = stored.withColumn("first_at", F.least("first_at", F.lit((1 << 45) - 1)) + F.col("batch") * (1 << 45) - (1 << 62)).drop("batch")
-        redacted, new = redact_turns(turns, materialise(known))
+        redacted, new = redact_turns(turns, materialise(known), rules)
         last = _before(session, turns_at, schema, batch_id).join(own, "conv_id", "left_semi").groupBy("conv_id").agg(F.max("turn").alias("last"))
         marked = redacted.join(last, "conv_id", "left").withColumn("late", F.coalesce(F.col("turn") <= F.col("last"), F.lit(False))).drop("last")
         new.select(*[f.split()[0] for f in VAULT.split(", ")]).write.mode("overwrite").parquet(f"{vault_at}/batch={batch_id}")

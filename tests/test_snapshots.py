@@ -80,6 +80,6 @@ def test_replies_of_any_shape(spark):
     assert sorted((r.n, r.tier, r.members, r["count"]) for r in groups.collect()) == [(6, "1.5", ["true", "[A_1]"], 2), (8, None, [], 0)]
     drafts = M.draft_rows(df, "n")
     assert sorted(map(tuple, drafts.collect())) == [(5, 3, "", "", ""), (7, 0, "[B_1]", "[A_1]", "")]
-    vault = spark.createDataFrame([(1, "[A_1]", "Ann"), (2, "[B_1]", "Ben of [A_1]")], "ord int, placeholder string, value string")
+    vault = spark.createDataFrame([(2, "[A_1]", "Ann"), (1, "[B_1]", "Ben of [A_1]")], "ord int, placeholder string, value string")
     assert sorted(map(tuple, M.restored_drafts(drafts, "n", vault).collect())) == [(5, 3, "Customer", "", ""), (7, 0, "Ben of Ann", "Ann", "")]
     assert sorted((r.n, r.g_ord, r.m_ord, r.member) for r in M.restored_members(groups, "n", vault).collect()) == [(6, 0, 0, "true"), (6, 0, 1, "Ann")]
