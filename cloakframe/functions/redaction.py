@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.catalogue import DETECTORS, RANK_TIER, TIER_RANK, Detector
 from cloakframe.functions.masking import mask_value
-from cloakframe.functions.spans import all_spans, catalogue_field, gate_flags, resolve_overlaps
+from cloakframe.functions.spans import BLOCK, all_spans, catalogue_field, gate_flags, resolve_overlaps
 
 PLACEHOLDER = r"\[[A-Z]+_[0-9]+\]"
 
@@ -19,16 +19,34 @@ def placeholder(entity_type: Column, index: Column) -> Column:
 
 
 def splice(text: Column, spans: Column, replacement) -> Column:
-    """Rebuild a text with each span replaced; ``replacement`` maps (span, index) to a string."""
+    """Rebuild a text with each span replaced; ``replacement`` maps (span, index) to a string.
 
-    def piece(span: Column, i: Column) -> Column:
-        before = F.get(spans, i - 1)
-        prev_end = F.coalesce(before["start"] + F.length(before["value"]), F.lit(0))
-        return F.concat(F.substring(text, prev_end + 1, span["start"] - prev_end), replacement(span, i))
+    A place in a text is found by counting from its start, so the text is first cut into the stretches of ``BLOCK`` spans each
+    and the gaps are cut out of those.
+    """
+
+    def end_of(i: Column) -> Column:
+        span = F.get(spans, i)
+        return F.coalesce(span["start"] + F.length(span["value"]), F.lit(0))
+
+    def block(b: Column) -> Column:
+        low = b * BLOCK
+        high = F.least(low + BLOCK, F.size(spans)) - 1
+        begin = end_of(low - 1)
+        stretch = F.struct(begin.alias("begin"), F.substring(text, begin + 1, end_of(high) - begin).alias("text"))
+
+        def pieces(part: Column) -> Column:
+            def piece(i: Column) -> Column:
+                prev_end, span = end_of(i - 1), F.get(spans, i)
+                return F.concat(F.substring(part["text"], prev_end - part["begin"] + 1, span["start"] - prev_end), replacement(span, i))
+
+            return F.array_join(F.transform(F.sequence(low, high), piece), "")
+
+        return F.transform(F.array(stretch), pieces)[0]
 
-    last = F.element_at(spans, -1)
-    tail = F.substring(text, last["start"] + F.length(last["value"]) + 1, F.length(text))
-    spliced = F.concat(F.array_join(F.transform(spans, piece), ""), tail)
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
+    tail = F.substring(text, end_of(F.size(spans) - 1) + 1, F.length(text))
+    spliced = F.concat(F.array_join(F.transform(blocks, block), ""), tail)
     return F.when(F.size(spans) == 0, text).otherwise(spliced)
 
 

@@ -20,6 +20,22 @@ SPANS = "array<struct<start:int,rank_key:int,len_key:int,det:int,value:string>>"
 
 
 NO_SPANS = f"CAST(array() AS {SPANS})"
+BLOCK = 256
+
+
+def scanned(items: str, first: str, state: str, keep: str, element: str) -> str:
+    """SQL: walk the array ``items`` with a running number; the spans kept on the way.
+
+    ``state``, ``keep`` and ``element`` are SQL over ``acc.s`` (the number so far) and ``m`` (the item).  A fold that appends copies
+    what it holds at each step, so it is done in blocks: a block's spans are appended one by one, the blocks one by one.
+    """
+    inner = f"""aggregate(part, struct(done.s AS s, {NO_SPANS} AS found),
+            (acc, m) -> struct({state} AS s, if({keep}, array_append(acc.found, {element}), acc.found) AS found))"""
+    return f"""transform(array({items}), items -> aggregate(
+        transform(sequence(0, greatest(size(items) - 1, 0) DIV {BLOCK}), b -> slice(items, b * {BLOCK} + 1, {BLOCK})),
+        struct({first} AS s, CAST(array() AS array<{SPANS}>) AS found),
+        (done, part) -> transform(array({inner}), r -> struct(r.s AS s, array_append(done.found, r.found) AS found))[0],
+        done -> flatten(done.found)))[0]"""
 
 
 def _raw(pattern: str) -> str:
@@ -71,7 +87,7 @@ def detector_expr(text: str, gates: str, detectors: Sequence[Detector], det: int
         parts += f", regexp_extract_all({text}, {pattern}, {detector.group})"
         picked = "if(m.`2` = '', m.`1`, m.`2`)"
     value = f"trim(BOTH '{EVERY_SPACE}' FROM {picked})"
-    start = f"acc.pos + length(m.`0`) + position({value}, m.`1`) - 1"
+    start = f"acc.s + length(m.`0`) + position({value}, m.`1`) - 1"
     rank_key = -TIER_RANK[detector.sensitivity] if ranked else 0
     len_key = f"-length({value})" if ranked else "0"
     span = f"struct({start} AS start, {rank_key} AS rank_key, {len_key} AS len_key, {det} AS det, {value} AS value)"
@@ -79,12 +95,8 @@ def detector_expr(text: str, gates: str, detectors: Sequence[Detector], det: int
     search = f"rlike({text}, {pattern})"
     if detector.literals:
         search = f"{gate_expr(text, Gate(detector.literals))} AND {search}"
-    return f"""CASE WHEN {f"{gates}.{detector.gate} AND {search}" if detector.gate else search} THEN aggregate(
-        arrays_zip({parts}),
-        struct(0 AS pos, {NO_SPANS} AS found),
-        (acc, m) -> struct(acc.pos + length(m.`0`) + coalesce(length(m.`1`), 0) AS pos,
-                           if({keep}, array_append(acc.found, {span}), acc.found) AS found),
-        acc -> acc.found) ELSE {NO_SPANS} END"""
+    found = scanned(f"arrays_zip({parts})", "0", "acc.s + length(m.`0`) + coalesce(length(m.`1`), 0)", keep, span)
+    return f"""CASE WHEN {f"{gates}.{detector.gate} AND {search}" if detector.gate else search} THEN {found} ELSE {NO_SPANS} END"""
 
 
 def all_spans(text: str, gates: str, detectors: Sequence[Detector] = DETECTORS, ranked: bool = True) -> Column:
@@ -95,12 +107,9 @@ def all_spans(text: str, gates: str, detectors: Sequence[Detector] = DETECTORS,
 
 def resolve_overlaps(spans: str) -> Column:
     """In sort order, keep a span when it starts at or after the end of the last kept one."""
-    return F.expr(f"""if(size({spans}) <= 1, {spans}, aggregate(
-        sort_array({spans}),
-        struct(0 AS last_end, {NO_SPANS} AS kept),
-        (acc, s) -> if(s.start >= acc.last_end,
-                       struct(s.start + length(s.value) AS last_end, array_append(acc.kept, s) AS kept), acc),
-        acc -> acc.kept))""")
+    fits = "m.start >= acc.s"
+    kept = scanned(f"sort_array({spans})", "0", f"if({fits}, m.start + length(m.value), acc.s)", fits, "m")
+    return F.expr(f"if(size({spans}) <= 1, {spans}, {kept})")
 
 
 def catalogue_field(det: Column, detectors: Sequence[Detector], field: str) -> Column:

@@ -263,3 +263,28 @@ def test_lockout_of_one_hot_ip_equals_a_plain_window(spark):
     for i, ip, _s, sec in rows:
         n = sum(1 for _j, ip2, s2, sec2 in rows if ip and ip2 == ip and s2 == 0 and sec - 900 <= sec2 < sec)
         assert got[i] == (n, n >= 5)
+
+
+def test_texts_with_thousands_of_matches(spark):
+    """More matches than a block holds: positions, overlaps and numbers as in a plain loop."""
+    from cloakframe.functions.spans import BLOCK
+    from cloakframe.operators import screening as S
+
+    n = 3 * BLOCK + 7
+    mails = [f"u{i % 400}@x.qa" for i in range(n)]
+    text = "é😀 " + " ".join(f"mail {m} 28412345678 +974 5512 3456" for m in mails)
+    row = with_redaction(spark.createDataFrame([(text,)], "text string")).select("spans", "redacted").first()
+    for span in row["spans"]:
+        assert text[span["start"] : span["start"] + len(span["value"])] == span["value"]
+    ends = [s["start"] + len(s["value"]) for s in row["spans"]]
+    assert len(row["spans"]) == 3 * n and all(end <= after["start"] for end, after in zip(ends, row["spans"][1:]))
+    assert row["redacted"] == "é😀 " + " ".join(f"mail [EMAIL_{i % 400 + 1}] [QID_1] [PHONE_1]" for i in range(n))
+    texts = [text, "a@b.qa xa@b.qa a@b.qa", "a@b.qa", "none", "", "a@b.qa a@b.qa.x b@c.qa"]
+    found = S.with_findings(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i")
+    out = found.select("text", "findings", S.screened_text(F.col("text"), F.col("findings")).alias("out")).collect()
+    for r in out:  # one after the other, as the meaning is
+        want = r["text"]
+        for f in r["findings"]:
+            want = want.replace(f["value"], f["placeholder"], 1)
+        assert r["out"] == want
+    assert len(out[0]["findings"]) >= n and len(out) == len(texts)
