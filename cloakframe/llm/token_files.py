@@ -69,16 +69,16 @@ def encoded(documents: DataFrame, path: str, end_id: int, spaceless: bool) -> Da
     return rows.mapInArrow(encode, "doc_id long, n_ids long, check long, ids binary")
 
 
-def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+def pages_of(batch: pa.RecordBatch, page_ids: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     """The rows of a batch page by page, with the ids in each."""
     stops = np.cumsum(batch.column("n_ids").to_numpy())
-    page = (stops - 1) // PAGE_IDS
+    page = (stops - 1) // page_ids
     starts = [0, *(np.flatnonzero(np.diff(page)) + 1).tolist(), batch.num_rows]
     for a, b in zip(starts, starts[1:]):
         yield int(stops[b - 1] - (stops[a - 1] if a else 0)), batch.slice(a, b - a)
 
 
-def write(documents: DataFrame, folder: str, path: str, end_id: int = 2, spaceless: bool = False) -> None:
+def write(documents: DataFrame, folder: str, path: str, end_id: int = 2, spaceless: bool = False, page_ids: int = PAGE_IDS) -> None:
     """Encode all documents (doc_id, text) and write them as token files into ``folder``."""
     spark = documents.sparkSession
 
@@ -87,7 +87,7 @@ def write(documents: DataFrame, folder: str, path: str, end_id: int = 2, spacele
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for n_ids, rows in pages_of(batch):
+            for n_ids, rows in pages_of(batch, page_ids):
                 named = rows.column("doc_id").drop_null().to_numpy()
                 ends = np.cumsum(rows.column("n_ids").to_numpy())
                 yield pa.RecordBatch.from_arrays(

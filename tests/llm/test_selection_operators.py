@@ -89,14 +89,17 @@ def by_order(rows, plain, kind="<u4"):
 
 @pytest.mark.parametrize(("path", "spaceless"), [(WORDS, True), (BYTES, False)])
 def test_token_files_read_back(spark, monkeypatch, tmp_path, path, spaceless):
-    monkeypatch.setattr(token_files, "PAGE_IDS", 300)
     monkeypatch.setattr(token_files, "id_type", lambda *_: "<u2")
     rng = random.Random(2)
     rows = [(rng.randrange(-(10**14), 10**14), rng.choice(odd_texts()[:120])) for _ in range(200)]
     rows += [(None, "without id"), (None, None), (7, "twice"), (7, "twice"), (7, "other"), *[(50, "hot row")] * 90]
     docs = spark.createDataFrame([(*r, *["clash"] * 6) for r in rows], f"doc_id long, text string, {CLASH}")
     folder = str(tmp_path / "tokens")
-    token_files.write(docs, folder, path, 2, spaceless)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write(docs, folder, path, 2, spaceless, page_ids=300)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     want = by_order(rows, Tokenizer.from_file(path), "<u2")
     got = sorted((tuple(r) for r in token_files.read(spark, folder, keep_ids=True).collect()), key=lambda r: r[1])
     assert [(*r[:4], list(r[4])) for r in got] == want
