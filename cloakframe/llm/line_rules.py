@@ -1,8 +1,9 @@
 """Line-first cleaning: rules per line, then a verdict on what is left, by column expressions only.
 
 A line that holds a word fails if it is navigation (a run of short entries between ``|``, ``»`` or ``>``, or nothing but
-menu words), boilerplate (a stock phrase), or badly punctuated (most words carry a symbol or an exclamation mark, or a
-long line that stops without any closing mark and holds no mark inside either).  Failing lines are removed; a document is
+menu words), boilerplate (stock phrases make up a quarter of it or more, so prose that only mentions one stays), or badly
+punctuated (most words carry a symbol or an exclamation mark, or a long line that stops without any closing mark and holds
+no mark inside either).  Failing lines are removed; a document is
 rejected when more than ``max_lost`` of its words went with them, or when the base rules fail: fewer than 50 words, or
 more than half of its words inside three-word windows found twice or more.
 
@@ -28,29 +29,35 @@ BOILERPLATE = (
 NAVIGATION = rf"(?i)^\s*(?:{MENU})(?:\s*[|>»·•/-]\s*(?:{MENU}))*\s*$"
 
 
-def line_fails(line: str, words: str) -> str:
-    """SQL condition: the line (a lambda variable) with its words (an array) fails a rule."""
+def line_fails(line: str, n: str, stock: str) -> str:
+    """SQL condition: the line (a string of ``n`` words, more than none) fails a rule; ``stock`` tells whether its text holds a stock phrase at all."""
+    bars = f"(length({line}) - length(translate({line}, '|»', '')))"
     return f"""(
         {line} RLIKE r'{NAVIGATION}'
-        OR (regexp_count({line}, r'[|»]') >= 2 AND 3 * regexp_count({line}, r'[|»]') >= size({words}))
-        OR {line} RLIKE r'(?i){BOILERPLATE}'
-        OR 2 * regexp_count({line}, r'[#*$%&!<>]+') > size({words})
-        OR (size({words}) >= 30 AND NOT {line} RLIKE r'[.!?:;,"…)\\]]')
+        OR ({bars} >= 2 AND 3 * {bars} >= {n})
+        OR ({stock} AND 4 * (length({line}) - length(regexp_replace({line}, r'(?i){BOILERPLATE}', ''))) >= length({line}))
+        OR ({line} RLIKE r'[#*$%&!<>]' AND 2 * regexp_count({line}, r'[#*$%&!<>]+') > {n})
+        OR ({n} >= 30 AND NOT {line} RLIKE r'[.!?:;,"…)\\]]')
     )"""
 
 
 def clean_lines(documents: DataFrame, max_lost: float = 0.5) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, lost_words, kept, cleaned (the text without failing lines)."""
+    # No word runs over a line end, so each line is split into its words once and the words of the text are those of its lines.
+    holds = " OR ".join(f"contains(low, '{phrase}')" for phrase in BOILERPLATE.split("|"))
     spaced = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
         "doc_id", "text",
-        F.expr(f"filter(split(text, r'{SPACE}'), w -> w != '')").alias("words"),
-        F.expr(r"filter(split(text, '\n'), l -> l RLIKE r'[^\x20\x09-\x0D]')").alias("lines"),
+        F.expr(f"transform(split(text, '\\n'), l -> named_struct('line', l, 'words', filter(split(l, r'{SPACE}'), w -> w != '')))").alias("split"),
+        F.expr(f"exists(array(lower(text)), low -> {holds})").alias("stock"),
     )
     hashed = spaced.select(
-        "*", F.transform("words", lambda w: F.xxhash64(w)).alias("word_hash"),
+        "doc_id", "text",
+        F.expr("flatten(transform(split, x -> x.words))").alias("words"),
+        F.expr("transform(filter(split, x -> size(x.words) > 0), x -> x.line)").alias("lines"),
+        F.expr("flatten(transform(split, x -> transform(x.words, w -> xxhash64(w))))").alias("word_hash"),
         F.expr(f"""
-            transform(split(text, '\\n'), l -> named_struct('line', l, 'n', size(filter(split(l, r'{SPACE}'), w -> w != '')),
-              'fails', l RLIKE r'[^\\x20\\x09-\\x0D]' AND {line_fails('l', f"filter(split(l, r'{SPACE}'), w -> w != '')")}))""").alias("judged"),
+            transform(split, x -> named_struct('line', x.line, 'n', size(x.words),
+              'fails', size(x.words) > 0 AND {line_fails('x.line', 'size(x.words)', 'stock')}))""").alias("judged"),
     )
     windows = hashed.select(
         "*",

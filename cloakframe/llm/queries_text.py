@@ -87,7 +87,7 @@ lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d),
 judged AS (
   SELECT doc_id, l, len({line_words}) AS n,
     (regexp_matches(l, '{NAVIGATION}') OR ({marks} >= 2 AND 3 * ({marks}) >= len({line_words}))
-     OR regexp_matches(l, '(?i){BOILERPLATE}')
+     OR 4 * (length(l) - length(regexp_replace(l, '(?i){BOILERPLATE}', '', 'g'))) >= length(l)
      OR 2 * len(regexp_extract_all(l, '[#*$%&!<>]+')) > len({line_words})
      OR (len({line_words}) >= 30 AND NOT regexp_matches(l, '[.!?:;,"…)\]]'))) AS fails
   FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),

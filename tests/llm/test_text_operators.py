@@ -64,6 +64,8 @@ def test_line_rules_counts_and_verdicts(spark):
         "repeat": "spam ham eggs " * 40, "aaa": "a a a a", "symbols": good.replace(" ", "*** "), "table": "\n".join("aa | bb | cc | dd | ee" for _ in range(30)),
         "menu": good + "\nHome | About us | Contact us\nHome", "notice": good + "\nAll rights reserved.", "wide": "é ü 😀 " * 30,
         "long": " ".join(f"w{i % 9973}" for i in range(120_000)),
+        "prose": good.replace("\n", " ") + " We changed our Privacy Policy in spring.", "mention": good + "\nThe members met in spring and changed the privacy policy of the club, as was asked.",
+        "footer": good + "\nTerms of Use | PRIVACY POLICY",
     }
     rows = [(i, text, "clash") for i, text in enumerate(cases.values())]
     out = {r.doc_id: r for r in clean_lines(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()}
@@ -72,10 +74,12 @@ def test_line_rules_counts_and_verdicts(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_counts(text), name
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words), name
     verdict = {name: out[i].kept for i, name in enumerate(cases)}
-    assert verdict["good"] and verdict["menu"] and verdict["notice"]
+    assert all(verdict[n] for n in ("good", "menu", "notice", "prose", "mention", "footer"))
     assert not any(verdict[n] for n in ("null", "empty", "space", "short", "repeat", "symbols", "table"))
     names = list(cases)
     assert out[names.index("menu")].cleaned == good and out[names.index("notice")].cleaned == good
+    assert out[names.index("prose")].cleaned == cases["prose"] and out[names.index("mention")].cleaned == cases["mention"]
+    assert out[names.index("footer")].cleaned == good
     assert clean_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
