@@ -18,24 +18,23 @@ from tests.sample_prompts import SAMPLE_PROMPTS
 SF = "/root/testdata/sf0.01"
 
 GOLDEN = {
-    "bank-dispute": (
-        "Customer [NAME_1] (QID [QID_1]) wants to dispute a QAR 12,500 charge on card [PAN_1]. "
-        "His IBAN is [IBAN_1], phone [PHONE_1], email [EMAIL_1]. Draft a response.",
+    "card-refund": (
+        "Please answer customer [NAME_1], QID [QID_1]. Order 771 was paid with [PAN_1] and comes back "
+        "to account [IBAN_1]. Reach them at [EMAIL_1] or [PHONE_1].",
         ["identity", "national-id", "payment-card", "bank-account", "contact"], "restricted", "allow",
     ),
-    "bank-loan": (
-        "Assess loan eligibility for customer [NAME_1] (QID [QID_1]), monthly income QAR 32,000, "
-        "existing IBAN [IBAN_1]. Summarize the application.",
+    "lease-check": (
+        "Could applicant and customer [NAME_1] (QID [QID_1]) lease a van for 2,400 a month from "
+        "IBAN [IBAN_1]? Answer in one line.",
         ["identity", "national-id", "bank-account"], "restricted", "require-approval",
     ),
-    "hospital-summary": (
-        "Summarize for patient [NAME_1] ([MRN_1]), [DOB_1], [MRN_2] 2 diabetes. Phone [PHONE_1]. "
-        "Draft a follow-up appointment message.",
+    "clinic-note": (
+        "Shorten this note on patient [NAME_1], [MRN_1], [DOB_1]: [MRN_2], rest for two days. Text the result to [PHONE_1].",
         ["identity", "health", "contact"], "restricted", "allow",
     ),
-    "gov-credential": (
-        "Use this service token to fetch records for citizen [NAME_1]: [SECRET_1]. Email [EMAIL_1].",
-        ["identity", "credential", "contact"], "restricted", "block",
+    "leaked-key": (
+        "Ticket of [NAME_1] ([EMAIL_1]): the job fails with key [SECRET_1], why?",
+        ["identity", "contact", "credential"], "restricted", "block",
     ),
 }
 
@@ -55,18 +54,18 @@ def test_sample_entities_and_restoration(samples):
     rows = done.select("id", "text", "entities", restore_from(F.col("redacted"), F.col("entities")).alias("back")).collect()
     for row in rows:
         assert row["back"] == row["text"]
-    hospital = next(r for r in rows if r["id"] == "hospital-summary")
-    values = {e["placeholder"]: e["value"] for e in hospital["entities"]}
-    assert values["[DOB_1]"] == "DOB 1991-04-12"
-    assert values["[MRN_1]"] == "MRN: 884512"
-    assert values["[MRN_2]"] == "diagnosed with type"
+    note = next(r for r in rows if r["id"] == "clinic-note")
+    values = {e["placeholder"]: e["value"] for e in note["entities"]}
+    assert values["[DOB_1]"] == "DOB 1985-11-30"
+    assert values["[MRN_1]"] == "MRN 550123"
+    assert values["[MRN_2]"] == "diagnosed with influenza"
 
 
 MASKS = [
-    ("EMAIL", "ahmed.althani@example.qa", "a" + "•" * 12 + "@example.qa"),
-    ("NAME", "Ahmed Al-Thani", "A•••• A•••••••"),
-    ("PAN", "4111 1111 1111 1111", "••••111"),
-    ("QID", "28412345678", "••••678"),
+    ("EMAIL", "noor.haddad@mail.example", "n" + "•" * 10 + "@mail.example"),
+    ("NAME", "Lina Al-Farouk", "L••• A••••••••"),
+    ("PAN", "5500 0055 5555 5559", "••••559"),
+    ("QID", "27810293847", "••••847"),
     ("EMAIL", "a@x.y", "a••@x.y"),
     ("EMAIL", "nobody", "n•••••@"),
     ("PHONE", "12", "••••12"),

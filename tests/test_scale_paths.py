@@ -245,6 +245,20 @@ def test_nested_placeholders_are_restored_in_vault_order(spark):
         assert got[key] == want
 
 
+def test_a_chain_of_nested_placeholders_is_restored_in_few_rounds(spark):
+    n = 200
+    chain = spark.range(n).selectExpr("id AS ord", "concat('[N_', id, ']') AS placeholder",
+                                      f"CASE WHEN id = {n - 1} THEN 'end' ELSE concat('a[N_', id + 1, ']', IF(id % 3 = 0, '[N_0]', '')) END AS value")
+    df = spark.createDataFrame([(1, "[N_0]|[N_190]"), (2, "[N_x] [N_10000]"), (3, None)], "id long, text string")
+    got = {r["id"]: r["out"] for r in restore_text(df, ["id"], [], "text", chain, "out", nested=True).collect()}
+
+    def whole(i: int) -> str:
+        back = ["[N_0]" for k in range(i, n - 1) if k % 3 == 0]
+        return "a" * (n - 1 - i) + "end" + "".join(back)
+
+    assert got == {1: f"{whole(0)}|{whole(190)}", 2: "[N_x] [N_10000]", 3: ""}
+
+
 def test_table_redaction_shares_numbers_over_columns_and_keeps_blanks(spark):
     df = spark.createDataFrame([(1, "Ann", "5", "Bob"), (2, "", "6", "Ann"), (3, None, "7", "Cid"), (4, "Bob", "", "x")],
                                "n long, name string, loan string, client string")
