@@ -267,13 +267,17 @@ def chat_replies(history: DataFrame) -> DataFrame:
     return joined.select("conv_id", reply.alias("reply"))
 
 
+def newest(conversations: DataFrame, limit: int | None = None) -> DataFrame:
+    """The page of conversations changed last; 100 unless another size is asked for."""
+    return conversations.orderBy(F.col("updated_at").desc(), F.col("conv_id").desc()).limit(max(limit or 100, 1))
+
+
 def list_conversations(conversations: DataFrame, messages: DataFrame, vault: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest conversations with their message and vault counts; 100 unless another page size is asked for.
 
     Only the page's own messages and vault entries are counted, before they are joined.
     """
-    size = max(limit or 100, 1)
-    top = conversations.orderBy(F.col("updated_at").desc(), F.col("conv_id").desc()).limit(size)
+    top = newest(conversations, limit)
     listed = top.select("conv_id")
     n_messages = messages.join(listed, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("message_count"))
     n_vault = vault.join(listed, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("protected_count"))

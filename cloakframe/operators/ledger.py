@@ -252,6 +252,17 @@ def latest(ledger: DataFrame, limit: int | None = None) -> DataFrame:
     return ledger.orderBy(F.col("id").desc()).limit(max(limit or 50, 1))
 
 
+def latest_rows(requests: DataFrame, limit: int | None = None, before: int | None = None, rules: Rulebook = BUILT_IN) -> DataFrame:
+    """A page of ``ledger_rows``, newest first, straight from the requests.
+
+    The page is chosen by id before any text is searched.  ``before`` is the last id of the page above, so a later page costs
+    what the first one does.
+    """
+    kept = requests.where(clean_text(F.col("text")) != "")
+    kept = kept if before is None else kept.where(F.col("id") < before)
+    return latest(ledger_rows(latest(kept, limit), rules), limit)
+
+
 def by_id(ledger: DataFrame, request_id: int) -> DataFrame:
     return ledger.where(F.col("id") == request_id)
 

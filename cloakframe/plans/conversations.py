@@ -138,8 +138,9 @@ NUMBERED = """firsts AS MATERIALIZED (SELECT conv_id, det, type, value, first.t
 numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, type ORDER BY first_turn, first_pos) AS idx FROM firsts)"""
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = C.in_order(C.user_turns(messages(spark, sf_dir)).select("conv_id", "turn", "text"))
+def _numbered(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = messages(spark, sf_dir) if rows is None else rows
+    turns = C.in_order(C.user_turns(rows).select("conv_id", "turn", "text"))
     numbered = C.number_rows(C.first_seen(with_spans(turns)), ["conv_id", "type"], ["first_at", "first_pos"], "idx")
     return numbered.withColumn("first_turn", C.turn_of("first_at"))
 
@@ -227,7 +228,10 @@ def list_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = rows.select("conv_id").distinct().withColumn(
         "updated_at", F.expr("timestampadd(MINUTE, conv_id * 37 % 1000, TIMESTAMP_NTZ '2024-01-01 00:00:00')")
     )
-    return C.list_conversations(conversations, rows, _numbered(spark, sf_dir))
+    # The page is chosen first, so only its own messages are searched.
+    page = C.newest(conversations)
+    shown = rows.join(page.select("conv_id"), "conv_id", "left_semi")
+    return C.list_conversations(page, shown, _numbered(spark, sf_dir, shown))
 
 
 @plan(

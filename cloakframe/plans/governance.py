@@ -307,7 +307,12 @@ def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("latest_requests", spaced(PROMPTS, LEDGER_CTES, "SELECT id, decision, status FROM ledger ORDER BY id DESC LIMIT 50"))
 def latest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.latest(full_ledger(spark, sf_dir)).select("id", "decision", "status")
+    return L.latest_rows(requests(spark, sf_dir)).select("id", "decision", "status")
+
+
+@plan("older_requests", spaced(PROMPTS, LEDGER_CTES, "SELECT id, decision, status FROM ledger WHERE id < 100 ORDER BY id DESC LIMIT 20"))
+def older_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.latest_rows(requests(spark, sf_dir), limit=20, before=100).select("id", "decision", "status")
 
 
 @plan("request_by_id", spaced(PROMPTS, LEDGER_CTES, f"SELECT {LEDGER_COLS} FROM ledger WHERE id = 7"))
