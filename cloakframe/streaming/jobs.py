@@ -27,12 +27,12 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None) -> DataFrame:
-    """A parquet table of a folder as a stream, file by file."""
+    """A parquet table of a folder as a stream, file by file; the table is one file, several of that name, or a folder of parts."""
     schema = spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder.rstrip('/')}/{table}*.parquet")
 
 
 @contextlib.contextmanager
@@ -94,9 +94,16 @@ def redact_chat(messages: DataFrame, folder: str, rules: Rulebook = BUILT_IN) ->
     turns_at, vault_at = f"{folder}/turns", f"{folder}/vault"
     schema = f"conv_id long, turn long, redacted string, protected_count long, entries {ENTRY}, late boolean"
 
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         turns = materialise(user_turns(batch).select("conv_id", "turn", "text"))
+        # A stream turns adaptive execution off in its session; from the stored turns on all is plain tables, which are planned as elsewhere.
+        with settings(session, **{"spark.sql.adaptive.enabled": adaptive}):
+            fold(session, turns, batch_id)
+
+    def fold(session: SparkSession, turns: DataFrame, batch_id: int) -> None:
         own = turns.select("conv_id").distinct()
         stored = _before(session, vault_at, VAULT, batch_id).join(own, "conv_id", "left_semi")
         # Values of earlier micro-batches come before all turns of this one, in the order of their arrival.

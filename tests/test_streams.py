@@ -132,6 +132,14 @@ def test_a_request_is_settled_once(spark):
     assert reply.output_redacted and reply.provider and reply.model
 
 
+def test_a_table_stored_as_a_folder_of_parts_is_streamed(spark):
+    folder = scratch_path(spark, "parts-in")
+    rows = [(i, f"text {i}") for i in range(20)]
+    spark.createDataFrame(rows, "id long, text string").repartition(3).write.parquet(f"{folder}/talk.parquet")
+    got = J.run_available(J.read_stream(spark, folder, "talk"), "parts-out")
+    assert sorted(map(tuple, got.collect())) == rows
+
+
 def test_activity_snapshots_go_on_and_repeat(spark):
     source, folder = scratch_path(spark, "log"), scratch_path(spark, "activity")
     schema = "action string, created_at timestamp"
