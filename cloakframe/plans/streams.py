@@ -169,7 +169,7 @@ def stream_session_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def approval_events(spark: SparkSession, sf_dir: str, made: str = "true") -> DataFrame:
     utc(spark)
-    stream = J.read_stream(spark, sf_dir, "customer")
+    stream = J.spread(J.read_stream(spark, sf_dir, "customer"))
     name = "customer_arriving"
     stream.createOrReplaceTempView(name)
     prompts = spark.sql(VIEWS["prompts"].replace("@customer", name))

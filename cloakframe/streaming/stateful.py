@@ -1,11 +1,12 @@
 """Stateful processors: sessions that end by timers, and requests that are settled once.
 
-State lies in Spark's store, one entry per key, and is brought up to date by the rows of a micro-batch in the order of their time.  Timers
+State lies in Spark's store, one entry per session and one row per request, and is brought up to date by the rows of a micro-batch in the order of their time.  Timers
 follow the watermark, so what ends a session or refuses a decision is event time and not the moment of the run.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,8 +14,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 SESSION_STATE = "seen long, expires long, revoked long, told boolean, named boolean"
 SESSION_OUT = "token string, event_id long, at_us long, kind string, state string"
-REQUEST_STATE = "status string, reason string, reply string"
-WAITING = "at_us long, decision_id long, verdict string, approver string, notes string"
+REQUEST_STATE = "request_id long, status string, reason string, reply string"
+WAITING = "request_id long, due_ms long, at_us long, decision_id long, verdict string, approver string, notes string"
 APPROVAL_OUT = ("request_id long, decision_id long, at_us long, kind string, verdict string, ok boolean, error string, status string, "
                 "approver string, reason string, output_redacted string")
 
@@ -107,69 +108,93 @@ class ApprovalMachine(StatefulProcessor):
 
     A request starts as the ledger has it.  From ``pending`` an approval leads to ``completed``, any other decision to ``rejected``; no other state is ever
     left, and a decision that comes then is told so.  A decision whose request is not there yet waits until the watermark passes it.
+
+    A group is a block of neighbouring request ids (``jobs.approval_events`` bounds it), so that a call of Python and a visit to the store serve many
+    requests.  State: one row per request, one per waiting decision; requests of a block have nothing else in common.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.request = handle.getValueState("request", REQUEST_STATE)
+        self.requests = handle.getListState("requests", REQUEST_STATE)
         self.waiting = handle.getListState("waiting", WAITING)
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def decided(key, decision: tuple, ok: bool, error: str | None, status: str | None, reason: str | None, reply: str | None) -> tuple:
+    def held(state) -> list[tuple]:
+        return [tuple(r) for r in state.get()] if state.exists() else []
+
+    def wait(self, held: list[tuple]) -> None:
+        self.waiting.put(held) if held else self.waiting.clear()
+
+    @staticmethod
+    def decided(request_id, decision: tuple, ok: bool, error: str | None, status: str | None, reason: str | None, reply: str | None) -> tuple:
         at, decision_id, verdict, approver, _ = decision
-        return (key[0], decision_id, at, "decided", verdict, ok, error, status, approver if ok else None, reason, reply)
+        return (request_id, decision_id, at, "decided", verdict, ok, error, status, approver if ok else None, reason, reply)
 
-    def settle(self, key, decisions: list[tuple]) -> list[tuple]:
-        status, reason, reply = self.request.get()
+    def settle(self, request_id, request: tuple, decisions: list[tuple]) -> tuple[tuple, list[tuple]]:
+        """The state of the request after the decisions, and what they are told."""
+        status, reason, reply = request
         out = []
         for decision in sorted(decisions, key=lambda d: d[:2]):
             verdict, notes = decision[2], decision[4]
             if status != "pending":
-                out.append(self.decided(key, decision, False, f"Request is '{status}', not pending", status, reason, None))
+                out.append(self.decided(request_id, decision, False, f"Request is '{status}', not pending", status, reason, None))
                 continue
             told = {"approve": "completed", "reject": "rejected"}.get(verdict, status)
             said = (notes or reason) if verdict == "reject" else reason
-            out.append(self.decided(key, decision, True, None, told, said, reply if verdict == "approve" else None))
+            out.append(self.decided(request_id, decision, True, None, told, said, reply if verdict == "approve" else None))
             status = "completed" if verdict == "approve" else "rejected"
-        self.request.update((status, reason, reply))
-        return out
+        return (status, reason, reply), out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        requests, decisions, out = [], [], []
+        asked, decisions, out = defaultdict(list), defaultdict(list), []
         for part in rows:
             part = part.astype(object).where(part.notna(), None)
             for r in part.itertuples(index=False):
                 if r.decision_id is None:
-                    requests.append((r.at_us, r.status or "", r.reason, r.reply))
+                    asked[r.request_id].append((r.at_us, r.status or "", r.reason, r.reply))
                 else:
-                    decisions.append((int(r.at_us), int(r.decision_id), r.verdict, r.approver, r.notes))
-        if requests and not self.request.exists():
+                    decisions[r.request_id].append((int(r.at_us), int(r.decision_id), r.verdict, r.approver, r.notes))
+        known = {request_id: tuple(state) for request_id, *state in self.held(self.requests)}
+        before = dict(known)
+        held = self.held(self.waiting)
+        opened = set()
+        for request_id, requests in asked.items():
+            if request_id in known:
+                continue
             at, status, reason, reply = min(requests, key=lambda r: r[:2])
-            self.request.update((status, reason, reply))
-            out.append((key[0], None, int(at), "opened", None, None, None, status, None, reason, None))
-            if self.waiting.exists():
-                decisions += list(self.waiting.get())
-                self.waiting.clear()
-        if not decisions:
-            pass
-        elif self.request.exists():
-            out += self.settle(key, decisions)
-        else:
-            self.waiting.appendList(decisions)
-            self.handle.registerTimer(-(-max(d[0] for d in decisions) // 1000))
+            known[request_id] = (status, reason, reply)
+            opened.add(request_id)
+            out.append((request_id, None, int(at), "opened", None, None, None, status, None, reason, None))
+        kept = [h for h in held if h[0] not in opened]
+        for request_id, _, *decision in held:
+            if request_id in opened:
+                decisions[request_id].append(tuple(decision))
+        due = set()
+        for request_id, given in decisions.items():
+            if request_id in known:
+                known[request_id], told = self.settle(request_id, known[request_id], given)
+                out += told
+            else:
+                moment = -(-max(d[0] for d in given) // 1000)
+                due.add(moment)
+                kept += [(request_id, moment, *d) for d in given]
+        if known != before:
+            self.requests.put([(request_id, *state) for request_id, state in known.items()])
+        if kept != held:
+            self.wait(kept)
+        for moment in due:
+            self.handle.registerTimer(moment)
         yield table(out, APPROVAL_OUT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if not self.request.exists() and self.waiting.exists():
-            passed = 1000 * expiredTimerInfo.getExpiryTimeInMs()
-            held = list(self.waiting.get())
-            later = [d for d in held if d[0] > passed]
-            out = [self.decided(key, d, False, "Request not found", None, None, None) for d in held if d[0] <= passed]
-            self.waiting.clear()
-            if later:
-                self.waiting.appendList(later)
-        yield table(out, APPROVAL_OUT)
+        moment = expiredTimerInfo.getExpiryTimeInMs()
+        held = self.held(self.waiting)
+        due = {h[0] for h in held if h[1] <= moment}
+        over = [h for h in held if h[0] in due and h[2] <= 1000 * moment]
+        if over:
+            gone = set(over)
+            self.wait([h for h in held if h not in gone])
+        yield table([self.decided(h[0], h[2:], False, "Request not found", None, None, None) for h in over], APPROVAL_OUT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cloakframe.operators import access as A
@@ -11,6 +12,7 @@ from cloakframe.operators import audit as Q
 from cloakframe.operators import conversation as C
 from cloakframe.session import scratch_path
 from cloakframe.streaming import jobs as J
+from cloakframe.streaming.stateful import ApprovalMachine
 
 TURNS = [
     (1, 0, "Customer Omar Khan here"), (2, 0, "mail a@x.qa"), (1, 1, "Omar Khan, mail a@x.qa"), (1, 2, "client Sara Costa and Omar Khan"),
@@ -132,6 +134,61 @@ def test_a_request_is_settled_once(spark):
     assert reply.output_redacted and reply.provider and reply.model
 
 
+class Store:
+    """A state store that counts visits."""
+
+    def __init__(self):
+        self.lists, self.timers, self.visits = {}, set(), 0
+
+    def getListState(self, name, schema):
+        store, rows = self, self.lists.setdefault(name, [])
+
+        class List:
+            def exists(self):
+                store.visits += 1
+                return bool(rows)
+
+            def get(self):
+                store.visits += 1
+                return iter(list(rows))
+
+            def put(self, new):
+                store.visits += 1
+                rows[:] = new
+
+            def clear(self):
+                store.visits += 1
+                rows.clear()
+
+        return List()
+
+    def registerTimer(self, moment):
+        self.timers.add(moment)
+
+
+def test_a_block_of_requests_is_settled_request_by_request_in_few_visits():
+    machine, store = ApprovalMachine(), Store()
+    machine.init(store)
+    fields = ["request_id", "at_us", "decision_id", "verdict", "approver", "notes", "status", "reason", "reply"]
+    asked = [(i, 1000, None, None, None, None, "pending", "why", f"text {i}") for i in range(200)]
+    made = [(i, 3000 + n, 4 * i + n, "reject" if i % 2 else "approve", "lead", None, None, None, None) for i in range(50, 256) for n in range(2)]
+    [told] = machine.handleInputRows((0,), iter([pd.DataFrame(asked + made, columns=fields)]), None)
+    assert (told["kind"] == "opened").sum() == 200 and told["ok"].eq(True).sum() == 150 and (told["kind"] == "decided").sum() == 300
+    assert set(told.loc[told["ok"].eq(True), "output_redacted"].dropna()) == {f"text {i}" for i in range(50, 200, 2)}
+    assert store.visits <= 8 and store.timers == {4}
+    # A request that comes now finds what waited for it; the others are refused when the watermark has passed them.
+    [late] = machine.handleInputRows((0,), iter([pd.DataFrame([(200, 900, None, None, None, None, "pending", "why", "late")], columns=fields)]), None)
+    assert late["ok"].tolist() == [None, True, False]
+
+    class Passed:
+        def getExpiryTimeInMs(self):
+            return 4
+
+    [over] = machine.handleExpiredTimer((0,), None, Passed())
+    assert set(over["request_id"]) == set(range(201, 256)) and set(over["error"]) == {"Request not found"} and len(over) == 110
+    assert not store.lists["waiting"] and len(store.lists["requests"]) == 201
+
+
 def test_a_table_stored_as_a_folder_of_parts_is_streamed(spark):
     folder = scratch_path(spark, "parts-in")
     rows = [(i, f"text {i}") for i in range(20)]
