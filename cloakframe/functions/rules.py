@@ -125,8 +125,12 @@ def reply_json(reply: Column) -> Column:
     text = trim_space(F.coalesce(reply, F.lit("")))
     open_fence = rf"(?i)\A```(?:json)?{c.SPACE}*+"
     bare = F.regexp_replace(F.regexp_replace(text, open_fence, ""), rf"(?<!{c.SPACE}){c.SPACE}*+```\z", "")
-    first = F.position(F.lit("{"), bare)
-    from_end = F.position(F.lit("}"), F.reverse(bare))
-    last = F.length(bare) - from_end + 1
-    body = F.substring(bare, first, last - first + 1)
-    return F.when((first > 0) & (from_end > 0) & (last >= first), body)
+
+    def cut(bare: Column) -> Column:
+        first = F.position(F.lit("{"), bare)
+        from_end = F.position(F.lit("}"), F.reverse(bare))
+        last = F.length(bare) - from_end + 1
+        return F.when((first > 0) & (from_end > 0) & (last >= first), F.substring(bare, first, last - first + 1))
+
+    # Through a lambda, so that the text is stripped once and not once per place that reads it.
+    return F.transform(F.array(bare), cut)[0]

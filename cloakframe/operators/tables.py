@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakframe import catalogue as c
 from cloakframe.functions.masking import mask_value
-from cloakframe.functions.redaction import placeholder
+from cloakframe.functions.redaction import placeholder, settled
 from cloakframe.functions.rules import (
     classify_names,
     csv_cell,
@@ -204,9 +204,9 @@ GROUPING_SCHEMA = "headline string, groups array<struct<tier:string,rule:string,
 
 def parse_replies(replies: DataFrame, text: str = "text") -> DataFrame:
     """Add ``json`` (the object in the reply, null when there is none that parses) and ``grouping``."""
-    body = replies.withColumn("json", reply_json(F.col(text)))
-    checked = body.withColumn("json", F.when(F.try_parse_json("json").isNotNull(), F.col("json")))
-    return checked.withColumn("grouping", F.from_json("json", GROUPING_SCHEMA))
+    body = settled(replies, reply_json(F.col(text)), "_body").drop("json", "grouping")
+    checked = settled(body, F.when(F.try_parse_json("_body").isNotNull(), F.col("_body")), "json").drop("_body")
+    return settled(checked, F.from_json("json", GROUPING_SCHEMA), "grouping")
 
 
 def reply_tiers(parsed: DataFrame, order: str, name: str) -> DataFrame:

@@ -115,17 +115,42 @@ def spark_sql_of(view: str, sf_dir: str) -> str:
 
 # Views whose texts are searched: the work per byte is high, so idle cores are worth a shuffle.
 TEXT_VIEWS = ("corpus", "prompts", "messages")
+# Views that make a text of every customer, and what they read of one.
+CUSTOMER_TEXTS = {"corpus": ["c_custkey"], "prompts": ["c_custkey"], "replies": ["c_custkey"], "model_replies": ["c_custkey"]}
+CORPUS_TABLES = {"documents": ["doc_id", "text"], "pages": ["page_id", "html"]}
+TASKS_PER_CORE = 2
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a derived view."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if name in VIEWS:
-        rows = spark.sql(spark_sql_of(name, sf_dir))
-        return spread(rows) if name in TEXT_VIEWS else rows
+        if name not in CUSTOMER_TEXTS:
+            rows = spark.sql(spark_sql_of(name, sf_dir))
+            return spread(rows) if name in TEXT_VIEWS else rows
+        # A file of customers is one split of many short rows, and each becomes a text: they are dealt out by number, not by bytes.
+        customers = dealt(spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet").select(*CUSTOMER_TEXTS[name]))
+        parts = {"customer": customers}
+        if name == "corpus":
+            prompts = named(spark, "prompts", parts)
+            parts = {t: spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").select(*columns)) for t, columns in CORPUS_TABLES.items()}
+            parts["prompts"] = prompts
+        return named(spark, name, parts)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def named(spark: SparkSession, view: str, parts: dict[str, DataFrame]) -> DataFrame:
+    """A view over the given tables."""
+    for part, df in parts.items():
+        df.createOrReplaceTempView(f"part_{part}")
+    return spark.sql(_NAME.sub(lambda m: f"part_{m.group(1)}" if m.group(1) in parts else m.group(0), VIEWS[view]))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal out short rows evenly over several tasks per core, whatever their files are."""
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core when the files give fewer splits than there are cores.
 
