@@ -80,6 +80,6 @@ FROM ({TEXTS}) t JOIN verdict v ON v.prompt_id = t.prompt_id"""),
 )
 def stream_rules_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     utc(spark)
-    J.read_stream(spark, sf_dir, "customer").createOrReplaceTempView("customer_screened")
+    J.spread(J.read_stream(spark, sf_dir, "customer")).createOrReplaceTempView("customer_screened")
     prompts = spark.sql(VIEWS["prompts"].replace("@customer", "customer_screened"))
     return J.run_available(J.screen_requests(requests_of(prompts), rules(spark)), "screened").select("id", "prompt_redacted", "decision")
