@@ -37,7 +37,7 @@ def pieces(documents: DataFrame, path: str, end_id: int = 2, capacity: int = 102
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path, end_id)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 ids, offsets = tokens.encode(batch.column("text").to_pylist())
                 sizes = np.diff(offsets)
                 counts = -(-sizes // capacity)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-MOST_PARTS = 800_000  # parts kept per Python worker, some 150 MB
+MOST_PARTS = 300_000  # parts kept per Python worker, some 60 MB; beyond that, only those met again stay
 AT_ONCE = 4096  # parts encoded at once: an encoding holds far more than its ids
 
 
@@ -81,6 +81,17 @@ class Encoder:
         self.mark_codes = {m: i for i, m in enumerate(self.marks, 1)}
         self.used, self.n = len(own), len(own)
         self.ids, self.starts, self.lengths = np.array(own, np.uint32), np.arange(len(own)), np.ones(len(own), np.int64)
+        self.met = np.zeros(len(own), bool)  # parts that a later batch held as well
+
+    def forget(self) -> None:
+        """Keep the parts that were met again since the last time, or none if they are more than half of what may be kept."""
+        parts, own = list(self.known), 1 + len(self.marks)  # in the order of their numbers
+        again = own + np.flatnonzero(self.met[own : self.n])
+        starts, sizes, ids = self.starts[again], self.lengths[again], self.ids
+        self.clear()
+        if len(again) <= MOST_PARTS // 2:
+            flat = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+            self.keep([parts[i - own] for i in again.tolist()], ids[flat], sizes)
 
     def word(self, part: bytes) -> str | None:
         """The part as the merges see it, if it is certainly one word: ASCII letters, with a space before them unless that is dropped."""
@@ -97,13 +108,17 @@ class Encoder:
         rest = iter(self.tokenizer.encode_batch_fast([p.decode() for p, w in zip(parts, words) if w is None], add_special_tokens=False))
         encoded = [next(rest).ids if w is None else [t.id for t in merge(w)] for w in words]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total, n = int(sizes.sum()), len(parts)
+        self.keep(parts, np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(sizes.sum())), sizes)
+
+    def keep(self, parts: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        total, n = len(ids), len(parts)
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(total, len(self.ids)), np.uint32)])
         if self.n + n > len(self.starts):
             room = np.empty(max(n, len(self.starts)), np.int64)
             self.starts, self.lengths = np.concatenate([self.starts, room]), np.concatenate([self.lengths, room])
-        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, total)
+            self.met = np.concatenate([self.met, np.zeros(len(room), bool)])
+        self.ids[self.used : self.used + total] = ids
         self.starts[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
         self.lengths[self.n : self.n + n] = sizes
         self.known.update(zip(parts, range(self.n, self.n + n)))
@@ -148,9 +163,10 @@ class Encoder:
         parts = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         distinct = parts.dictionary.to_pylist()
         if len(self.known) > MOST_PARTS:
-            self.clear()
+            self.forget()
         held = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(held < 0)
+        self.met[held[held >= 0]] = True
         for first in range(0, len(new), AT_ONCE):
             some = new[first : first + AT_ONCE]
             before = self.n

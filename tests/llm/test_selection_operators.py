@@ -57,6 +57,23 @@ def test_parts_are_forgotten_and_learnt_again(monkeypatch):
         assert fast.encode([text])[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_parts_met_again_outlive_the_others(monkeypatch):
+    from cloakframe.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_PARTS", 40)
+    fast, plain = Encoder(BYTES, 2), Tokenizer.from_file(BYTES)
+    rare = ["".join(random.Random(i).choices("abcdefghij", k=6)) for i in range(400)]
+    for at in range(0, len(rare), 8):
+        text = "the same few words <|endoftext|> " + " ".join(rare[at : at + 8])
+        assert fast.encode([text])[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+        assert len(fast.known) <= 40 + 13 and (at == 0 or b" same" in fast.known)
+    learnt = []
+    monkeypatch.setattr(fast, "learn", lambda parts: learnt.extend(parts) or Encoder.learn(fast, parts))
+    for at in range(0, 80, 8):
+        fast.encode(["the same few words " + " ".join(rare[at : at + 8])])
+    assert learnt and not {b"the", b" same", b" few"} & set(learnt)
+
+
 # ---- Elias-Fano and token files
 
 
