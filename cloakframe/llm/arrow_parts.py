@@ -1,20 +1,5 @@
 """Arrow batches cut by bytes of text."""
 
-from __future__ import annotations
+from cloakframe.functions.arrow_parts import slices
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-
-
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``most`` bytes of text, so that work on long texts stays in bounds."""
-    if not batch.num_rows:
-        return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // most
-    starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for start, end in zip(starts, starts[1:]):
-        yield batch.slice(start, end - start)
+__all__ = ["slices"]

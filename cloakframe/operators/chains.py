@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cloakframe.catalogue import GENESIS
+from cloakframe.functions.arrow_parts import slices
 from cloakframe.operators.ledger import canonical_head, linked_hash
 from cloakframe.operators.numbering import number_rows
 
 FAN, LEVELS = 16, 7
+AT_ONCE = 1 << 18  # bytes of canonical text that a task links at once
 HEADS = "chain string, position long, seq long, hash string"
 NODES = "level int, position long, hash string"
 SEGMENTS = "chain string, position long"
@@ -110,7 +112,7 @@ def _linked(records: DataFrame, starts: DataFrame, order: list[str]) -> DataFram
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, seq, prev = None, 0, GENESIS
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "_head", AT_ONCE)):
             numbers, prevs, hashes = [], [], []
             chains, heads_, begun = (batch.column(c).to_pylist() for c in ("chain", "_head", "_seq"))
             for chain, head, n in zip(chains, heads_, begun):
@@ -124,9 +126,9 @@ def _linked(records: DataFrame, starts: DataFrame, order: list[str]) -> DataFram
                     seq += 1
                 numbers.append(seq), prevs.append(prev), hashes.append(digest)
                 prev = digest or prev
-            whole = pa.RecordBatch.from_arrays(
+            linked = pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array(numbers, pa.int64()), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=out.names)
-            yield whole.filter(pa.array([h is not None for h in hashes], pa.bool_()))
+            yield linked.filter(pa.array([h is not None for h in hashes], pa.bool_()))
 
     rows = records.withColumn("_head", canonical_head())
     begin = starts.select("chain", F.col("seq").alias("_seq"), F.col("hash").alias("_hash"))

@@ -146,3 +146,21 @@ def test_lanes_split_a_hot_key(spark):
     sizes = [r["count"] for r in rows.groupBy(H.chain_name(F.col("key"), F.col("id"), 8).alias("chain")).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 250
     assert rows.select(H.chain_name(F.lit(None), F.col("id"))).first()[0] == ""
+
+
+def test_a_task_links_a_bounded_number_of_records_at_once(spark, monkeypatch):
+    """Whatever the size of the batches it is handed, and with the same links."""
+    sizes = []
+    plain = type(spark.range(1)).mapInArrow
+
+    def spied(df, link, schema):
+        whole = df.toArrow().combine_chunks().to_batches()
+        sizes.extend(b.num_rows for b in link(iter(whole)))
+        return plain(df, link, schema)
+
+    df = records(spark, 3000, 20).withColumn("actor", F.repeat(F.lit("a"), F.lit(1000))).coalesce(1)
+    monkeypatch.setattr(type(df), "mapInArrow", spied)
+    starts = spark.createDataFrame([], H.HEADS)
+    linked = H._linked(df, starts, ORDER).select("chain", "seq", "id", "prev_hash", "hash")
+    assert sum(sizes) == 3000 and max(sizes) < 500
+    assert sorted(map(tuple, linked.collect())) == plain_links(df)[0]
