@@ -27,6 +27,7 @@ from cloakframe.llm.tokens import encoder
 from cloakframe.session import materialise
 
 GROUP, CLOSED = 100_000, 0.95
+PARTS = 300_000  # word parts kept per Python worker, some 60 MB
 
 
 def pieces(documents: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
@@ -35,7 +36,7 @@ def pieces(documents: DataFrame, path: str, end_id: int = 2, capacity: int = 102
     schema = ", ".join(f"{n} {t}" for n, t in [*fields, *([("ids", "array<int>")] if keep_ids else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path, end_id)
+        tokens = encoder(path, end_id, most=PARTS)
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 ids, offsets = tokens.encode(batch.column("text").to_pylist())

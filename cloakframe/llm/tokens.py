@@ -20,7 +20,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-MOST_PARTS = 300_000  # parts kept per Python worker, some 60 MB; beyond that, only those met again stay
+MOST_PARTS = 800_000  # parts kept per Python worker, some 150 MB; beyond that, only those met again stay
 AT_ONCE = 4096  # parts encoded at once: an encoding holds far more than its ids
 
 
@@ -61,12 +61,12 @@ def cut_words(data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str, end_id: int, marks: bool = True, spaceless: bool = False):
+    def __init__(self, path: str, end_id: int, marks: bool = True, spaceless: bool = False, most: int | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # what is encoded here is ordinary text: marks are cut out before
         if not isinstance(self.tokenizer.model, BPE):
             raise ValueError("only merges of pairs are supported")
-        self.end_id, self.spaceless = end_id, spaceless
+        self.end_id, self.spaceless, self.most = end_id, spaceless, most or MOST_PARTS
         added = self.tokenizer.get_added_tokens_decoder() if marks else {}
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("added tokens that depend on their surroundings are not supported")
@@ -89,7 +89,7 @@ class Encoder:
         again = own + np.flatnonzero(self.met[own : self.n])
         starts, sizes, ids = self.starts[again], self.lengths[again], self.ids
         self.clear()
-        if len(again) <= MOST_PARTS // 2:
+        if len(again) <= self.most // 2:
             flat = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
             self.keep([parts[i - own] for i in again.tolist()], ids[flat], sizes)
 
@@ -162,7 +162,7 @@ class Encoder:
             data = np.where(plain, LOWER[raw], raw)[solid].tobytes()
         parts = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         distinct = parts.dictionary.to_pylist()
-        if len(self.known) > MOST_PARTS:
+        if len(self.known) > self.most:
             self.forget()
         held = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(held < 0)
@@ -184,6 +184,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str, end_id: int, marks: bool = True, spaceless: bool = False) -> Encoder:
+def encoder(path: str, end_id: int, marks: bool = True, spaceless: bool = False, most: int | None = None) -> Encoder:
     """One encoder per Python worker; its parts stay known from task to task."""
-    return Encoder(path, end_id, marks, spaceless)
+    return Encoder(path, end_id, marks, spaceless, most)
