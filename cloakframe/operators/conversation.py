@@ -46,30 +46,22 @@ def turn_of(at: str) -> Column:
     return F.when(F.col(at) >= 0, F.expr(f"{at} DIV {PER_TURN}"))
 
 
-def _with_known(turns: DataFrame, vault: DataFrame) -> DataFrame:
+def _one_per_value(vault: DataFrame) -> DataFrame:
+    """One row per value: of equal values under two types the one met first replaces."""
+    values = vault.groupBy("conv_id", "value").agg(F.min(F.struct("first_at", "first_pos", "mark")).alias("f"))
+    return values.select("conv_id", "value", "f.*")
+
+
+def _hits(turns: DataFrame, values: DataFrame) -> DataFrame:
+    """(conv_id, at, value): which of the (conv_id, value) occur in which turns of their conversation."""
+    return occurrences(turns, "at", "text", ["conv_id"], values, "value").select("conv_id", "at", F.explode("found.value").alias("value"))
+
+
+def _with_known(turns: DataFrame, hits: DataFrame, vault: DataFrame) -> DataFrame:
     """Turns with ``known``: earlier vault values that occur in them, in order of replacement."""
-    values = vault.select(
-        "conv_id",
-        "value",
-        "first_at",
-        "first_pos",
-        "mark",
-    )
-    # One row per value: of equal values under two types the one met first replaces.
-    first = values.groupBy("conv_id", "value").agg(
-        F.min(F.struct("first_at", "first_pos", "mark")).alias("f")
-    ).select("conv_id", "value", "f.*")
-    hits = occurrences(turns, "at", "text", ["conv_id"], first, "value")
-    earlier = F.filter(F.col("found"), lambda k: k["first_at"] < F.col("at"))
-    ordered = F.array_sort(
-        F.transform(
-            earlier,
-            lambda k: F.struct(
-                (-F.length(k["value"])).alias("by_len"), k["first_at"], k["first_pos"], k["value"], k["mark"]
-            ),
-        )
-    )
-    known = hits.select("conv_id", "at", ordered.alias("known"))
+    entry = F.struct((-F.length("value")).alias("by_len"), "first_at", "first_pos", "value", "mark")
+    earlier = hits.join(_one_per_value(vault), ["conv_id", "value"]).where("first_at < at")
+    known = earlier.groupBy("conv_id", "at").agg(F.array_sort(F.collect_list(entry)).alias("known"))
     return turns.join(known, ["conv_id", "at"], "left")
 
 
@@ -87,10 +79,13 @@ def apply_known(text: Column, known: Column) -> Column:
     return F.when(known.isNull(), start).otherwise(F.aggregate(known, start, step))
 
 
-def _residue(turns: DataFrame, vault: DataFrame, rules: Rulebook) -> DataFrame:
-    done = settled(_with_known(turns, vault), apply_known(F.col("text"), F.col("known")), "after")
-    rest = done.select("conv_id", "at", "turn", F.col("after.work").alias("work"), F.col("after.n").alias("n_known"))
-    return with_spans(rest, "work", rules.detectors)
+def _residue(turns: DataFrame, hits: DataFrame, vault: DataFrame, rules: Rulebook) -> DataFrame:
+    """Turns with their known values replaced and the spans of the rest; a turn without known values keeps the spans of its text."""
+    done = settled(_with_known(turns, hits, vault), apply_known(F.col("text"), F.col("known")), "after")
+    rest = done.select("conv_id", "at", "turn", F.col("after.work").alias("work"), F.col("after.n").alias("n_known"), F.col("spans").alias("own"))
+    sought = rest.withColumn("sought", F.when(F.col("n_known") > 0, F.col("work")).otherwise(F.lit("")))
+    found = with_spans(sought, "sought", rules.detectors)
+    return found.withColumn("spans", F.when(F.col("n_known") > 0, F.col("spans")).otherwise(F.col("own"))).drop("own", "sought")
 
 
 def first_seen(spans: DataFrame, rules: Rulebook = BUILT_IN) -> DataFrame:
@@ -121,20 +116,28 @@ def redact_turns(turns: DataFrame, known: DataFrame | None = None, rules: Rulebo
     earlier values it contains and search the rest again.  Once the set of (value, first
     place) of a conversation no longer changes it satisfies the turn-by-turn definition for every turn, and by
     induction over turns only one set does; such a conversation takes no further part.  Each round settles at least the
-    next dependent turn of the others; in practice two or three rounds settle all.
+    next dependent turn of the others; in practice two or three rounds settle all.  A text is looked through for a value
+    once, whatever the rounds, and searched anew only where it holds an earlier one.
 
     Messages that share a turn number follow each other in the order of their texts; equal messages are redacted alike.
     """
-    turns = materialise(in_order(turns))
-    if known is None:
-        known = turns.sparkSession.createDataFrame([], VAULT)
+    turns = materialise(with_spans(in_order(turns), detectors=rules.detectors))
+    earlier = None if known is None else _marked(known)
     place = ["conv_id", "det", "value", "first_at", "first_pos"]
-    vault, left, steady = materialise(first_seen(with_spans(turns, detectors=rules.detectors), rules)), turns, None
+    vault, left, steady = materialise(first_seen(turns, rules)), turns, None
+    hits = searched = None
     while True:
-        marked = vault.withColumn("mark", placeholder(F.col("type"), F.lit(0))).unionByName(_marked(known), allowMissingColumns=True)
-        again = materialise(first_seen(_residue(left, marked, rules), rules))
-        moved = again.join(vault, place, "left_anti").select("conv_id").unionAll(vault.join(again, place, "left_anti").select("conv_id"))
-        moved = materialise(moved.distinct())
+        marked = _with_earlier(vault.withColumn("mark", placeholder(F.col("type"), F.lit(0))), earlier)
+        unsearched = marked.select("conv_id", "value").distinct()
+        if hits is None:
+            searched, hits = unsearched, materialise(_hits(left, unsearched))
+        else:
+            unsearched = materialise(unsearched.join(searched, ["conv_id", "value"], "left_anti"))
+            if not unsearched.isEmpty():
+                searched, hits = searched.unionByName(unsearched), hits.unionByName(materialise(_hits(left, unsearched)))
+        again = materialise(first_seen(_residue(left, hits, marked, rules), rules))
+        either = again.select(*place).unionAll(vault.select(*place)).groupBy(*place).agg(F.count("*").alias("n"))
+        moved = materialise(either.where("n = 1").select("conv_id").distinct())
         done = again.join(moved, "conv_id", "left_anti")
         steady = done if steady is None else steady.unionByName(done)
         if moved.isEmpty():
@@ -142,8 +145,9 @@ def redact_turns(turns: DataFrame, known: DataFrame | None = None, rules: Rulebo
         vault = materialise(again.join(moved, "conv_id", "left_semi"))
         left = materialise(left.join(moved, "conv_id", "left_semi"))
     numbered = number_rows(steady, ["conv_id", "type"], ["first_at", "first_pos"], "idx")
-    taken = known.groupBy("conv_id", "type").agg(F.max("idx").alias("taken"))
-    numbered = numbered.join(taken, ["conv_id", "type"], "left").withColumn("idx", F.col("idx") + F.coalesce("taken", F.lit(0))).drop("taken")
+    if known is not None:
+        taken = known.groupBy("conv_id", "type").agg(F.max("idx").alias("taken"))
+        numbered = numbered.join(taken, ["conv_id", "type"], "left").withColumn("idx", F.col("idx") + F.coalesce("taken", F.lit(0))).drop("taken")
     new = materialise(numbered)
     marked = _marked(new)
     entry = F.struct(
@@ -162,7 +166,7 @@ def redact_turns(turns: DataFrame, known: DataFrame | None = None, rules: Rulebo
         .groupBy("conv_id", "at")
         .agg(F.array_sort(F.collect_list("e")).alias("fresh"))
     )
-    final = _residue(turns, marked.unionByName(_marked(known), allowMissingColumns=True), rules).join(fresh, ["conv_id", "at"], "left")
+    final = _residue(turns, hits, _with_earlier(marked, earlier), rules).join(fresh, ["conv_id", "at"], "left")
 
     def mark_of(span: Column, _i: Column) -> Column:
         own = F.filter(F.col("fresh"), lambda e: (e["det"] == span["det"]) & (e["value"] == span["value"]))
@@ -182,6 +186,10 @@ def redact_turns(turns: DataFrame, known: DataFrame | None = None, rules: Rulebo
     return redacted, new
 
 
+def _with_earlier(marked: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    return marked if earlier is None else marked.unionByName(earlier, allowMissingColumns=True)
+
+
 def _marked(vault: DataFrame) -> DataFrame:
     return vault.withColumn("mark", placeholder(F.col("type"), F.col("idx")))
 

@@ -22,19 +22,60 @@ GRAM = 5
 BITS = 1 << 27  # 16 MiB of bitmap, whatever the number of values
 BUCKET = 32768  # bits per row of Spark's bitmap aggregate
 SALTS = 16
-
-
-def gram_hashes(text: str, size: int, seed: int) -> np.ndarray:
-    """Hashes of every character gram of a text, in order."""
-    if len(text) < size:
-        return np.empty(0, dtype=np.uint64)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    windows = len(codes) - size + 1
-    out = np.full(windows, seed, dtype=np.uint64)
+CODES = 1 << 18  # code points hashed at a time
+
+
+def gram_hashes(texts: list[str], size: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every character gram of several texts, in order: the row of its text and its hash."""
+    lengths = np.array([len(text) for text in texts], dtype=np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    # A gram that would run into the next text is none.
+    first = np.flatnonzero(np.arange(len(codes)) + size <= np.cumsum(lengths)[row])
+    row = row[first]
+    out = seeds[row]
     for i in range(size):
-        out = (out ^ codes[i : i + windows]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ codes[first + i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out
+    return row, out
+
+
+def _blocks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows of at most CODES code points together; a longer text is a block of its own."""
+    begin, held = 0, 0
+    for row, length in enumerate(lengths):
+        if row > begin and held + length > CODES:
+            yield begin, row
+            begin, held = row, 0
+        held += length
+    if begin < len(lengths):
+        yield begin, len(lengths)
+
+
+def _distinct_grams(texts: list[str], scope_hash: np.ndarray, sizes: list[int], bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the distinct grams of each text that pass the bitmap."""
+    lengths = np.array([len(text) for text in texts])
+    largest = np.array([0, *sizes])[np.searchsorted(sizes, lengths, side="right")]
+    at, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for size in sizes:
+        own = np.flatnonzero(lengths >= size if bitmap is not None else largest == size)
+        if not len(own):
+            continue
+        # The size is part of the hash: grams of different sizes never meet.
+        seeds = scope_hash[own] + np.uint64(size * 0x632BE59BD9B4E019 % (1 << 64))
+        row, hashes = gram_hashes([texts[i] for i in own], size, seeds)
+        if bitmap is not None:
+            slot = hashes & np.uint64(BITS - 1)
+            passed = (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            row, hashes = row[passed], hashes[passed]
+        at.append(own[row])
+        found.append(hashes)
+    row, hashes = np.concatenate(at), np.concatenate(found)
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    return row[new], hashes[new]
 
 
 def _emit(scope: list[str], carry: list[str], text: str, sizes: list[int], bitmap: np.ndarray | None):
@@ -42,25 +83,13 @@ def _emit(scope: list[str], carry: list[str], text: str, sizes: list[int], bitma
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at, found = [], []
-            for row, (body, seed) in enumerate(zip(batch[text], batch["scope_hash"])):
-                body = body or ""
-                own = [size for size in sizes if size <= len(body)]
-                if bitmap is None:
-                    own = own[-1:]
-                # The size is part of the hash: grams of different sizes never meet.
-                parts = [gram_hashes(body, size, (seed + size * 0x632BE59BD9B4E019) % (1 << 64)) for size in own]
-                hashes = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-                if bitmap is not None:
-                    slot = hashes & np.uint64(BITS - 1)
-                    hashes = hashes[(bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                at.append(np.full(len(hashes), row))
-                found.append(hashes)
-            if not at:
-                continue
-            rows = batch[[*scope, *carry]].iloc[np.concatenate(at)].reset_index(drop=True)
-            rows["gram"] = np.concatenate(found).view(np.int64)
-            yield rows
+            bodies = [body or "" for body in batch[text]]
+            scope_hash = batch["scope_hash"].to_numpy(dtype=np.int64).view(np.uint64)
+            for begin, end in _blocks(np.array([len(body) for body in bodies], dtype=np.int64)):
+                row, hashes = _distinct_grams(bodies[begin:end], scope_hash[begin:end], sizes, bitmap)
+                rows = batch[[*scope, *carry]].iloc[begin + row].reset_index(drop=True)
+                rows["gram"] = hashes.view(np.int64)
+                yield rows
 
     return run
 
@@ -70,13 +99,13 @@ def _schema(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {types[c]}" for c in columns)
 
 
-def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """One bit per anchor hash; at most BITS bits reach the driver."""
+def _bitmap(anchors: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """One bit per anchor hash, at most BITS bits reach the driver; and the sizes of the anchors, five at most."""
     slot = F.col("gram").bitwiseAND(F.lit(BITS - 1))
     rows = (
-        anchors.select(slot.alias("slot"))
+        anchors.select(slot.alias("slot"), "size")
         .groupBy(F.floor(F.col("slot") / BUCKET).alias("bucket"))
-        .agg(F.bitmap_construct_agg((F.col("slot") % BUCKET).cast("long")).alias("bits"))
+        .agg(F.bitmap_construct_agg((F.col("slot") % BUCKET).cast("long")).alias("bits"), F.collect_set("size").alias("sizes"))
         .collect()
     )
     bitmap = np.zeros(BITS // 8, dtype=np.uint8)
@@ -84,7 +113,7 @@ def _bitmap(anchors: DataFrame) -> np.ndarray:
         start = row["bucket"] * BUCKET // 8
         bits = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
         bitmap[start : start + len(bits)] = bits
-    return bitmap
+    return bitmap, sorted({size for row in rows for size in row["sizes"]})
 
 
 def occurrences(texts: DataFrame, text_key: str, text: str, scope: list[str], values: DataFrame, value: str) -> DataFrame:
@@ -97,9 +126,11 @@ def occurrences(texts: DataFrame, text_key: str, text: str, scope: list[str], va
         scoped &= F.col(column).isNotNull()
     here = F.xxhash64(*scope).alias("scope_hash") if scope else F.lit(0).cast("long").alias("scope_hash")
     texts, values = texts.where(scoped), values.where(scoped & (F.length(value) > 0))
-    sizes = sorted(r[0] for r in values.select(F.least(F.length(value), F.lit(GRAM))).distinct().collect())  # five at most
+    # Values are short: by their bytes all of them would be one task.  They are read several times and so are worked out once.
+    values = materialise(values.repartition(values.sparkSession.sparkContext.defaultParallelism, *scope, value))
+    every_size = list(range(1, GRAM + 1))
     grams = values.select(*scope, value, here).mapInPandas(
-        _emit(scope, [value], value, sizes, None), _schema(values, [*scope, value]) + ", gram long"
+        _emit(scope, [value], value, every_size, None), _schema(values, [*scope, value]) + ", gram long"
     )
     shared = grams.groupBy(*scope, "gram").agg(F.count("*").alias("freq"))
     anchors = (
@@ -109,7 +140,7 @@ def occurrences(texts: DataFrame, text_key: str, text: str, scope: list[str], va
     )
     rest = [c for c in values.columns if c not in scope]
     anchored = materialise(anchors.join(values, [*scope, value]).select(*scope, "gram", F.struct(*rest).alias("known")))
-    bitmap = _bitmap(anchored)
+    bitmap, sizes = _bitmap(anchored.withColumn("size", F.least(F.length(F.col("known")[value]), F.lit(GRAM))))
     spark = texts.sparkSession
     shared_bits = spark.sparkContext.broadcast(bitmap)
 
@@ -121,7 +152,8 @@ def occurrences(texts: DataFrame, text_key: str, text: str, scope: list[str], va
     )
     # A gram of a hot scope may come from a third of all texts: spread it over salts.
     salted = emitted.withColumn("salt", F.pmod(F.xxhash64(text_key), F.lit(SALTS)).cast("int"))
-    spread = anchored.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    # Its size is that of the stored anchors to the planner, so it is kept from being broadcast with all its copies.
+    spread = anchored.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).hint("merge")
     candidates = (
         salted.join(spread, [*scope, "gram", "salt"])
         .groupBy(*scope, text_key)
